@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def text_chunks(ids: pa.Array, texts: pa.Array, max_bytes: int) -> Iterator[tupl
     Yields (ids, text bytes as one uint8 array, offsets of the texts in it). A text over ``max_bytes`` makes a chunk
     of its own; null texts count as empty.
     """
-    data = pa.compute.cast(pa.compute.fill_null(texts, ""), pa.large_binary())
+    data = pc.cast(pc.fill_null(texts, ""), pa.large_binary())
     if isinstance(data, pa.ChunkedArray):
         data = data.combine_chunks()
     offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
