@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these six white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WHITE_SPACE = " \t\n\v\f\r"
+#: Texts of a chunk at most.
+CHUNK_TEXTS = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,9 +54,11 @@ def text_chunks(ids: pa.Array, texts: pa.Array, max_bytes: int) -> Iterator[tupl
     Yields (ids, text bytes as one uint8 array, offsets of the texts in it). A text over ``max_bytes`` makes a chunk
     of its own; null texts count as empty.
     """
+    if len(texts) > CHUNK_TEXTS:
+        for at in range(0, len(texts), CHUNK_TEXTS):
+            yield from text_chunks(ids.slice(at, CHUNK_TEXTS), texts.slice(at, CHUNK_TEXTS), max_bytes)
+        return
     data = pc.cast(pc.fill_null(texts, ""), pa.large_binary())
-    if isinstance(data, pa.ChunkedArray):
-        data = data.combine_chunks()
     offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
     raw = np.frombuffer(data.buffers()[2], np.uint8) if data.buffers()[2] is not None else np.zeros(0, np.uint8)
     ids = ids.to_numpy(zero_copy_only=False)

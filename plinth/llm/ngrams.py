@@ -37,8 +37,8 @@ PERCENT = 75
 #: Fragments of a set while pairs are counted; and bytes of text for each fragment of the first count.
 PAIR_FRAGMENTS = 8
 FRAGMENT_BYTES = 8 << 20
-CHUNK_BYTES, CHUNK_DOCS = 1 << 20, 256
-FLUSH = 2_000_000
+CHUNK_BYTES = 1 << 18
+FLUSH = 1_000_000
 #: Ids up to this count are broadcast (8 MB); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 HASH_BITS = 56
@@ -117,10 +117,8 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, text index, hash) of chunks of texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, CHUNK_DOCS):
-            part = batch.slice(at, CHUNK_DOCS)
-            for ids, raw, offsets in text_chunks(part.column(0), part.column(1), CHUNK_BYTES):
-                yield (ids, *shingles(raw, offsets, width))
+        for ids, raw, offsets in text_chunks(batch.column(0), batch.column(1), CHUNK_BYTES):
+            yield (ids, *shingles(raw, offsets, width))
 
 
 FIRST = pa.schema([("fragment", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("sets", pa.binary())])
@@ -236,33 +234,33 @@ def similar_pairs(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT)
 
 def _link_components(postings: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """(u, v) as ``components`` gives them, of all links between the members of postings (token, doc_id, n)."""
-    none = postings.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
-    stars, rows = none, postings.count()
-    for turn in range(6):
+    stars = postings.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
+    before = turn = 0
+    while True:
         at = postings.join(stars.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         # a posting's main component, and whether it has others; sums over (token, root) keep large postings apart
         sums = at.groupBy("token", "root").agg(F.count("*").alias("c"))
         sums = sums.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top")).where("top < m")
-        open_ = materialize(at.join(sums, "token").select("token", "doc_id", "n", "root", "main", "m", "top"))
+        open_ = materialize(at.join(sums, "token").select("token", "doc_id", "n", "root", "main", "m"))
         left, work = open_.agg(F.count("*"), F.sum(F.when(F.col("root") != F.col("main"), F.col("m")))).first()
         if not left:
             return stars
-        last = turn == 5 or work <= 4 * max(rows, 10_000)
+        # Members meet a hub while that leaves fewer of them open; what still is open after that is tested whole.
+        last = work <= 2 * left or (turn > 0 and left > 0.75 * before)
         if last:  # every pair of members in different components
             a = open_.select("token", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"), "main")
             b = open_.where("root <> main").select("token", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-            met = a.join(b, "token").where((F.col("a_root") == F.col("main")) | (F.col("a_root") < F.col("b_root"))).where(_near(F.col("a_n"), F.col("b_n"), percent))
-            met = met.where("a_root <> b_root")
+            met = a.join(b, "token").where((F.col("a_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
         else:  # each member with a hub, the same for postings that share their members
             rank = F.struct(F.xxhash64("doc_id", F.pmod("token", F.lit(2)), F.lit(turn)), "doc_id", "n", "root")
             hubs = open_.groupBy("token").agg(F.min(rank).alias("h")).select("token", F.col("h.doc_id").alias("b"), F.col("h.n").alias("b_n"), F.col("h.root").alias("b_root"))
-            met = open_.withColumnsRenamed({"doc_id": "a", "n": "a_n", "root": "a_root"}).join(hubs, "token").where(F.col("a_root") != F.col("b_root")).where(_near(F.col("a_n"), F.col("b_n"), percent))
-        pairs = met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+            met = open_.withColumnsRenamed({"doc_id": "a", "n": "a_n", "root": "a_root"}).join(hubs, "token").where(F.col("a_root") != F.col("b_root"))
+        pairs = met.where(_near(F.col("a_n"), F.col("b_n"), percent)).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
         links = similar_pairs(pairs, segments, percent).select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         stars = components(stars.unionByName(links))
         if last:
             return stars
-    return stars
+        before, turn = left, turn + 1
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:

@@ -45,7 +45,8 @@ class RunIndex:
         words = _words(text)
         sa = suffix_array(text, words)
         last = text[sa - 1]  # the transform; the first suffix wraps round
-        heads = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]) | (sa == 0))
+        # at the text's first suffix and just after it, a wrapped byte would only seem to go on a run
+        heads = np.flatnonzero(np.concatenate([[True], (last[1:] != last[:-1]) | (sa[:-1] == 0)]) | (sa == 0))
         self.runs, self.size = len(heads), len(text)
         order = np.argsort(sa[heads])
         heads = heads[order]

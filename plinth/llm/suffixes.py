@@ -33,9 +33,10 @@ SPAN = LENGTH - ANCHOR + 1
 SIDE = (LENGTH - ANCHOR) // 2
 #: Different blocks of an anchor that an index takes.
 MOST = 4096
-CHUNK_BYTES, PIECE_BYTES, FLUSH = 1 << 20, 1 << 22, 400_000
-RANGE_BYTES = 16 << 20
+CHUNK_BYTES, PIECE_BYTES, FLUSH = 1 << 18, 1 << 20, 200_000
+RANGE_BYTES = 8 << 20
 INDEX_BYTES = 512 << 10
+MARK = 6
 BROADCAST_IDS = 1_000_000
 
 U = np.uint64
@@ -194,13 +195,13 @@ def _index(rows: pa.Table) -> pa.Table:
     docs, start = docs[order], start[order]
     texts = [rows.column("bytes")[int(i)].as_py() for i in order]
     parts = []
-    for k, x in enumerate(texts):  # each block ends with a mark that no UTF-8 has, and a number of its own
-        parts += [x, bytes((0xFF, k >> 21 & 127, k >> 14 & 127, k >> 7 & 127, k & 127))]
+    for k, x in enumerate(texts):  # each block ends with a number of its own between marks that no UTF-8 has
+        parts += [x, bytes((0xFF, *(1 + k // 100**d % 100 for d in (3, 2, 1, 0)), 0xFF))]
     text = np.frombuffer(b"".join(parts), np.uint8)
     size = np.array([len(x) for x in texts])
-    base = np.cumsum(size + 5) - size - 5
+    base = np.cumsum(size + MARK) - size - MARK
     repeated = RunIndex(text, int(size.max()) + 8).repeated(LENGTH)
-    own = np.repeat(np.arange(len(texts)), size + 5)
+    own = np.repeat(np.arange(len(texts)), size + MARK)
     within = np.arange(len(text)) - base[own]
     marked = np.flatnonzero(repeated & (within <= size[own] - LENGTH))
     if not len(marked):
