@@ -35,7 +35,7 @@ WIDTH = 5
 #: Similarity, in hundredths.
 PERCENT = 75
 #: Fragments of a set while pairs are counted; and bytes of text for each fragment of the first count.
-PAIR_FRAGMENTS = 8
+PAIR_FRAGMENTS = 4
 FRAGMENT_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 18
 FLUSH = 1_000_000
@@ -223,43 +223,65 @@ def _near(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def similar_pairs(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (lo, hi) whose Jaccard similarity reaches the percentage: overlaps per fragment, summed per pair."""
+def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """(lo, hi, n_lo, n_hi, k): the shingles that both sets of each pair hold, counted per fragment and summed."""
     left = segments.select(F.col("doc_id").alias("lo"), F.col("n").alias("n_lo"), "fragment", F.col("tokens").alias("of_lo"))
     right = segments.select(F.col("doc_id").alias("hi"), F.col("n").alias("n_hi"), "fragment", F.col("tokens").alias("of_hi"))
     partial = pairs.join(left, "lo").join(right, ["hi", "fragment"]).select("lo", "hi", "n_lo", "n_hi", F.size(F.array_intersect("of_lo", "of_hi")).alias("k"))
-    total = partial.groupBy("lo", "hi", "n_lo", "n_hi").agg(F.sum("k").alias("k"))
-    return total.where(100 * F.col("k") >= percent * (F.col("n_lo") + F.col("n_hi") - F.col("k"))).select("lo", "hi", "k")
+    return partial.groupBy("lo", "hi", "n_lo", "n_hi").agg(F.sum("k").alias("k"))
+
+
+def _links(counted: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose Jaccard similarity reaches the percentage, as edges (u, v)."""
+    return counted.where(100 * F.col("k") >= percent * (F.col("n_lo") + F.col("n_hi") - F.col("k"))).select(F.col("hi").alias("u"), F.col("lo").alias("v"))
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of members that met, if sizes and distances let them be similar.
+
+    Similar sets differ in at most (100 - percent) / (100 + percent) of their summed sizes, and by the triangle rule
+    they differ from any third set, here the posting's pivot, by amounts (``d``) that are no further apart.
+    """
+    apart = (100 + percent) * F.abs(F.col("a_d") - F.col("b_d")) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    met = met.where(_near(F.col("a_n"), F.col("b_n"), percent) & F.coalesce(apart, F.lit(True)))
+    return met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
 
 def _link_components(postings: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """(u, v) as ``components`` gives them, of all links between the members of postings (token, doc_id, n)."""
     stars = postings.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
+    postings = postings.withColumn("d", F.lit(None).cast("long"))
     before = turn = 0
     while True:
         at = postings.join(stars.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         # a posting's main component, and whether it has others; sums over (token, root) keep large postings apart
         sums = at.groupBy("token", "root").agg(F.count("*").alias("c"))
         sums = sums.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top")).where("top < m")
-        open_ = materialize(at.join(sums, "token").select("token", "doc_id", "n", "root", "main", "m"))
+        open_ = materialize(at.join(sums, "token").select("token", "doc_id", "n", "d", "root", "main", "m"))
         left, work = open_.agg(F.count("*"), F.sum(F.when(F.col("root") != F.col("main"), F.col("m")))).first()
         if not left:
             return stars
+        a = open_.select("token", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("d").alias("a_d"), F.col("root").alias("a_root"), "main")
         # Members meet a hub while that leaves fewer of them open; what still is open after that is tested whole.
-        last = work <= 2 * left or (turn > 0 and left > 0.75 * before)
+        last = work <= 2 * left or (turn > 1 and left > 0.9 * before)
         if last:  # every pair of members in different components
-            a = open_.select("token", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"), "main")
-            b = open_.where("root <> main").select("token", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
+            b = open_.where("root <> main").select("token", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("d").alias("b_d"), F.col("root").alias("b_root"))
             met = a.join(b, "token").where((F.col("a_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
-        else:  # each member with a hub, the same for postings that share their members
-            rank = F.struct(F.xxhash64("doc_id", F.pmod("token", F.lit(2)), F.lit(turn)), "doc_id", "n", "root")
-            hubs = open_.groupBy("token").agg(F.min(rank).alias("h")).select("token", F.col("h.doc_id").alias("b"), F.col("h.n").alias("b_n"), F.col("h.root").alias("b_root"))
-            met = open_.withColumnsRenamed({"doc_id": "a", "n": "a_n", "root": "a_root"}).join(hubs, "token").where(F.col("a_root") != F.col("b_root"))
-        pairs = met.where(_near(F.col("a_n"), F.col("b_n"), percent)).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-        links = similar_pairs(pairs, segments, percent).select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        stars = components(stars.unionByName(links))
+        else:  # each member with a hub: at first the same for postings that share their members, then one of each posting
+            lot = F.xxhash64("doc_id", F.pmod("token", F.lit(2))) if turn == 0 else F.xxhash64("doc_id", "token", F.lit(turn))
+            hubs = open_.groupBy("token").agg(F.min(F.struct(lot, "doc_id", "n", "d", "root")).alias("h"))
+            hubs = hubs.select("token", F.col("h.doc_id").alias("b"), F.col("h.n").alias("b_n"), F.col("h.d").alias("b_d"), F.col("h.root").alias("b_root"))
+            met = a.join(hubs, "token").where(F.col("a_root") != F.col("b_root"))
+        counted = materialize(overlaps(_pairs(met, percent), segments))
+        stars = components(stars.unionByName(_links(counted, percent)))
         if last:
             return stars
+        if turn == 0:  # the first hubs are the pivots of their postings
+            far = counted.select("lo", "hi", (F.col("n_lo") + F.col("n_hi") - 2 * F.col("k")).alias("far"))
+            pivots = hubs.select("token", F.col("b").alias("pivot"))
+            pairs = open_.select("token", "doc_id", "n").join(pivots, "token").withColumn("lo", F.least("doc_id", "pivot")).withColumn("hi", F.greatest("doc_id", "pivot"))
+            d = F.when(F.col("doc_id") == F.col("pivot"), 0).otherwise(F.col("far"))
+            postings = materialize(pairs.join(far, ["lo", "hi"], "left").select("token", "doc_id", "n", d.alias("d")))
         before, turn = left, turn + 1
 
 
