@@ -6,8 +6,8 @@ fit in the budget, after the system turn (if the conversation starts with one) a
 fit in the history budget. Loss falls on the texts of new assistant turns only, so each is learnt once; repeated turns
 are masked. Control strings within roles and texts are escaped with backslashes and come back unharmed.
 
-Defined results: null texts and roles count as empty; turns go by (turn, role, text) with nulls first, so ties and
-repeated rows keep a fixed order; a null conversation id is one conversation; a turn over the budget has a window of
+Defined results: null texts and roles count as empty; turns go by (turn, role, escaped text) with nulls first, so
+ties and repeated rows keep a fixed order; a null conversation id is one conversation; a turn over the budget has a window of
 its own and stays whole; an empty table gives no windows.
 """
 
@@ -45,25 +45,13 @@ def unescape_role(role: Column) -> Column:
 
 
 def _turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns): the turns of each conversation in order, each with its text, marks, tokens and prefix sums."""
+    """(conv_id, turns): the marked turns of each conversation in order, with their lengths and tokens."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
-    one = F.struct("turn", role.alias("role"), text.alias("text"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
-
-    def marked(x: Column) -> Column:
-        body = escape(x["text"])
-        head = F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n"))
-        return F.struct(
-            x["role"].alias("role"),
-            F.concat(head, body, F.lit(END)).alias("piece"),
-            F.length(head).alias("head"),
-            F.length(body).alias("body"),
-            (F.regexp_count(x["text"], F.lit(WORD_PATTERN)) + MARKS).alias("tokens"),
-        )
-
-    # array_sort puts null fields last; turns without a number go first by a sort of their own
-    ordered = F.concat(F.filter("t", lambda x: x["turn"].isNull()), F.filter("t", lambda x: x["turn"].isNotNull()))
-    return convs.select("conv_id", F.transform(ordered, marked).alias("turns"))
+    head, body = F.concat(F.lit(START), escape_role(role), F.lit("\n")), escape(text)
+    tokens = F.regexp_count(text, F.lit(WORD_PATTERN)) + MARKS
+    marked = rows.select("conv_id", F.col("turn").isNotNull().alias("known"), "turn", role.alias("role"), head.alias("h"), body.alias("b"), tokens.alias("tokens"))
+    one = F.struct("known", "turn", "role", F.concat("h", "b", F.lit(END)).alias("piece"), F.length("h").alias("head"), F.length("b").alias("body"), "tokens")
+    return marked.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns"))
 
 
 def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -73,39 +61,55 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
     escaped texts under the mask. A conversation's rows meet in one task, as its text is one sequence.
     """
     convs = _turns(rows)
-    prefix = F.aggregate("turns", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["tokens"])))
-    convs = convs.withColumn("sums", prefix)
-    # spans: the 1-based first new turn of each window; a turn that would pass the budget opens the next window
-    firsts = F.aggregate(
-        F.sequence(F.lit(1), F.size("turns")),
-        F.array(F.lit(1)),
-        lambda acc, i: F.when(
-            (i > F.element_at(acc, -1)) & (F.element_at(F.col("sums"), i + 1) - F.element_at(F.col("sums"), F.element_at(acc, -1)) > budget), F.concat(acc, F.array(i))
-        ).otherwise(acc),
+    # One pass over the prefix sums: a turn whose sum would pass the budget since the window's first turn opens the next.
+    opened = F.aggregate(
+        F.transform("turns", lambda x: x["tokens"]),
+        F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum"), F.lit(0).alias("base"), F.array(F.lit(1)).alias("firsts")),
+        lambda acc, t: F.when(
+            (acc["sum"] + t - acc["base"] > budget) & (acc["i"] > 0),
+            F.struct((acc["i"] + 1).alias("i"), (acc["sum"] + t).alias("sum"), acc["sum"].alias("base"), F.when(acc["i"] + 1 > F.element_at(acc["firsts"], -1), F.concat(acc["firsts"], F.array(acc["i"] + 1))).otherwise(acc["firsts"]).alias("firsts")),
+        ).otherwise(F.struct((acc["i"] + 1).alias("i"), (acc["sum"] + t).alias("sum"), acc["base"].alias("base"), acc["firsts"].alias("firsts"))),
+        lambda acc: acc["firsts"],
     )
-    spans = convs.withColumn("firsts", firsts).select("conv_id", "turns", "sums", "firsts", F.posexplode("firsts").alias("window", "first"))
-    last = F.coalesce(F.get(F.col("firsts"), F.col("window") + 1) - 1, F.size("turns"))
-    spans = spans.withColumn("last", last)
-    system = (F.col("turns")[0]["role"] == "system") & (F.col("first") > 1)
-    least = F.when(system, F.lit(2)).otherwise(F.lit(1))  # the system turn isn't history
-    # the first turn whose prefix sum leaves at most `history` tokens before the window's first new turn
-    recent = F.filter(F.sequence(least, F.col("first")), lambda j: F.element_at(F.col("sums"), F.col("first")) - F.element_at(F.col("sums"), j) <= history)
-    spans = spans.withColumn("from", F.when(F.col("first") == 1, F.lit(1)).otherwise(F.element_at(recent, 1)))
-    repeated = F.concat(F.when(system, F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0)), F.slice("turns", F.col("from"), F.col("first") - F.col("from")))
-    spans = spans.withColumn("repeated", repeated).withColumn("new", F.slice("turns", F.col("first"), F.col("last") - F.col("first") + 1))
-    before = F.array_join(F.transform("repeated", lambda x: x["piece"]), "")
-    after = F.array_join(F.transform("new", lambda x: x["piece"]), "")
+    convs = convs.withColumn("firsts", opened).withColumn("lasts", F.concat(F.transform(F.slice(F.col("firsts"), F.lit(2), F.size("firsts")), lambda x: x - 1), F.array(F.size("turns"))))
+    reach = history // MARKS  # no more turns than that fit in the history budget
+
+    def span(x: Column, k: Column) -> Column:
+        """The turns of one window, so that windows carry no others."""
+        earlier = F.when((F.col("turns")[0]["role"] == "system") & (x["first"] > 1), F.lit(2)).otherwise(F.lit(1))  # the system turn isn't history
+        least = F.greatest(earlier, x["first"] - reach)
+        system = F.when(earlier == 2, F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
+        return F.struct(
+            k.alias("window"),
+            system.alias("system"),
+            F.slice(F.col("turns"), least, F.greatest(x["first"] - least, F.lit(0))).alias("earlier"),
+            F.slice(F.col("turns"), x["first"], x["last"] - x["first"] + 1).alias("new"),
+        )
+
+    bounds = F.zip_with("firsts", "lasts", lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+    spans = convs.select("conv_id", F.explode(F.transform(bounds, span)).alias("w")).select("conv_id", "w.*")
+    fitting = F.aggregate(
+        F.reverse(F.transform("earlier", lambda x: x["tokens"])),
+        F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")),
+        lambda acc, t: F.struct((acc["sum"] + t).alias("sum"), F.when(acc["sum"] + t <= history, acc["n"] + 1).otherwise(acc["n"]).alias("n")),
+        lambda acc: acc["n"],
+    )
+    spans = spans.withColumn("fit", fitting)
+    recent = F.when(F.col("fit") > 0, F.slice(F.col("earlier"), F.size("earlier") - F.col("fit") + 1, F.col("fit"))).otherwise(F.slice("earlier", 1, 0))
+    spans = spans.select("conv_id", "window", F.concat("system", recent).alias("repeated"), "new")
+    spans = spans.withColumn("context", F.array_join(F.transform("repeated", lambda x: x["piece"]), ""))
     masks = F.aggregate(
-        "new",
+        F.transform("new", lambda x: F.struct(x["role"].alias("role"), F.length(x["piece"]).alias("all"), x["head"].alias("head"), x["body"].alias("body"))),
         F.struct(F.length("context").alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
         lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["piece"])).alias("at"),
+            (acc["at"] + x["all"]).alias("at"),
             F.when(x["role"] == "assistant", F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["head"]).alias("start"), x["body"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
         ),
         lambda acc: acc["spans"],
     )
-    tokens = F.aggregate(F.concat("repeated", "new"), F.lit(0), lambda acc, x: acc + x["tokens"])
-    return spans.withColumn("context", before).select("conv_id", "window", F.size("repeated").alias("n_context"), F.size("new").alias("n_new"), F.concat("context", after).alias("formatted"), masks.alias("loss"), tokens.alias("tokens"))
+    tokens = F.aggregate(F.transform(F.concat("repeated", "new"), lambda x: x["tokens"]), F.lit(0), lambda acc, t: acc + t)
+    after = F.array_join(F.transform("new", lambda x: x["piece"]), "")
+    return spans.select("conv_id", "window", F.size("repeated").alias("n_context"), F.size("new").alias("n_new"), F.concat("context", after).alias("formatted"), masks.alias("loss"), tokens.alias("tokens"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

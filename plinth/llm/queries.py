@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import bpe, chat, lines, media, ngrams, quality, suffixes, urls
+from plinth.llm import bpe, chat, lines, media, ngrams, packing, quality, suffixes, toxicity, urls
 from plinth.llm.common import materialize
 from plinth.sources.tables import table
 
@@ -116,5 +116,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_suffix_dedup, op4_line_dedup, op5_media_columns, op6_chat_formatting, op7_url_filters, op8_bpe)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lot = F.crc32(F.col("doc_id").cast("string")) % 3
+    labels = table(spark, sf_dir, "labels").where(lot != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    scorer = toxicity.fit(docs.where(lot != 1).join(labels, "doc_id"))
+    held_out = F.coalesce(lot == 1, F.lit(False))
+    return toxicity.scores(docs, scorer).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_suffix_dedup, op4_line_dedup, op5_media_columns, op6_chat_formatting, op7_url_filters, op8_bpe, op9_packing, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_url_filters": OP7_SQL}
