@@ -250,23 +250,30 @@ def repeated_spans(texts: DataFrame, most: int = MOST) -> DataFrame:
     return found.where("NOT asks").select("doc_id", "start", "size").unionByName(indexed).unionByName(hashed)
 
 
+def unite(spans: list[dict], size: int) -> list[list[int]]:
+    """Overlapping and touching spans (start, size) as maximal [start, end] within ``size`` bytes, in order."""
+    out: list[list[int]] = []
+    for x in sorted(spans, key=lambda x: x["start"]):
+        a, b = x["start"], min(x["start"] + x["size"], size)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        elif a < b:
+            out.append([a, b])
+    return out
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            spans, kept = [], []
+            sizes, spans, kept = [], [], []
             for raw, lists in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                united: list[list[int]] = []
-                for x in sorted(lists, key=lambda x: x["start"]):
-                    a, b = x["start"], min(x["start"] + x["size"], len(raw))
-                    if united and a <= united[-1][1]:
-                        united[-1][1] = max(united[-1][1], b)
-                    elif a < b:
-                        united.append([a, b])
+                united = unite(lists, len(raw))
+                sizes.append(len(raw))
                 spans.append([{"start": a, "end": b} for a, b in united])
                 kept.append(b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in united)], [*(a for a, _ in united), len(raw)], strict=True)))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x or b"") for x in part.column(1).to_pylist()], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
 KEPT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
@@ -281,3 +288,40 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
     whole = _only(texts, ids, "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), raw.alias("kept"))
     cut = _only(texts, ids).join(spans, "doc_id").select("doc_id", raw.alias("raw"), "spans").mapInArrow(_cut, KEPT)
     return whole.unionByName(cut)
+
+
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with what ``cut_repeats`` cuts out of ``text``, and all other columns as they were.
+
+    A text stays text: where a span ends within a character of several bytes, the whole character stays. Texts without
+    spans (nulls and rows without an id among them) stay as they are; ids must be unique.
+    """
+    texts = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    spans = materialize(repeated_spans(texts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans")))
+    few = spans.count() <= BROADCAST_IDS
+    ids = spans.select(F.col("doc_id").alias("_id"))
+    ids = F.broadcast(ids) if few else ids
+    on = docs[key].cast("long") == F.col("_id")
+    names = docs.columns
+    found = docs.join(ids, on, "left_semi").join(spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")), on)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(text)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                texts = [kept_text(x.encode(), s) for x, s in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(names))], names=names)
+
+    return docs.join(ids, on, "left_anti").unionByName(found.select(*[docs[c] for c in names], "_spans").mapInArrow(cut, docs.schema))
+
+
+def kept_text(raw: bytes, spans: list[dict]) -> str:
+    """What spans leave of a UTF-8 text; a character that a span doesn't cover whole stays."""
+    united = unite(spans, len(raw))
+    for x in united:
+        while x[0] < x[1] and raw[x[0]] & 0xC0 == 0x80:  # begins within a character
+            x[0] += 1
+        while x[1] < len(raw) and x[0] < x[1] and raw[x[1]] & 0xC0 == 0x80:  # ends within one
+            x[1] -= 1
+    return b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in united)], [*(a for a, _ in united), len(raw)], strict=True)).decode()
