@@ -263,7 +263,7 @@ def _link_components(postings: DataFrame, segments: DataFrame, percent: int) ->
             return stars
         a = open_.select("token", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("d").alias("a_d"), F.col("root").alias("a_root"), "main")
         # Members meet a hub while that leaves fewer of them open; what still is open after that is tested whole.
-        last = work <= 2 * left or (turn > 1 and left > 0.9 * before)
+        last = 2 * work <= left or (turn > 1 and left > 0.9 * before)
         if last:  # every pair of members in different components
             b = open_.where("root <> main").select("token", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("d").alias("b_d"), F.col("root").alias("b_root"))
             met = a.join(b, "token").where((F.col("a_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
