@@ -132,10 +132,16 @@ def curve(measured: np.ndarray, label: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def fit(labelled: DataFrame) -> Scorer | None:
-    """A scorer from (doc_id, text, toxic) rows; None without texts of both kinds."""
-    short = labelled.where((F.octet_length("text") <= LONGEST) & F.col("toxic").isNotNull()).withColumn("_lot", F.xxhash64("doc_id"))
-    sample = [short.where(F.col("toxic") == k).orderBy("_lot", "doc_id", "text").limit(n).select(F.encode("text", "UTF-8").alias("raw")).collect() for k, n in ((1, TOXIC), (0, ORDINARY))]
+def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
+    """A scorer from texts (doc_id, text) and labels (doc_id, toxic); None without texts of both kinds.
+
+    The sample is drawn from the labels alone, so its ids are few by the bounds and their texts come by a broadcast.
+    """
+    rated = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("_lot", F.xxhash64("doc_id"))
+    drawn = rated.where("toxic = 1").orderBy("_lot", "doc_id").limit(TOXIC).unionByName(rated.where("toxic = 0").orderBy("_lot", "doc_id").limit(ORDINARY))
+    texts = docs.where(F.octet_length("text") <= LONGEST).join(F.broadcast(drawn), "doc_id").select("_lot", "doc_id", "toxic", F.encode("text", "UTF-8").alias("raw")).collect()
+    texts.sort(key=lambda r: (r["_lot"], r.doc_id, bytes(r.raw)))
+    sample = [[r for r in texts if r.toxic == k] for k in (1, 0)]
     toxic, ordinary = ([bytes(r.raw) for r in rows] for rows in sample)
     if not toxic or not ordinary:
         return None
