@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from plinth.plans import serving_queries, signal_queries
+
+QUERIES: dict = {**serving_queries.QUERIES, **signal_queries.QUERIES}
+ORACLE_SQL: dict = {**serving_queries.ORACLE_SQL, **signal_queries.ORACLE_SQL}
