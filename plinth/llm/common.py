@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.sources.shared import new_path
+
 #: Words are runs of anything but these six white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WHITE_SPACE = " \t\n\v\f\r"
@@ -19,21 +19,12 @@ WHITE_SPACE = " \t\n\v\f\r"
 CHUNK_TEXTS = 256
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Later steps reread the files rather than recompute, so a lost executor costs only its running tasks.
     """
-    path = f"{shared_folder(df.sparkSession)}/plinth-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -97,4 +88,4 @@ def map_texts(docs: DataFrame, keys: list[str], text: str, columns: dict[str, st
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"`{n}` {t}" for n, t in columns.items())])
-    return docs.select(*[docs[k] for k in keys], docs[text].alias("_text")).mapInArrow(work, schema)
+    return docs.select(*[docs[k] for k in keys], docs[text].alias("_plinth_text")).mapInArrow(work, schema)

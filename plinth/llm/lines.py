@@ -41,8 +41,9 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, min
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with boilerplate lines out of ``text``; ``counts`` names two more columns: lines before, lines dropped."""
     names = docs.columns
-    found = boilerplate(docs, host, text, ratio, min_pages).select(F.col("host").alias("_boilerplate_host"), F.col("lines").alias("_boilerplate"))
-    out = docs.join(found, docs[host].eqNullSafe(F.col("_boilerplate_host")), "left").withColumn("_lines", _lines(text))
-    out = out.withColumn("_kept", F.when(F.col("_boilerplate").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_boilerplate", F.xxhash64(x)))))
-    more = [] if counts is None else [F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias(counts[0]), F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long").alias(counts[1])]
-    return out.select(*[F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in names], *more)
+    found = boilerplate(docs, host, text, ratio, min_pages).select(F.col("host").alias("b_host"), F.col("lines").alias("b_lines"))
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[host].alias("host"), F.split(docs[text], "\n", -1).alias("lines"))
+    out = rows.join(found, F.col("host").eqNullSafe(F.col("b_host")), "left")
+    out = out.withColumn("kept", F.when(F.col("b_lines").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("b_lines", F.xxhash64(x)))))
+    more = [] if counts is None else [F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias(counts[0]), F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias(counts[1])]
+    return out.select(*[F.array_join("kept", "\n").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names], *more)

@@ -135,7 +135,7 @@ def _fragments(bits: int, width: int):
         fragment, owner, low = fragment[order], owner[order], low[order]
         cuts = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]])) if len(fragment) else np.zeros(0, int)
         rows = []
-        for a, b in zip(cuts, [*cuts[1:], len(fragment)], strict=True):
+        for a, b in zip(cuts, [*cuts[1:], len(fragment)] if len(cuts) else [], strict=True):
             own = owner[a:b]
             edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             rows.append((int(fragment[a]), docs[own[edge]].tobytes(), np.diff([*edge, b - a]).astype(np.uint32).tobytes(), low[a:b].tobytes(), None))
@@ -313,5 +313,5 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component (and rows without an id), all columns."""
     found = jaccard_components(docs, key, text)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[key].cast("long") == F.col("_gone"), "left_anti")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_plinth_gone"))
+    return docs.join(gone, docs[key].cast("long") == F.col("_plinth_gone"), "left_anti")

@@ -134,4 +134,4 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (text, lang, source and any more columns) that the rules keep, with the same columns."""
     names = docs.columns
     held = materialize(docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["lang"].alias("lang"), docs["source"].alias("source"), features(docs["text"]).alias("features")))
-    return judge(held).where("kept").select(*[F.col(f"row.{c}").alias(c) for c in names])
+    return judge(held).where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in names])

@@ -299,11 +299,11 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     texts = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     spans = materialize(repeated_spans(texts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans")))
     few = spans.count() <= BROADCAST_IDS
-    ids = spans.select(F.col("doc_id").alias("_id"))
+    ids = spans.select(F.col("doc_id").alias("_plinth_id"))
     ids = F.broadcast(ids) if few else ids
-    on = docs[key].cast("long") == F.col("_id")
+    on = docs[key].cast("long") == F.col("_plinth_id")
     names = docs.columns
-    found = docs.join(ids, on, "left_semi").join(spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")), on)
+    found = docs.join(ids, on, "left_semi").join(spans.select(F.col("doc_id").alias("_plinth_id"), F.col("spans").alias("_plinth_spans")), on)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
@@ -313,7 +313,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 texts = [kept_text(x.encode(), s) for x, s in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(names))], names=names)
 
-    return docs.join(ids, on, "left_anti").unionByName(found.select(*[docs[c] for c in names], "_spans").mapInArrow(cut, docs.schema))
+    return docs.join(ids, on, "left_anti").unionByName(found.select(*[docs[c] for c in names], "_plinth_spans").mapInArrow(cut, docs.schema))
 
 
 def kept_text(raw: bytes, spans: list[dict]) -> str:

@@ -5,7 +5,8 @@ can only be listed if all its bits are set in its block; those possible hits go
 list, which removes the false positives.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is never listed;
-repeated rows are judged one by one; an empty list blocks nothing; other columns pass through.
+repeated rows are judged one by one; an empty list blocks nothing; other columns pass through, but
+ones named host, path, rule or verdict give way to the results.
 """
 
 from __future__ import annotations
@@ -77,17 +78,17 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("_verdict", verdict)
-    asks = F.col("_verdict").isNull() & (F.col("host") != "")
-    out = out.withColumn("_canonical", F.when(asks, canonical(F.col(url))))
+    out = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("_plinth_verdict", verdict)
+    asks = F.col("_plinth_verdict").isNull() & (F.col("host") != "")
+    out = out.withColumn("_plinth_canonical", F.when(asks, canonical(F.col(url))))
     blocks, n = bloom_filter(listed, "listed_url")
-    blocks = blocks.select(F.col("block").alias("_block"), F.col("bits").alias("_bits"))
+    blocks = blocks.select(F.col("block").alias("_plinth_block"), F.col("bits").alias("_plinth_bits"))
     # Rows that need no lookup get keys of their own below zero, so that no null key gathers them in one task.
     spread = -1 - F.pmod(F.xxhash64(F.col(url)), F.lit(1 << 20))
-    out = out.withColumn("_key", F.when(F.col("_canonical").isNotNull(), _block(F.col("_canonical"), n)).otherwise(spread))
-    possible = out.join(blocks, F.col("_key") == F.col("_block"), "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(_bits(F.col("_canonical"))) == _bits(F.col("_canonical")), F.lit(False))
-    possible = possible.withColumn("_ask", F.when(hit, F.col("_canonical")).otherwise(F.concat(F.lit("://"), spread.cast("string"))))
-    exact = possible.join(listed.select(F.col("listed_url").alias("_listed")), F.col("_ask") == F.col("_listed"), "left")
-    method = F.when(F.col("_listed").isNotNull(), "block").otherwise("allow")
-    return exact.withColumn("verdict", F.coalesce(F.col("_verdict"), method)).drop("_verdict", "_canonical", "_block", "_bits", "_key", "_ask", "_listed")
+    out = out.withColumn("_plinth_key", F.when(F.col("_plinth_canonical").isNotNull(), _block(F.col("_plinth_canonical"), n)).otherwise(spread))
+    possible = out.join(blocks, F.col("_plinth_key") == F.col("_plinth_block"), "left")
+    hit = F.coalesce(F.col("_plinth_bits").bitwiseAND(_bits(F.col("_plinth_canonical"))) == _bits(F.col("_plinth_canonical")), F.lit(False))
+    possible = possible.withColumn("_plinth_ask", F.when(hit, F.col("_plinth_canonical")).otherwise(F.concat(F.lit("://"), spread.cast("string"))))
+    exact = possible.join(listed.select(F.col("listed_url").alias("_plinth_listed")), F.col("_plinth_ask") == F.col("_plinth_listed"), "left")
+    method = F.when(F.col("_plinth_listed").isNotNull(), "block").otherwise("allow")
+    return exact.withColumn("verdict", F.coalesce(F.col("_plinth_verdict"), method)).drop("_plinth_verdict", "_plinth_canonical", "_plinth_block", "_plinth_bits", "_plinth_key", "_plinth_ask", "_plinth_listed")
