@@ -99,7 +99,7 @@ def short_year_date(text: Column) -> Column:
     """A date that is all of M/D/YY; years from 69 on are in the last century."""
     x = F.trim(text)
     parsed = F.try_to_date(F.when(x.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), x), "M/d/yy")
-    return F.when(F.substring(x, -2, 2).cast("int") >= 69, F.add_months(parsed, -1200)).otherwise(parsed)
+    return F.when(F.substring(x, -2, 2).try_cast("int") >= 69, F.add_months(parsed, -1200)).otherwise(parsed)
 
 
 def link_tier(href: Column, label: Column) -> Column:
