@@ -237,51 +237,56 @@ def _links(counted: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of members that met, if sizes and distances let them be similar.
+    """Distinct pairs of members that met, if their sizes and their differences from the pivot let them be similar.
 
-    Similar sets differ in at most (100 - percent) / (100 + percent) of their summed sizes, and by the triangle rule
-    they differ from any third set, here the posting's pivot, by amounts (``d``) that are no further apart.
+    Similar sets differ in at most (100 - percent) / (100 + percent) of their summed sizes. Two sets differ by what
+    each differs from a third set, the posting's pivot, less twice what they differ in alike. Alike can be only as many
+    of the pivot's shingles as both lack (``e`` each), and of those beyond the pivot's as both hold and others hold
+    too (``i`` each).
     """
-    apart = (100 + percent) * F.abs(F.col("a_d") - F.col("b_d")) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    alike = F.least("a_e", "b_e") + F.least("a_i", "b_i")
+    apart = (100 + percent) * (F.col("a_d") + F.col("b_d") - 2 * alike) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
     met = met.where(_near(F.col("a_n"), F.col("b_n"), percent) & F.coalesce(apart, F.lit(True)))
     return met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
 
 def _link_components(postings: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """(u, v) as ``components`` gives them, of all links between the members of postings (token, doc_id, n)."""
+    """(u, v) as ``components`` gives them, of all links between the members of postings (token, doc_id, n, s)."""
     stars = postings.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
-    postings = postings.withColumn("d", F.lit(None).cast("long"))
+    none = F.lit(None).cast("long")
+    postings = postings.withColumns({"d": none, "e": none, "i": none})
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("n", "d", "e", "i", "root")]
     before = turn = 0
     while True:
         at = postings.join(stars.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         # a posting's main component, and whether it has others; sums over (token, root) keep large postings apart
         sums = at.groupBy("token", "root").agg(F.count("*").alias("c"))
         sums = sums.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top")).where("top < m")
-        open_ = materialize(at.join(sums, "token").select("token", "doc_id", "n", "d", "root", "main", "m"))
+        open_ = materialize(at.join(sums, "token").select("token", "doc_id", "n", "s", "d", "e", "i", "root", "main", "m"))
         left, work = open_.agg(F.count("*"), F.sum(F.when(F.col("root") != F.col("main"), F.col("m")))).first()
         if not left:
             return stars
-        a = open_.select("token", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("d").alias("a_d"), F.col("root").alias("a_root"), "main")
+        a = open_.select("token", F.col("doc_id").alias("a"), *side("a"), "main")
         # Members meet a hub while that leaves fewer of them open; what still is open after that is tested whole.
         last = 2 * work <= left or (turn > 1 and left > 0.9 * before)
         if last:  # every pair of members in different components
-            b = open_.where("root <> main").select("token", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("d").alias("b_d"), F.col("root").alias("b_root"))
+            b = open_.where("root <> main").select("token", F.col("doc_id").alias("b"), *side("b"))
             met = a.join(b, "token").where((F.col("a_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
         else:  # each member with a hub: at first the same for postings that share their members, then one of each posting
             lot = F.xxhash64("doc_id", F.pmod("token", F.lit(2))) if turn == 0 else F.xxhash64("doc_id", "token", F.lit(turn))
-            hubs = open_.groupBy("token").agg(F.min(F.struct(lot, "doc_id", "n", "d", "root")).alias("h"))
-            hubs = hubs.select("token", F.col("h.doc_id").alias("b"), F.col("h.n").alias("b_n"), F.col("h.d").alias("b_d"), F.col("h.root").alias("b_root"))
+            hubs = open_.groupBy("token").agg(F.min(F.struct(lot, "doc_id", "n", "d", "e", "i", "root")).alias("h"))
+            hubs = hubs.select("token", "h.*").select("token", F.col("doc_id").alias("b"), *side("b"))
             met = a.join(hubs, "token").where(F.col("a_root") != F.col("b_root"))
         counted = materialize(overlaps(_pairs(met, percent), segments))
         stars = components(stars.unionByName(_links(counted, percent)))
         if last:
             return stars
         if turn == 0:  # the first hubs are the pivots of their postings
-            far = counted.select("lo", "hi", (F.col("n_lo") + F.col("n_hi") - 2 * F.col("k")).alias("far"))
-            pivots = hubs.select("token", F.col("b").alias("pivot"))
-            pairs = open_.select("token", "doc_id", "n").join(pivots, "token").withColumn("lo", F.least("doc_id", "pivot")).withColumn("hi", F.greatest("doc_id", "pivot"))
-            d = F.when(F.col("doc_id") == F.col("pivot"), 0).otherwise(F.col("far"))
-            postings = materialize(pairs.join(far, ["lo", "hi"], "left").select("token", "doc_id", "n", d.alias("d")))
+            pivots = hubs.select("token", F.col("b").alias("pivot"), F.col("b_n").alias("of_pivot"))
+            pairs = open_.select("token", "doc_id", "n", "s").join(pivots, "token").withColumn("lo", F.least("doc_id", "pivot")).withColumn("hi", F.greatest("doc_id", "pivot"))
+            both = F.when(F.col("doc_id") == F.col("pivot"), F.col("n")).otherwise(F.col("k"))  # null where sizes ruled the pair out
+            differ = [(F.col("n") + F.col("of_pivot") - 2 * both).alias("d"), (F.col("of_pivot") - both).alias("e"), (F.col("s") - both).alias("i")]
+            postings = materialize(pairs.join(counted.select("lo", "hi", "k"), ["lo", "hi"], "left").select("token", "doc_id", "n", "s", *differ))
         before, turn = left, turn + 1
 
 
@@ -303,7 +308,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     least = F.ceil(F.col("n") * percent / 100)  # shingles that a partner must share
     found = tokens.join(often, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t")).where(F.size("t") >= least)
     rare = F.slice("t", F.lit(1), (F.size("t") - least + 1).cast("int"))
-    postings = materialize(found.select("doc_id", "n", F.explode(rare).alias("x")).select("doc_id", "n", F.col("x.token").alias("token")))
+    postings = materialize(found.select("doc_id", "n", F.size("t").cast("long").alias("s"), F.explode(rare).alias("x")).select("doc_id", "n", "s", F.col("x.token").alias("token")))
     stars = _link_components(postings, segments, percent)
     roots = classes.join(stars.withColumnRenamed("u", "rep"), "rep", "left").select(F.col("set1").alias("c1"), F.col("set2").alias("c2"), F.col("n").alias("cn"), F.coalesce("v", "rep").alias("root"))
     same = (F.col("set1") == F.col("c1")) & (F.col("set2") == F.col("c2")) & (F.col("n") == F.col("cn"))
