@@ -22,9 +22,11 @@ from plinth.llm.common import WHITE_SPACE, materialize
 
 FEATURES = T.StructType([T.StructField(x, T.LongType()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 SYMBOLS = "#*$%&|<>"
-#: Measures are features per 1000 words; each has the quantiles (low, high), the fence's reach beyond the high one as a
-#: multiple of their distance, and the least reach.
-MEASURES = {"symbols": ("n_symbols", 0.25, 0.75, 3, 60), "repeats": ("n_repeat_words", 0.25, 0.75, 3, 400), "word_length": ("word_chars", 0.25, 0.75, 3, 1500)}
+#: Measures are features per 1000 words, each with the least reach of its fence beyond the high quantile; the reach is
+#: else TIMES the distance of the quantiles.
+MEASURES = {"symbols": ("n_symbols", 60), "repeats": ("n_repeat_words", 400), "word_length": ("word_chars", 1500)}
+QUANTILES = {"low": 0.25, "high": 0.75}
+TIMES = 3
 MIN_GROUP = 200
 
 
@@ -98,12 +100,9 @@ def fences(measured: DataFrame) -> DataFrame:
     by_all = own.groupBy("measure", "top").agg(F.sum("n").alias("n"))
 
     def fence(df: DataFrame, group: list[str]) -> DataFrame:
-        out = None
-        for m, (_, low, high, times, least) in MEASURES.items():
-            x = quantiles(df.where(F.col("measure") == m), group, {"low": low, "high": high})
-            x = x.select(*group, "measure", "n", (F.col("high") + F.greatest(times * (F.col("high") - F.col("low")), F.lit(least))).alias("fence"))
-            out = x if out is None else out.unionByName(x)
-        return out
+        least = F.coalesce(*[F.when(F.col("measure") == m, least) for m, (_, least) in MEASURES.items()])
+        reach = F.greatest(TIMES * (F.col("high") - F.col("low")), least)
+        return quantiles(df, group, QUANTILES).select(*group, "measure", "n", (F.col("high") + reach).alias("fence"))
 
     a, b, c = fence(own, ["lang", "source"]), fence(by_lang, ["lang"]), fence(by_all, [])
     b = b.select(F.col("lang").alias("b_lang"), F.col("measure").alias("b_measure"), F.col("n").alias("b_n"), F.col("fence").alias("b_fence"))
