@@ -261,3 +261,32 @@ def u4_years_spanning(spark, d):
 @query("SELECT jurisdiction, source_type FROM v_source WHERE jurisdiction IN ('NATION_1', 'NATION_8')")
 def f17_targeted_sources(spark, d):
     return view(spark, d, "v_source").where(F.col("jurisdiction").isin("NATION_1", "NATION_8")).select("jurisdiction", "source_type")
+
+
+@query("SELECT apn, coalesce(address, 'Unmatched') AS address, coalesce(current_zoning, 'unknown') AS current_zoning FROM v_parcel WHERE apn IS NOT NULL")
+def p4_fallback_parcels(spark, d):
+    return view(spark, d, "v_parcel").where("apn IS NOT NULL").select("apn", F.coalesce("address", F.lit("Unmatched")).alias("address"), F.coalesce("current_zoning", F.lit("unknown")).alias("current_zoning"))
+
+
+@query("SELECT l.lead_id, p.parcel_id FROM v_lead l JOIN v_lead_parcel p ON l.lead_id = p.lead_id WHERE l.lead_type = 'SITE_SPECIFIC'")
+def w5_insert_junction(spark, d):
+    return view(spark, d, "v_lead").where("lead_type = 'SITE_SPECIFIC'").join(view(spark, d, "v_lead_parcel"), "lead_id").select("lead_id", "parcel_id")
+
+
+@query("SELECT document_id, CASE WHEN document_id IN (SELECT document_id FROM v_lead) THEN 'PROCESSED' ELSE processed_status END AS processed_status FROM v_document")
+def w6_mark_processed(spark, d):
+    done = view(spark, d, "v_lead").select("document_id").distinct().withColumn("done", F.lit(True))
+    docs = view(spark, d, "v_document").join(done, "document_id", "left")
+    return docs.select("document_id", F.when(F.col("done"), F.lit("PROCESSED")).otherwise(F.col("processed_status")).alias("processed_status"))
+
+
+@query("SELECT d.document_id, count(l.lead_id) AS n_leads, CASE WHEN count(l.lead_id) = 0 THEN 'No leads found' END AS message FROM v_document d LEFT JOIN v_lead l ON d.document_id = l.document_id AND l.signal_strength = 'HIGH' GROUP BY d.document_id")
+def w11_zero_lead_messages(spark, d):
+    high = view(spark, d, "v_lead").where("signal_strength = 'HIGH'").groupBy("document_id").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return view(spark, d, "v_document").join(high, "document_id", "left").select("document_id", n.alias("n_leads"), F.when(n == 0, "No leads found").alias("message"))
+
+
+@query("SELECT processed_status, count(*) AS documents_found, count(DISTINCT city_name) AS n_cities FROM v_document GROUP BY processed_status")
+def a12_run_summary(spark, d):
+    return view(spark, d, "v_document").groupBy("processed_status").agg(F.count("*").alias("documents_found"), F.count_distinct("city_name").alias("n_cities"))

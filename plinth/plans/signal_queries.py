@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plinth.functions import text as t
-from plinth.operators import extraction
+from plinth.operators import extraction, tiers
 from plinth.plans.views import oracle, view
 from plinth.sources.tables import table
 
@@ -130,3 +130,23 @@ def f8_valid_apns(spark, d):
 def x23_phone_audit(spark, d):
     docs = table(spark, d, "documents").where(F.col("text").rlike(r"\(\d{3}\) \d{3}-\d{4}"))
     return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\(\d{3}\) \d{3}-\d{4}"), F.lit(0))).cast("long").alias("n_phones"))
+
+
+@query()
+def x24_regex_tier(spark, d):
+    """All three tiers; 'denied' stands in for the policy words, which the driver's tables don't have."""
+    return tiers.regex_tier(pages(spark, d), ["denied"])
+
+
+@query("SELECT document_id, page_number, CASE WHEN page_text LIKE '%denied%' THEN 'EXCLUDED' ELSE 'MED' END AS disposition, CASE WHEN page_text LIKE '%denied%' THEN 'Current Zoning' ELSE 'Baseline Zoning' END AS current_zoning, CASE WHEN page_text LIKE '%denied%' THEN 'Excluded/Unchanged' ELSE 'Exhibit A' END AS proposed_zoning FROM v_agenda_page WHERE page_text LIKE 'Exhibit A%'")
+def x20_policy_zoning(spark, d):
+    p = pages(spark, d).where(F.col("page_text").startswith("Exhibit A"))
+    p = p.withColumn("disposition", F.when(t.contains_any(F.col("page_text"), t.EXHIBIT_EXCLUSIONS), "EXCLUDED").otherwise("MED"))
+    z = t.infer_policy_zoning(F.lit("Exhibit A"), F.col("page_text"), F.col("disposition"))
+    return p.withColumn("z", z).select("document_id", "page_number", "disposition", F.col("z.current").alias("current_zoning"), F.col("z.proposed").alias("proposed_zoning"))
+
+
+@query("SELECT document_id, page_number, trim(replace(substr(page_text, greatest(1, instr(page_text, 'Item ') - 160), least(160, instr(page_text, 'Item ') - 1) + 165), chr(10), ' ')) AS snippet FROM v_agenda_page")
+def x16_snippets(spark, d):
+    at = F.instr("page_text", "Item ") - 1
+    return pages(spark, d).select("document_id", "page_number", F.trim(F.translate(t.within(F.col("page_text"), F.greatest(at - t.SNIPPET, F.lit(0)), at + 5 + t.SNIPPET), "\n", " ")).alias("snippet"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,3 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession) -> str:
     """A path in it that nothing uses."""
     return f"{shared_folder(spark)}/plinth-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, for plans that read it several times."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

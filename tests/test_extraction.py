@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions import text as t
-from plinth.operators import extraction, serving, signals, store
+from plinth.operators import extraction, serving, signals, store, tiers
 
 
 @pytest.mark.parametrize("pattern", [r"a+", r"b[a-z]", r"(?i)Item \d"])
@@ -76,3 +76,22 @@ def test_store_and_csv(spark):
     assert [r[0] for r in x] == ['"a,b"', '"say ""x"""', "plain", ""]
     siblings = spark.createDataFrame([(1, "p", "d", 1), (2, "p", "d", 2), (3, "p", None, 1), (4, "p", None, 2)], "id int, p string, d string, at int")
     assert {r.id for r in store.drop_older_siblings(siblings, ["p", "d"], "at").collect()} == {2, 3, 4}
+
+
+def test_tiers(spark):
+    pages = [
+        (1, 1, "Item 1: Rezone 042-311-001 citywide"),  # policy, with an APN: its page signals stay
+        (2, 1, "Item 1: Rezone citywide"),
+        (2, 2, "Exhibit B sites removed\n042-311-002\n042-311-003"),  # none on pages: the exhibit's
+        (3, 1, "Municipal code study. Call 650-555-1234"),  # neither: the sweep takes a telephone number
+        (4, 1, "Item 1: Variance"),  # a single site keeps what has no APN
+        (5, 1, "Item 1: Rezone citywide"),  # nothing anywhere: nothing stays
+    ]
+    got = tiers.regex_tier(spark.createDataFrame(pages, "document_id long, page_number int, page_text string")).orderBy("document_id", "apn").collect()
+    assert [(r.document_id, r.apn, r.strength_rank, r.tier, r.classification[:6]) for r in got] == [
+        (1, "042-311-001", 3, "pages", "POLICY"),
+        (2, "042-311-002", 4, "exhibits", "POLICY"),
+        (2, "042-311-003", 4, "exhibits", "POLICY"),
+        (3, "650-555-1234", 2, "sweep", "POLICY"),
+        (4, None, 1, "pages", "SINGLE"),
+    ]
