@@ -29,11 +29,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parallel_shuffles(df: DataFrame) -> int:
-    """How many partitions the session gives a shuffle."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def byte_size(df: DataFrame, column: str) -> int:
     """UTF-8 bytes in a text column, over all rows."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
