@@ -1,12 +1,13 @@
 """Line dedup by site-relative frequency, in DataFrame operations only.
 
 Pages are grouped by host. A line is boilerplate on a host if it stands on more than ``ratio`` of the host's pages and
-on at least ``min_pages`` of them; every copy of it on that host goes. Lines are compared whole, by their 64-bit hash;
-lines without a word are never counted nor dropped. A host can't have more than (distinct lines per page) / ratio such
+on at least ``min_pages`` of them; every copy of it on that host goes. Pages with equal texts (by their 64-bit hash)
+count as one, or else copies of a page would make its own text boilerplate. Lines are compared whole, by their 64-bit
+hash; lines without a word are never counted nor dropped. A host can't have more than (distinct lines per page) / ratio such
 lines, so its list of them stays short whatever the host's size.
 
 Defined results: a null text has no lines and stays null; an empty text stays empty; a null host is a host of its own;
-repeated rows count as pages of their own; an empty table gives an empty result; other columns pass through.
+repeated rows lose the same lines and count once; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ def _lines(text: str) -> Column:
 def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, lines): the hashes of each host's boilerplate lines, for hosts that have any."""
     hashes = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: x.rlike(WORD_PATTERN)), lambda x: F.xxhash64(x)))
-    # A page adds one row for itself (null line) and one for each distinct line, so that totals need no second scan.
-    rows = docs.select(F.col(host).alias("host"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(hashes, F.array().cast("array<long>")))).alias("line"))
+    # A page adds one row for itself (null line) and one for each distinct line, so that totals need no second scan;
+    # copies of a page add the same rows, which go before anything is counted.
+    rows = docs.select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(hashes, F.array().cast("array<long>")))).alias("line"))
+    rows = rows.distinct()
     counts = rows.groupBy("host", "line").agg(F.count("*").alias("pages"))
     totals = F.max(F.when(F.col("line").isNull(), F.col("pages")))
     # Only lines on min_pages or more can count, so the lists that meet in one host's row leave out the long tail.
