@@ -2,7 +2,8 @@
 
 Pages are grouped by host. A line is boilerplate on a host if it stands on more than ``ratio`` of the host's pages and
 on at least ``min_pages`` of them; every copy of it on that host goes. Pages with equal texts (by their 64-bit hash)
-count as one, or else copies of a page would make its own text boilerplate. Lines are compared whole, by their 64-bit
+count as one, or else copies of a page would make its own text boilerplate. The ratio decides alone, whatever the
+host's size: ``min_pages`` only spares what stands on a single page. Lines are compared whole, by their 64-bit
 hash; lines without a word are never counted nor dropped. A host can't have more than (distinct lines per page) / ratio such
 lines, so its list of them stays short whatever the host's size.
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from plinth.llm.common import WORD_PATTERN
 
 RATIO = 0.05
-MIN_PAGES = 10
+MIN_PAGES = 2
 
 
 def _lines(text: str) -> Column:

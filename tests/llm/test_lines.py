@@ -31,9 +31,9 @@ def test_copies_of_a_page_count_once(spark):
     copy = prose(rng, 6)
     rows = [(i, f"menu of h{i % 2}\n{prose(rng, 5)}", f"h{i % 2}") for i in range(60)]
     rows += [(100 + i, copy, f"h{i % 2}") for i in range(30)] + [(200 + i, f"menu of h0\n{copy}", "h0") for i in range(30)] + [(300, None, "h0"), (301, None, "h0")]
-    got = {r.doc_id: r.text for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_pages=10).collect()}
     want = brute(rows, min_pages=10)
-    assert got == brute(rows) and want[100] == want[101] == copy and want[0] == rows[0][1].split("\n", 1)[1]
+    assert got == want and want[100] == want[101] == copy and want[0] == rows[0][1].split("\n", 1)[1]
     assert got[100] == copy and "menu" not in got[200]
 
 
@@ -54,3 +54,14 @@ def test_pipeline_keeps_one_of_many_copies(spark, tmp_path):
     one = {i: t for i, t in want.items() if i <= 1000}
     assert texts["near_duplicates"] == texts["suffix_dedup"] == one
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(one)
+
+
+def test_small_hosts_lose_lines_by_the_ratio_alone(spark):
+    rng = random.Random(3)
+    rows = []
+    for h, n in enumerate((1, 2, 5, 9, 39, 41, 60, 150)):  # a menu on all pages, a line on three, one on two, own lines
+        rows += [(1000 * h + i, f"menu\n{'three' if i < 3 else 'x'}{h}\n{'two' if i < 2 else i}{h}\n{prose(rng, 2)}", f"h{h}") for i in range(n)]
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == brute(rows, min_pages=2)
+    assert got[0].startswith("menu") and not any("menu" in t for i, t in got.items() if i)
+    assert "two4" not in got[4000] and "two5" in got[5000] and "three5" not in got[5000] and "three6" in got[6000]
