@@ -28,15 +28,15 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    """What follows the host up to ``?``, ``#`` or the end; else empty."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """What follows the host up to ``?``, ``#`` or the end; else empty. A later ``://`` is never taken for the first."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^(?>.*?://)[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def canonical(url: Column) -> Column:
     """A URL's identity: host without ``www.`` or ``m.``, path without a last ``/`` or ``.html``, query without tracking."""
     host = F.regexp_replace(host_of(url), r"^(?:www|m)\.|:(?:80|443)$", "")
     path = F.regexp_replace(path_of(url), r"(?:\.html|/)$", "")
-    query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1), F.lit(""))
+    query = F.coalesce(F.regexp_extract(url, r"(?s)^(?>.*?://)[^?#]*\?([^#]*)", 1), F.lit(""))
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(f"^{TRACKING}=")))
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
