@@ -16,7 +16,7 @@ tested, so no link between components is lost, whatever the size of a posting.
 
 Defined results: null and empty texts have the empty set, link with nothing and are components of their own; a text of
 fewer words than the shingle width has one shingle, the whole sequence; rows without an id give no row; rows that
-repeat an id count as one document; an empty table gives an empty result.
+repeat an id count as one document, that of the least text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -290,9 +290,28 @@ def _link_components(postings: DataFrame, segments: DataFrame, percent: int) ->
         before, turn = left, turn + 1
 
 
+def one_per_id(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with one row of each repeated id, that of the least text (nulls last); rows without an id all stay.
+
+    Only ids are counted at first; texts move only where ids repeat.
+    """
+    ids = docs.select(docs[key].cast("long").alias("_plinth_id"))
+    repeated = materialize(ids.where("_plinth_id IS NOT NULL").groupBy("_plinth_id").count().where("count > 1").select("_plinth_id"))
+    n = repeated.count()
+    if not n:
+        return docs
+    repeated = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
+    at = docs[key].cast("long") == F.col("_plinth_id")
+    rows = docs.join(repeated, at, "left_semi").select(docs[key].cast("long").alias("_plinth_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_plinth_row"))
+    least = F.struct(F.col(f"_plinth_row.`{text}`").isNull(), F.col(f"_plinth_row.`{text}`"), F.to_json("_plinth_row"))
+    rows = rows.groupBy("_plinth_id").agg(F.min_by("_plinth_row", least).alias("_plinth_row"))
+    return docs.join(repeated, at, "left_anti").unionByName(rows.select(*[F.col(f"_plinth_row.`{c}`").alias(c) for c in docs.columns]))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document; the component's id is its least document id."""
     texts = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id IS NOT NULL")
+    texts = one_per_id(texts, "doc_id", "text")
     bits = max(6, int(np.ceil(np.log2(max(1, byte_size(texts, "text") / FRAGMENT_BYTES)))))
     schema = "fragment int, docs binary, counts binary, tokens binary, sets binary"
     counted = texts.mapInArrow(_fragments(bits, width), schema).groupBy("fragment").applyInArrow(_shared, FACTS)
@@ -316,7 +335,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component (and rows without an id), all columns."""
+    """The rows of ``docs`` whose id is the least of its component (and rows without an id), one of each id, all columns."""
+    docs = one_per_id(docs, key, text)
     found = jaccard_components(docs, key, text)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_plinth_gone"))
     return docs.join(gone, docs[key].cast("long") == F.col("_plinth_gone"), "left_anti")
