@@ -10,23 +10,49 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.sources.shared import new_path
+from plinth.sources.shared import materialize
+
+__all__ = ["materialize"]
 
 #: Words are runs of anything but these six white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WHITE_SPACE = " \t\n\v\f\r"
 #: Texts of a chunk at most.
 CHUNK_TEXTS = 256
+#: Rows of one or two numbers are broadcast up to this count (some 16 MB); more of them are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Lots of a hot key.
+SALT = 16
+
+
+def join_few(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``few`` (materialised, one row a ``key``), hot keys not in one task.
+
+    ``few`` is broadcast up to ``BROADCAST_ROWS`` rows; beyond it goes to ``SALT`` lots, and rows to one by ``spread``.
+    """
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), key, how)
+    lot = F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int")
+    copies = few.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_lot", lot).join(copies, [key, "_lot"], how).drop("_lot")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
+def one_per_id(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with one row of each repeated id, that of the least text (nulls last); rows without an id all stay.
 
-    Later steps reread the files rather than recompute, so a lost executor costs only its running tasks.
+    Only ids are counted at first; texts move only where ids repeat.
     """
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    ids = docs.select(docs[key].cast("long").alias("_plinth_id"))
+    repeated = materialize(ids.where("_plinth_id IS NOT NULL").groupBy("_plinth_id").count().where("count > 1").select("_plinth_id"))
+    n = repeated.count()
+    if not n:
+        return docs
+    repeated = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+    at = docs[key].cast("long") == F.col("_plinth_id")
+    rows = docs.join(repeated, at, "left_semi").select(docs[key].cast("long").alias("_plinth_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_plinth_row"))
+    least = F.struct(F.col(f"_plinth_row.`{text}`").isNull(), F.col(f"_plinth_row.`{text}`"), F.to_json("_plinth_row"))
+    rows = rows.groupBy("_plinth_id").agg(F.min_by("_plinth_row", least).alias("_plinth_row"))
+    return docs.join(repeated, at, "left_anti").unionByName(rows.select(*[F.col(f"_plinth_row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def byte_size(df: DataFrame, column: str) -> int:

@@ -3,41 +3,46 @@
 Any text of ``LENGTH`` bytes has one anchor: the leftmost of its ``ANCHOR``-byte substrings with the least hash. Equal
 texts have equal anchors at equal offsets, so the corpus splits by anchor without losing a match:
 
-1. A scan cuts each document into blocks: neighbouring windows of LENGTH bytes with one anchor. Only hashes leave it.
-2. Per range of anchor hashes, blocks that stand alone go; of equal blocks all but the first are cut whole; different
-   blocks with one anchor that share bytes beside it may hold equal windows.
-3. Those blocks' bytes, one copy of each, are gathered by anchor. A run-length index of each gathered text streams
-   matching statistics and marks the windows that start earlier as well. An anchor with more than ``MOST`` different
-   blocks would be too much for one task, so its windows are compared by an aggregate over their hashes instead.
+1. A scan cuts each document into blocks: neighbouring windows of LENGTH bytes with one anchor. Only hashes leave it,
+   in ranges of the anchors' hashes.
+2. Per range, blocks that stand alone go. Equal blocks become one entry, the first, before any bytes move, or else a
+   group of copies would meet in one task; later copies are cut whole. Entries that share an anchor and bytes beside it
+   may hold equal windows.
+3. The entries' bytes are gathered by anchor. A run-length index of each gathered text streams matching statistics and
+   marks the windows that start earlier as well. An anchor with too many entries for one index is split by what its
+   windows hold: windows whose anchor lies nearer to their front, or to their back, are equal only if their common
+   bytes are, so each half of the offsets gives smaller groups, again until every group fits.
 4. The marked windows of a document unite into spans, and what is left is joined up.
 
-Defined results: null texts count as empty and keep nothing; texts under LENGTH bytes stay whole; rows without an id
-give no row; rows that repeat an id (and text) are one document, at one place; an empty table gives an empty result.
+Defined results: null texts count as empty and keep nothing; texts under LENGTH bytes stay whole; very long texts are
+scanned in overlapping pieces, whole; of equal places in equal documents the one with the smaller id is the first; rows
+without an id give no row; rows that repeat an id are one document, that of the least text; an empty table gives an
+empty result; other columns, whatever their names, pass ``drop_repeats`` unchanged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import byte_size, materialize, text_chunks
+from plinth.llm.common import BROADCAST_ROWS, byte_size, join_few, materialize, one_per_id, text_chunks
 from plinth.llm.run_index import RunIndex
 
 LENGTH, ANCHOR = 100, 32
 SPAN = LENGTH - ANCHOR + 1
 #: Every window holds so many bytes on one side of its anchor at least.
 SIDE = (LENGTH - ANCHOR) // 2
-#: Different blocks of an anchor that an index takes.
-MOST = 4096
+#: Entries of a group that one index takes; larger groups are split.
+MOST = 2048
 CHUNK_BYTES, PIECE_BYTES, FLUSH = 1 << 18, 1 << 20, 200_000
 RANGE_BYTES = 8 << 20
 INDEX_BYTES = 512 << 10
 MARK = 6
-BROADCAST_IDS = 1_000_000
 
 U = np.uint64
 _rng = np.random.default_rng(20240502)
@@ -118,7 +123,8 @@ def _scan(bits: int):
 
     def flush(ids: list, text: list, found: list) -> Iterator[pa.RecordBatch]:
         docs, owner, block = np.concatenate(ids), np.concatenate(text), np.concatenate(found)
-        part = (block["h"] >> U(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+        # anchors are least hashes, so their upper bits are mostly zeros; mixed again, they spread
+        part = (_mix(block["h"] * _BASE) >> U(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(part, kind="stable")
         part, owner, block = part[order], owner[order], block[order]
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
@@ -150,12 +156,12 @@ def _scan(bits: int):
     return work
 
 
-FOUND = "doc_id long, start long, size int, h long, v long, asks boolean"
+FOUND = "doc_id long, start long, size int, h long, offset int, asks boolean"
 
 
 def _compare(rows: pa.Table) -> pa.Table:
     """Reduce side, for one range: blocks to cut (asks false), and blocks whose windows an index has to compare."""
-    get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows.column(name).to_pylist()])
+    get = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)])
     docs = np.repeat(get("docs", np.int64), get("counts", np.uint32))
     block = get("blocks", BLOCK)
     h = block["h"].copy()
@@ -182,7 +188,7 @@ def _compare(rows: pa.Table) -> pa.Table:
     ask = ones[asks]
     at = np.concatenate([again, ask])
     b = block[at]
-    return pa.table([docs[at], b["start"].astype(np.int64), b["size"].astype(np.int32), b["h"].astype(U).view(np.int64), b["v"].astype(U).view(np.int64), np.arange(len(at)) >= len(again)], names=["doc_id", "start", "size", "h", "v", "asks"])
+    return pa.table([docs[at], b["start"].astype(np.int64), b["size"].astype(np.int32), b["h"].astype(U).view(np.int64), b["offset"].astype(np.int32), np.arange(len(at)) >= len(again)], names=["doc_id", "start", "size", "h", "offset", "asks"])
 
 
 SPANS = "doc_id long, start long, size int"
@@ -211,43 +217,67 @@ def _index(rows: pa.Table) -> pa.Table:
     return pa.table([docs[own[a]], start[own[a]] + within[a], (z - a + LENGTH).astype(np.int32)], names=["doc_id", "start", "size"])
 
 
-def _by_hash(blocks_: DataFrame) -> DataFrame:
-    """As ``_index``, for any number of blocks: a window is cut unless it is the first with its two hashes."""
-    w = blocks_.select("doc_id", "start", "bytes", F.explode(F.sequence(F.lit(0), F.col("size") - LENGTH)).alias("i"))
-    w = w.select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.substring("bytes", F.col("i") + 1, F.lit(LENGTH)).alias("w"))
-    w = w.select("doc_id", "start", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w", F.lit(2)).alias("k2"))
-    least = w.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("least"))
-    return w.join(least, ["k1", "k2"]).where(F.struct("doc_id", "start") != F.col("least")).select("doc_id", "start", F.lit(LENGTH).alias("size"))
-
-
 def _fetch(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked`` blocks with their bytes."""
-    lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "h")).alias("asked"))
+    lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "h", "offset")).alias("asked"))
     raw = F.encode("text", "UTF-8")
-    cut = F.transform("asked", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["h"].alias("h"), F.substring(F.col("raw"), (x["start"] + 1).cast("int"), x["size"]).alias("bytes")))
-    found = _only(texts, lists.select("doc_id")).dropDuplicates(["doc_id"]).join(lists, "doc_id").withColumn("raw", raw).select("doc_id", F.explode(cut).alias("x"))
-    return found.select("doc_id", "x.*").where(F.length("bytes") == F.col("size"))
+    cut = F.transform("asked", lambda x: F.struct(x["start"].alias("start"), x["h"].alias("g"), x["offset"].alias("offset"), F.substring(F.col("raw"), (x["start"] + 1).cast("int"), x["size"]).alias("bytes")))
+    found = _only(texts, lists.select("doc_id")).join(lists, "doc_id").withColumn("raw", raw)
+    return found.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
 
 
 def _only(texts: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The texts with (or without) one of the ids, which are broadcast if they are few."""
-    few = ids.count() <= BROADCAST_IDS
+    few = ids.count() <= BROADCAST_ROWS
     return texts.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
+def _halves(blocks_: DataFrame) -> DataFrame:
+    """Blocks (g, low, high, doc_id, start, offset, bytes) as their windows of either half of the anchor offsets.
+
+    A window's anchor offset is between ``low`` and ``high``. All windows of a half hold the bytes from its low offset
+    before the anchor to what its high offset leaves behind it, so equal windows have one such hash.
+    """
+    half = F.explode(F.array(F.lit(0), F.lit(1))).alias("half")
+    mid = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    halves = blocks_.withColumn("mid", mid).select("*", half).withColumns({"low": F.when(F.col("half") == 0, F.col("low")).otherwise(F.col("mid") + 1), "high": F.when(F.col("half") == 0, F.col("mid")).otherwise(F.col("high"))})
+    first = F.greatest(F.col("low"), F.col("offset") - F.octet_length("bytes") + LENGTH)  # least and greatest offset of the block's own windows
+    last = F.least("high", "offset")
+    own = halves.withColumns({"first": first, "last": last}).where("first <= last")
+    own = own.select("g", "low", "high", "doc_id", (F.col("start") + F.col("offset") - F.col("last")).alias("start"), F.col("last").alias("offset"), F.substring("bytes", F.col("offset") - F.col("last") + 1, F.col("last") - F.col("first") + LENGTH).alias("bytes"))
+    common = F.substring("bytes", F.col("offset") - F.col("low") + 1, LENGTH - F.col("high") + F.col("low"))
+    return own.withColumn("g", F.xxhash64("g", "low", common))
+
+
+def _indexed(blocks_: DataFrame, most: int) -> DataFrame:
+    """Spans of the windows in blocks (g, doc_id, start, offset, bytes) that start earlier in a block of the same ``g``."""
+    parts = max(64, blocks_.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0] // INDEX_BYTES)
+    groups = blocks_.withColumns({"low": F.lit(0), "high": F.lit(SPAN - 1)})
+    spans = []
+    while True:
+        per = groups.groupBy("g").agg(F.count("*").alias("c"))
+        large = materialize(per.where(F.col("c") > most).select("g", F.lit(True).alias("large")))
+        sized = join_few(groups, large, "g", "doc_id", "left") if large.count() else groups.withColumn("large", F.lit(None).cast("boolean"))
+        small = sized.where("large IS NULL").select(F.pmod(F.xxhash64("g"), F.lit(parts)).alias("part"), "doc_id", "start", "bytes")
+        spans.append(small.groupBy("part").applyInArrow(_index, SPANS))
+        if not large.count():
+            return reduce(DataFrame.unionByName, spans)
+        halves = materialize(_halves(sized.where("large")))
+        place = F.struct("doc_id", "start")
+        entries = materialize(halves.groupBy("g", "low", "high", "offset", "bytes").agg(F.min(place).alias("first")))
+        later = halves.join(entries.select("g", "bytes", "first"), ["g", "bytes"]).where(place != F.col("first"))
+        spans.append(later.select("doc_id", "start", F.octet_length("bytes").alias("size")))
+        shared = materialize(entries.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"))
+        groups = join_few(entries.select("g", "low", "high", "offset", "bytes", "first.*"), shared, "g", "doc_id")
+
+
 def repeated_spans(texts: DataFrame, most: int = MOST) -> DataFrame:
     """(doc_id, start, size): overlapping spans of bytes to cut, from texts (doc_id, text)."""
     bits = max(6, int(np.ceil(np.log2(max(1, byte_size(texts, "text") / RANGE_BYTES)))))
     packed = texts.mapInArrow(_scan(bits), "part int, docs binary, counts binary, blocks binary")
     found = materialize(packed.groupBy("part").applyInArrow(_compare, FOUND))
-    asked = found.where("asks")
-    blocks_ = materialize(_fetch(texts, asked))
-    per = blocks_.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("c"))
-    parts = max(64, blocks_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // INDEX_BYTES)
-    sized = blocks_.join(per, F.col("h") == F.col("g"))
-    indexed = sized.where(F.col("c") <= most).select(F.pmod(F.xxhash64("h"), F.lit(parts)).alias("part"), "doc_id", "start", "bytes").groupBy("part").applyInArrow(_index, SPANS)
-    hashed = _by_hash(sized.where(F.col("c") > most).select("doc_id", "start", "size", "bytes"))
-    return found.where("NOT asks").select("doc_id", "start", "size").unionByName(indexed).unionByName(hashed)
+    entries = materialize(_fetch(texts, found.where("asks")))
+    return found.where("NOT asks").select("doc_id", "start", "size").unionByName(_indexed(entries, most))
 
 
 def unite(spans: list[dict], size: int) -> list[list[int]]:
@@ -282,6 +312,7 @@ KEPT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kep
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): each document's size, the spans cut from it and the bytes that stay."""
     texts = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    texts = one_per_id(texts, "doc_id", "text")
     spans = materialize(repeated_spans(texts, most).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans")))
     ids = spans.select("doc_id")
     raw = F.encode("text", "UTF-8")
@@ -294,11 +325,12 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """``docs`` with what ``cut_repeats`` cuts out of ``text``, and all other columns as they were.
 
     A text stays text: where a span ends within a character of several bytes, the whole character stays. Texts without
-    spans (nulls and rows without an id among them) stay as they are; ids must be unique.
+    spans (nulls and rows without an id among them) stay as they are.
     """
+    docs = one_per_id(docs, key, text)
     texts = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     spans = materialize(repeated_spans(texts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans")))
-    few = spans.count() <= BROADCAST_IDS
+    few = spans.count() <= BROADCAST_ROWS
     ids = spans.select(F.col("doc_id").alias("_plinth_id"))
     ids = F.broadcast(ids) if few else ids
     on = docs[key].cast("long") == F.col("_plinth_id")
