@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.common import materialize
+from plinth.sources.shared import discard
 
 
 #: Edges of a partition. A graph that fits in one needs no shuffle; larger ones have partitions in proportion.
@@ -36,4 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             return now
         seen, parts = state, state[0] // PART_EDGES + 1
-        now = materialize(_star(_star(now.coalesce(parts), True, parts), False, parts))
+        now, before = materialize(_star(_star(now.coalesce(parts), True, parts), False, parts)), now
+        discard(before)

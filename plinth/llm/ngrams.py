@@ -11,12 +11,16 @@ holds more than one fragment of a set:
    decide exactly.
 
 Postings with many members would give all their pairs. Components need only some: rounds test each member against a
-few hubs of its postings and merge what links; then every pair of members that are still in different components is
-tested, so no link between components is lost, whatever the size of a posting.
+hub of its postings and merge what links. Members that are still apart are compared by what they differ in from a
+common reference: undecided pairs share some of that, so its rarest part gives new, small postings. Pairs are listed
+only once they are no more than the rows of the first postings (or no round makes them fewer), so no link between
+components is lost, whatever the size of a posting.
 
 Defined results: null and empty texts have the empty set, link with nothing and are components of their own; a text of
-fewer words than the shingle width has one shingle, the whole sequence; rows without an id give no row; rows that
-repeat an id count as one document, that of the least text; an empty table gives an empty result.
+fewer words than the shingle width has one shingle, the whole sequence; very long texts count whole, in more
+fragments; a similarity of just the percentage links; rows without an id give no row; rows that repeat an id count as
+one document, that of the least text; an empty table gives an empty result; other columns, whatever their names, pass
+``one_of_each`` unchanged.
 """
 
 from __future__ import annotations
@@ -25,23 +29,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import byte_size, materialize, text_chunks
+from plinth.llm.common import BROADCAST_ROWS, byte_size, join_few, materialize, one_per_id, text_chunks
 from plinth.llm.components import components
 
 WIDTH = 5
 #: Similarity, in hundredths.
 PERCENT = 75
-#: Fragments of a set while pairs are counted; and bytes of text for each fragment of the first count.
-PAIR_FRAGMENTS = 4
+#: Bytes of text for each fragment of the first count; shingles of one set in a fragment while pairs are counted.
 FRAGMENT_BYTES = 8 << 20
+FRAGMENT_TOKENS = 1 << 15
 CHUNK_BYTES = 1 << 18
-FLUSH = 1_000_000
-#: Ids up to this count are broadcast (8 MB); more of them are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+FLUSH = 400_000
 HASH_BITS = 56
+#: A round helps if it leaves so much of the rows (or pairs) at most.
+HELPS = 0.7
 
 U = np.uint64
 _rng = np.random.default_rng(20240501)
@@ -200,9 +204,8 @@ def _shared(rows: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _segments(width: int):
+def _segments(width: int, bits: int):
     """Task that gives each set as rows of pair fragments: (doc_id, n, fragment, tokens)."""
-    bits = PAIR_FRAGMENTS.bit_length() - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, owner, h in _sets(batches, width):
@@ -213,7 +216,7 @@ def _segments(width: int):
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             own = part[at] >> bits
             lists = pa.ListArray.from_arrays(pa.array([*at, len(h)], pa.int32()), pa.array(h.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own].astype(np.int64)), pa.array(n[own]), pa.array((part[at] & (PAIR_FRAGMENTS - 1)).astype(np.int32)), lists], names=["doc_id", "n", "fragment", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own].astype(np.int64)), pa.array(n[own]), pa.array((part[at] & ((1 << bits) - 1)).astype(np.int32)), lists], names=["doc_id", "n", "fragment", "tokens"])
 
     return work
 
@@ -237,75 +240,89 @@ def _links(counted: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of members that met, if their sizes and their differences from the pivot let them be similar.
-
-    Similar sets differ in at most (100 - percent) / (100 + percent) of their summed sizes. Two sets differ by what
-    each differs from a third set, the posting's pivot, less twice what they differ in alike. Alike can be only as many
-    of the pivot's shingles as both lack (``e`` each), and of those beyond the pivot's as both hold and others hold
-    too (``i`` each).
-    """
-    alike = F.least("a_e", "b_e") + F.least("a_i", "b_i")
-    apart = (100 + percent) * (F.col("a_d") + F.col("b_d") - 2 * alike) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
-    met = met.where(_near(F.col("a_n"), F.col("b_n"), percent) & F.coalesce(apart, F.lit(True)))
+    """Distinct pairs of members (a, b) that met, if their sizes, and what they can differ in alike, let them be similar."""
+    alike = 2 * (100 + percent) * F.least("a_s", "b_s") >= F.col("a_f") + F.col("b_f")
+    met = met.where(_near(F.col("a_n"), F.col("b_n"), percent) & F.coalesce(alike, F.lit(True)))
     return met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
 
-def _link_components(postings: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """(u, v) as ``components`` gives them, of all links between the members of postings (token, doc_id, n, s)."""
+def _open(postings: DataFrame, stars: DataFrame) -> tuple[DataFrame, int, int]:
+    """The postings whose members stand in several components, with ``root`` and the ``main`` one; their rows; their pairs at most."""
+    at = postings.join(stars.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    # sums over (token, root) come first and keep large postings apart
+    sums = at.groupBy("token", "root").agg(F.count("*").alias("c"))
+    sums = sums.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top")).where("top < m")
+    sums = materialize(sums)
+    open_ = materialize(join_few(at, sums.select("token", "main"), "token", "doc_id"))
+    left, work = sums.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m") * (F.col("m") - F.col("top"))), F.lit(0))).first()
+    return open_, left, work
+
+
+def _by_differences(open_: DataFrame, segments: DataFrame, stars: DataFrame, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
+    """(postings, stars): all pairs of ``open_`` that may still link, as members of new postings.
+
+    Each posting takes a reference P from its main component. Members x and y link if 2 (100 + t) |Dx & Dy| >= f(x) + f(y),
+    where D is what a set differs in from P, d its size, n the set's and f = (100 + t) d - (100 - t) n. The right side is
+    over 0 once x isn't linked with P, and of an undecided pair one member isn't. So such pairs share what they differ
+    in, and meet in the rarest part of it: size of D - need + 1 of its tokens.
+    """
+    refs = open_.where("root = main").groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("r"))
+    refs = materialize(refs.select("token", F.col("r.doc_id").alias("ref")))
+    pairs = join_few(open_.select("token", "doc_id", "n"), refs, "token", "doc_id").where("doc_id <> ref").select("ref", "doc_id", "n").distinct()
+    pairs = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
+    of = lambda key, name: segments.select(F.col("doc_id").alias(key), "fragment", F.col("tokens").alias(name))
+    none = F.array().cast("array<long>")
+    sides = pairs.join(of("doc_id", "own"), ["doc_id", "fragment"], "left").join(of("ref", "its"), ["ref", "fragment"], "left").withColumns({"own": F.coalesce("own", none), "its": F.coalesce("its", none)})
+    differ = materialize(sides.select("ref", "doc_id", "n", F.size("its").alias("m"), F.concat(F.array_except("own", "its"), F.array_except("its", "own")).alias("tokens")))
+    sums = differ.groupBy("ref", "doc_id", "n").agg(F.sum("m").alias("m"), F.sum(F.size("tokens")).cast("long").alias("d"))
+    linked = sums.where((100 + percent) * F.col("d") <= (100 - percent) * (F.col("n") + F.col("m"))).select(F.greatest("ref", "doc_id").alias("u"), F.least("ref", "doc_id").alias("v"))
+    stars = components(stars.unionByName(linked))
+    roots = lambda key, name: stars.select(F.col("u").alias(key), F.col("v").alias(name))
+    members = sums.join(roots("doc_id", "root"), "doc_id", "left").join(roots("ref", "main"), "ref", "left")
+    members = members.select("ref", "doc_id", "n", ((100 + percent) * F.col("d") - (100 - percent) * F.col("n")).alias("f"), (F.coalesce("root", "doc_id") != F.coalesce("main", "ref")).alias("apart"))
+    members = materialize(members)
+    least = materialize(members.groupBy("ref").agg(F.min("f").alias("f_all"), F.min(F.when(F.col("apart"), F.col("f"))).alias("f_apart")).where("f_apart IS NOT NULL"))
+    members = join_few(members, least, "ref", "doc_id")
+    need = F.ceil((F.col("f") + F.when(F.col("apart"), F.col("f_all")).otherwise(F.col("f_apart"))) / (2 * (100 + percent)))
+    members = members.select("ref", "doc_id", "n", "f", "apart", F.greatest(need, F.lit(1)).alias("need"))
+    tokens = materialize(differ.select("ref", "doc_id", F.explode("tokens").alias("token")).join(members, ["ref", "doc_id"]))
+    often = tokens.groupBy("ref", "token").agg(F.count("*").alias("df"), F.max("apart").alias("any")).where("df > 1 AND any").select("ref", "token", "df")
+    own = Window.partitionBy("ref", "doc_id")
+    ranked = tokens.join(often, ["ref", "token"]).select("ref", "doc_id", "n", "f", "need", "token", F.count("*").over(own).alias("s"), F.row_number().over(own.orderBy("df", "token")).alias("i"))
+    return materialize(ranked.where("i <= s - need + 1").select(F.xxhash64("ref", "token").alias("token"), "doc_id", "n", "f", "s")), stars
+
+
+def _link_components(postings: DataFrame, segments: DataFrame, percent: int, fragments: int) -> DataFrame:
+    """(u, v) as ``components`` gives them, of all links between the members of postings (token, doc_id, n).
+
+    Members meet a hub of each posting while that decides many of them. What is left then goes to postings of what
+    members differ in. Pairs are listed at last, when they are no more than the postings' rows were at first.
+    """
     stars = postings.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
-    none = F.lit(None).cast("long")
-    postings = postings.withColumns({"d": none, "e": none, "i": none})
-    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("n", "d", "e", "i", "root")]
-    before = turn = 0
+    postings = postings.withColumns({"f": F.lit(None).cast("long"), "s": F.lit(None).cast("long")})
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("n", "f", "s", "root")]
+    most, turn, before, floor = postings.count(), 0, 0, None
     while True:
-        at = postings.join(stars.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        # a posting's main component, and whether it has others; sums over (token, root) keep large postings apart
-        sums = at.groupBy("token", "root").agg(F.count("*").alias("c"))
-        sums = sums.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top")).where("top < m")
-        open_ = materialize(at.join(sums, "token").select("token", "doc_id", "n", "s", "d", "e", "i", "root", "main", "m"))
-        left, work = open_.agg(F.count("*"), F.sum(F.when(F.col("root") != F.col("main"), F.col("m")))).first()
+        open_, left, work = _open(postings, stars)
         if not left:
             return stars
         a = open_.select("token", F.col("doc_id").alias("a"), *side("a"), "main")
-        # Members meet a hub while that leaves fewer of them open; what still is open after that is tested whole.
-        last = 2 * work <= left or (turn > 1 and left > 0.9 * before)
-        if last:  # every pair of members in different components
+        if work > most and (turn == 0 or left <= HELPS * before):
+            # each member with a hub: at first the same for postings that share their members, then one of each posting
+            lot = F.xxhash64("doc_id", F.pmod("token", F.lit(2))) if turn == 0 else F.xxhash64("doc_id", "token", F.lit(turn))
+            hubs = open_.groupBy("token").agg(F.min(F.struct(lot, "doc_id", "n", "f", "s", "root")).alias("h"))
+            hubs = materialize(hubs.select("token", "h.*").select("token", F.col("doc_id").alias("b"), *side("b")))
+            met = materialize(join_few(a, hubs, "token", "a").where("a <> b"))
+            stars = components(stars.unionByName(_links(overlaps(_pairs(met.where("a_root <> b_root"), percent), segments), percent)))
+            postings = met.select("token", F.col("a").alias("doc_id"), F.col("a_n").alias("n"), F.col("a_f").alias("f"), F.col("a_s").alias("s"))
+            before, turn = left, turn + 1
+        elif work > most and (floor is None or work <= HELPS * floor):
+            postings, stars = _by_differences(open_, segments, stars, percent, fragments)
+            floor, turn = work, 0
+        else:  # every pair of members in different components
             b = open_.where("root <> main").select("token", F.col("doc_id").alias("b"), *side("b"))
             met = a.join(b, "token").where((F.col("a_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
-        else:  # each member with a hub: at first the same for postings that share their members, then one of each posting
-            lot = F.xxhash64("doc_id", F.pmod("token", F.lit(2))) if turn == 0 else F.xxhash64("doc_id", "token", F.lit(turn))
-            hubs = open_.groupBy("token").agg(F.min(F.struct(lot, "doc_id", "n", "d", "e", "i", "root")).alias("h"))
-            hubs = hubs.select("token", "h.*").select("token", F.col("doc_id").alias("b"), *side("b"))
-            met = a.join(hubs, "token").where(F.col("a_root") != F.col("b_root"))
-        counted = materialize(overlaps(_pairs(met, percent), segments))
-        stars = components(stars.unionByName(_links(counted, percent)))
-        if last:
-            return stars
-        if turn == 0:  # the first hubs are the pivots of their postings
-            pivots = hubs.select("token", F.col("b").alias("pivot"), F.col("b_n").alias("of_pivot"))
-            pairs = open_.select("token", "doc_id", "n", "s").join(pivots, "token").withColumn("lo", F.least("doc_id", "pivot")).withColumn("hi", F.greatest("doc_id", "pivot"))
-            both = F.when(F.col("doc_id") == F.col("pivot"), F.col("n")).otherwise(F.col("k"))  # null where sizes ruled the pair out
-            differ = [(F.col("n") + F.col("of_pivot") - 2 * both).alias("d"), (F.col("of_pivot") - both).alias("e"), (F.col("s") - both).alias("i")]
-            postings = materialize(pairs.join(counted.select("lo", "hi", "k"), ["lo", "hi"], "left").select("token", "doc_id", "n", "s", *differ))
-        before, turn = left, turn + 1
-
-
-def one_per_id(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with one row of each repeated id, that of the least text (nulls last); rows without an id all stay.
-
-    Only ids are counted at first; texts move only where ids repeat.
-    """
-    ids = docs.select(docs[key].cast("long").alias("_plinth_id"))
-    repeated = materialize(ids.where("_plinth_id IS NOT NULL").groupBy("_plinth_id").count().where("count > 1").select("_plinth_id"))
-    n = repeated.count()
-    if not n:
-        return docs
-    repeated = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
-    at = docs[key].cast("long") == F.col("_plinth_id")
-    rows = docs.join(repeated, at, "left_semi").select(docs[key].cast("long").alias("_plinth_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_plinth_row"))
-    least = F.struct(F.col(f"_plinth_row.`{text}`").isNull(), F.col(f"_plinth_row.`{text}`"), F.to_json("_plinth_row"))
-    rows = rows.groupBy("_plinth_id").agg(F.min_by("_plinth_row", least).alias("_plinth_row"))
-    return docs.join(repeated, at, "left_anti").unionByName(rows.select(*[F.col(f"_plinth_row.`{c}`").alias(c) for c in docs.columns]))
+            return components(stars.unionByName(_links(overlaps(_pairs(met, percent), segments), percent)))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -319,16 +336,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     linked = facts.where((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n")))
     classes = materialize(linked.groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
     reps = classes.select(F.col("rep").alias("doc_id"))
-    n_reps = reps.count()
-    chosen = texts.join(F.broadcast(reps) if n_reps <= BROADCAST_IDS else reps, "doc_id", "left_semi")
-    segments = materialize(chosen.mapInArrow(_segments(width), "doc_id long, n long, fragment int, tokens array<long>"))
+    n_reps, longest = classes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    chosen = texts.join(F.broadcast(reps) if n_reps <= BROADCAST_ROWS else reps, "doc_id", "left_semi")
+    pair_bits = max(2, int(np.ceil(np.log2(max(1, longest / FRAGMENT_TOKENS)))))
+    segments = materialize(chosen.mapInArrow(_segments(width, pair_bits), "doc_id long, n long, fragment int, tokens array<long>"))
     tokens = segments.select("doc_id", "n", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     least = F.ceil(F.col("n") * percent / 100)  # shingles that a partner must share
-    found = tokens.join(often, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t")).where(F.size("t") >= least)
-    rare = F.slice("t", F.lit(1), (F.size("t") - least + 1).cast("int"))
-    postings = materialize(found.select("doc_id", "n", F.size("t").cast("long").alias("s"), F.explode(rare).alias("x")).select("doc_id", "n", "s", F.col("x.token").alias("token")))
-    stars = _link_components(postings, segments, percent)
+    own = Window.partitionBy("doc_id")
+    ranked = tokens.join(often, "token").select("doc_id", "n", "token", F.count("*").over(own).alias("s"), F.row_number().over(own.orderBy("df", "token")).alias("i"))
+    postings = materialize(ranked.where(F.col("i") <= F.col("s") - least + 1).select("token", "doc_id", "n"))
+    stars = _link_components(postings, segments, percent, 1 << pair_bits)
     roots = classes.join(stars.withColumnRenamed("u", "rep"), "rep", "left").select(F.col("set1").alias("c1"), F.col("set2").alias("c2"), F.col("n").alias("cn"), F.coalesce("v", "rep").alias("root"))
     same = (F.col("set1") == F.col("c1")) & (F.col("set2") == F.col("c2")) & (F.col("n") == F.col("cn"))
     return facts.join(roots, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
