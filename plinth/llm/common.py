@@ -19,8 +19,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WHITE_SPACE = " \t\n\v\f\r"
 #: Texts of a chunk at most.
 CHUNK_TEXTS = 256
-#: Rows of one or two numbers are broadcast up to this count (some 16 MB); more of them are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of one or two numbers are broadcast up to this count (some 10 MB); more of them are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Lots of a hot key.
 SALT = 16
 

@@ -26,6 +26,7 @@ one document, that of the least text; an empty table gives an empty result; othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm.common import BROADCAST_ROWS, byte_size, join_few, materialize, one_per_id, text_chunks
 from plinth.llm.components import components
+from plinth.sources.shared import discard
 
 WIDTH = 5
 #: Similarity, in hundredths.
@@ -44,8 +46,16 @@ FRAGMENT_TOKENS = 1 << 15
 CHUNK_BYTES = 1 << 18
 FLUSH = 400_000
 HASH_BITS = 56
-#: A round helps if it leaves so much of the rows (or pairs) at most.
-HELPS = 0.7
+#: A round of hubs helps if it leaves so much of the rows at most.
+HELPS = 0.35
+#: Meetings of two members for each row of the first postings, up to which pairs are listed: by postings of shingles,
+#: of which most are pairs, and by postings of what members differ in, of which few are.
+MEETINGS = (1, 32)
+#: Words of 64 bits that sum up what a member differs in.
+MASKS = 4
+#: Rows of a partition of small tables.
+PART_ROWS = 100_000
+_FILTER = ["f", "s", *[f"m{i}" for i in range(MASKS)]]
 
 U = np.uint64
 _rng = np.random.default_rng(20240501)
@@ -241,24 +251,31 @@ def _links(counted: DataFrame, percent: int) -> DataFrame:
 
 def _pairs(met: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of members (a, b) that met, if their sizes, and what they can differ in alike, let them be similar."""
-    alike = 2 * (100 + percent) * F.least("a_s", "b_s") >= F.col("a_f") + F.col("b_f")
+    # a bit that one set's tokens have and the other's lack stands for a token at least that isn't shared
+    own = lambda x, y: F.col(f"{x}_s") - reduce(Column.__add__, [F.bit_count(F.col(f"{x}_m{i}").bitwiseAND(F.bitwise_not(f"{y}_m{i}"))) for i in range(MASKS)])
+    alike = 2 * (100 + percent) * F.least(own("a", "b"), own("b", "a")) >= F.col("a_f") + F.col("b_f")
     met = met.where(_near(F.col("a_n"), F.col("b_n"), percent) & F.coalesce(alike, F.lit(True)))
     return met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
 
-def _open(postings: DataFrame, stars: DataFrame) -> tuple[DataFrame, int, int]:
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about so many rows at most, written in few files."""
+    return materialize(df.coalesce(rows // PART_ROWS + 1))
+
+
+def _open(postings: DataFrame, stars: DataFrame, rows: int) -> tuple[DataFrame, int, int]:
     """The postings whose members stand in several components, with ``root`` and the ``main`` one; their rows; their pairs at most."""
     at = postings.join(stars.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     # sums over (token, root) come first and keep large postings apart
     sums = at.groupBy("token", "root").agg(F.count("*").alias("c"))
     sums = sums.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top")).where("top < m")
-    sums = materialize(sums)
-    open_ = materialize(join_few(at, sums.select("token", "main"), "token", "doc_id"))
+    sums = _small(sums, rows)
+    open_ = _small(join_few(at, sums.select("token", "main"), "token", "doc_id"), rows)
     left, work = sums.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m") * (F.col("m") - F.col("top"))), F.lit(0))).first()
     return open_, left, work
 
 
-def _by_differences(open_: DataFrame, segments: DataFrame, stars: DataFrame, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
+def _by_differences(open_: DataFrame, segments: DataFrame, stars: DataFrame, percent: int, fragments: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """(postings, stars): all pairs of ``open_`` that may still link, as members of new postings.
 
     Each posting takes a reference P from its main component. Members x and y link if 2 (100 + t) |Dx & Dy| >= f(x) + f(y),
@@ -267,7 +284,7 @@ def _by_differences(open_: DataFrame, segments: DataFrame, stars: DataFrame, per
     in, and meet in the rarest part of it: size of D - need + 1 of its tokens.
     """
     refs = open_.where("root = main").groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("r"))
-    refs = materialize(refs.select("token", F.col("r.doc_id").alias("ref")))
+    refs = _small(refs.select("token", F.col("r.doc_id").alias("ref")), rows)
     pairs = join_few(open_.select("token", "doc_id", "n"), refs, "token", "doc_id").where("doc_id <> ref").select("ref", "doc_id", "n").distinct()
     pairs = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
     of = lambda key, name: segments.select(F.col("doc_id").alias(key), "fragment", F.col("tokens").alias(name))
@@ -280,16 +297,20 @@ def _by_differences(open_: DataFrame, segments: DataFrame, stars: DataFrame, per
     roots = lambda key, name: stars.select(F.col("u").alias(key), F.col("v").alias(name))
     members = sums.join(roots("doc_id", "root"), "doc_id", "left").join(roots("ref", "main"), "ref", "left")
     members = members.select("ref", "doc_id", "n", ((100 + percent) * F.col("d") - (100 - percent) * F.col("n")).alias("f"), (F.coalesce("root", "doc_id") != F.coalesce("main", "ref")).alias("apart"))
-    members = materialize(members)
-    least = materialize(members.groupBy("ref").agg(F.min("f").alias("f_all"), F.min(F.when(F.col("apart"), F.col("f"))).alias("f_apart")).where("f_apart IS NOT NULL"))
-    members = join_few(members, least, "ref", "doc_id")
+    listed = _small(members, rows)
+    least = _small(listed.groupBy("ref").agg(F.min("f").alias("f_all"), F.min(F.when(F.col("apart"), F.col("f"))).alias("f_apart")).where("f_apart IS NOT NULL"), rows)
+    members = join_few(listed, least, "ref", "doc_id")
     need = F.ceil((F.col("f") + F.when(F.col("apart"), F.col("f_all")).otherwise(F.col("f_apart"))) / (2 * (100 + percent)))
     members = members.select("ref", "doc_id", "n", "f", "apart", F.greatest(need, F.lit(1)).alias("need"))
     tokens = materialize(differ.select("ref", "doc_id", F.explode("tokens").alias("token")).join(members, ["ref", "doc_id"]))
     often = tokens.groupBy("ref", "token").agg(F.count("*").alias("df"), F.max("apart").alias("any")).where("df > 1 AND any").select("ref", "token", "df")
     own = Window.partitionBy("ref", "doc_id")
-    ranked = tokens.join(often, ["ref", "token"]).select("ref", "doc_id", "n", "f", "need", "token", F.count("*").over(own).alias("s"), F.row_number().over(own.orderBy("df", "token")).alias("i"))
-    return materialize(ranked.where("i <= s - need + 1").select(F.xxhash64("ref", "token").alias("token"), "doc_id", "n", "f", "s")), stars
+    bits = [F.bit_or(F.expr(f"CASE WHEN (token >> 6) % {MASKS} = {i} THEN shiftleft(1L, CAST(token & 63 AS INT)) ELSE 0L END")).over(own).alias(f"m{i}") for i in range(MASKS)]
+    ranked = tokens.join(often, ["ref", "token"]).select("ref", "doc_id", "n", "f", "need", "token", F.count("*").over(own).alias("s"), *bits, F.row_number().over(own.orderBy("df", "token")).alias("i"))
+    postings = materialize(ranked.where("i <= s - need + 1").select(F.xxhash64("ref", "token").alias("token"), "doc_id", "n", *_FILTER))
+    for step in (refs, differ, listed, least, tokens):
+        discard(step)
+    return postings, stars
 
 
 def _link_components(postings: DataFrame, segments: DataFrame, percent: int, fragments: int) -> DataFrame:
@@ -299,26 +320,30 @@ def _link_components(postings: DataFrame, segments: DataFrame, percent: int, fra
     members differ in. Pairs are listed at last, when they are no more than the postings' rows were at first.
     """
     stars = postings.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
-    postings = postings.withColumns({"f": F.lit(None).cast("long"), "s": F.lit(None).cast("long")})
-    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("n", "f", "s", "root")]
-    most, turn, before, floor = postings.count(), 0, 0, None
+    postings = postings.withColumns({c: F.lit(None).cast("long") for c in _FILTER})
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("n", *_FILTER, "root")]
+    rows, turn, before, floor = postings.count(), 0, 0, None
     while True:
-        open_, left, work = _open(postings, stars)
+        open_, left, work = _open(postings, stars, rows)
         if not left:
             return stars
+        most = rows * MEETINGS[floor is not None]
         a = open_.select("token", F.col("doc_id").alias("a"), *side("a"), "main")
         if work > most and (turn == 0 or left <= HELPS * before):
             # each member with a hub: at first the same for postings that share their members, then one of each posting
             lot = F.xxhash64("doc_id", F.pmod("token", F.lit(2))) if turn == 0 else F.xxhash64("doc_id", "token", F.lit(turn))
-            hubs = open_.groupBy("token").agg(F.min(F.struct(lot, "doc_id", "n", "f", "s", "root")).alias("h"))
-            hubs = materialize(hubs.select("token", "h.*").select("token", F.col("doc_id").alias("b"), *side("b")))
-            met = materialize(join_few(a, hubs, "token", "a").where("a <> b"))
+            hubs = open_.groupBy("token").agg(F.min(F.struct(lot, "doc_id", "n", *_FILTER, "root")).alias("h"))
+            hubs = _small(hubs.select("token", "h.*").select("token", F.col("doc_id").alias("b"), *side("b")), left)
+            met = _small(join_few(a, hubs, "token", "a").where("a <> b"), left)
             stars = components(stars.unionByName(_links(overlaps(_pairs(met.where("a_root <> b_root"), percent), segments), percent)))
-            postings = met.select("token", F.col("a").alias("doc_id"), F.col("a_n").alias("n"), F.col("a_f").alias("f"), F.col("a_s").alias("s"))
+            postings = met.select("token", F.col("a").alias("doc_id"), *[F.col(f"a_{c}").alias(c) for c in ("n", *_FILTER)])
             before, turn = left, turn + 1
-        elif work > most and (floor is None or work <= HELPS * floor):
-            postings, stars = _by_differences(open_, segments, stars, percent, fragments)
+            discard(hubs)
+            discard(open_)
+        elif work > most and (floor is None or work < floor):
+            postings, stars = _by_differences(open_, segments, stars, percent, fragments, left)
             floor, turn = work, 0
+            discard(open_)
         else:  # every pair of members in different components
             b = open_.where("root <> main").select("token", F.col("doc_id").alias("b"), *side("b"))
             met = a.join(b, "token").where((F.col("a_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
