@@ -18,6 +18,10 @@ LINK_MARKERS = ["viewfile", "agenda", ".pdf", "showpublisheddocument", "fileopen
 REJECTED_HREFS = ["notification", "subscribe", "signup"]
 DEPRIORITIZED = ["minutes", "addendum", "amendment"]
 VIEWERS = ["AgendaViewer.php", "AgendaOnline", "ViewMeeting", "Calendar.aspx"]
+SERVED_FILES = ["view.ashx", "showpublisheddocument"]
+DOWNLOAD = "documents/downloadfile"
+FILE_LINKS = [".pdf", "documenttype=5", "downloadfile"]
+VIEW_DOCUMENT = "/AgendaOnline/Documents/ViewDocument/"
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|sept|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
 MONTH_DATE = rf"(?iU)\b((?:{MONTHS})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+20\d{{2}})\b"
 LOOK_BACK_DAYS = 30
@@ -71,10 +75,45 @@ def without_query(url: Column) -> Column:
     return F.regexp_replace(url, "[?#].*$", "")
 
 
-def viewer_kind(url: Column) -> Column:
-    """What a link needs before its PDF is reached: nothing, a look at a page between, or no way."""
-    direct = F.lower(url).rlike(r"\.pdf|documenttype=5|downloadfile")
-    return F.when(F.contains(F.lower(url), F.lit("docs.google.com/gview")), "viewer").when(direct, "direct").when(any_of(url, VIEWERS), "page").otherwise("unknown")
+def link_shape(url: Column) -> Column:
+    """What an address needs before its file is reached: a download in two steps, nothing, or a page between; null: no way."""
+    u = F.lower(url)
+    return F.when(F.contains(u, F.lit(DOWNLOAD)), "download").when(F.endswith(u, F.lit(".pdf")) | any_of(u, SERVED_FILES), "file").when(any_of(url, VIEWERS), "page")
+
+
+def names_a_file(href: Column) -> Column:
+    """Whether a link on a page between leads on to the file."""
+    return is_navigable(href) & any_of(F.lower(unwrap_viewer(href)), FILE_LINKS)
+
+
+def is_pdf(content_type: Column) -> Column:
+    """Whether a content type is that of a PDF; a missing one isn't."""
+    return F.startswith(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("application/pdf"))
+
+
+def quote(text: Column) -> Column:
+    """Percent-encoded for a path: letters, digits, ``_.-~`` and ``/`` stay."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def view_document_url(url: Column, payload: Column) -> Column:
+    """Where a two-step download serves its file, from its link and the JSON that the first step gives; else null."""
+    asked = [F.try_parse_url(url, F.lit("QUERY"), F.lit(k)) for k in ("documentType", "meetingId")]
+    field = lambda name: F.get_json_object(payload, f"$.{name}")
+    usable = (F.length(asked[0]) > 0) & (F.length(asked[1]) > 0) & (F.length(field("DocumentName")) > 0) & (F.length(field("DocumentType")) > 0) & field("MeetingId").isNotNull()
+    section = F.when(truthy(field("IsSection")), "true").otherwise("false")
+    base = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    number = lambda name: F.coalesce(field(name), F.lit("0"))
+    made = F.concat(base, F.lit(VIEW_DOCUMENT), quote(field("DocumentName")), F.lit("?meetingId="), field("MeetingId"), F.lit("&documentType="), field("DocumentType"), F.lit("&itemId="), number("ItemId"), F.lit("&publishId="), number("PublishId"), F.lit("&isSection="), section)
+    return F.when(usable, made)
+
+
+def truthy(text: Column) -> Column:
+    """Whether a JSON value, as text, is more than null, false, zero or empty."""
+    return F.coalesce(~F.trim(text).isin("", "0", "0.0", "false", "null", "[]", "{}"), F.lit(False))
 
 
 def _valid(year: Column, month: Column, day: Column) -> Column:
@@ -111,5 +150,6 @@ def link_tier(href: Column, label: Column) -> Column:
 
 
 def in_window(date: Column, start: Column, end: Column) -> Column:
-    """Inside the bounds, or undated; by default the 30 days up to ``end``."""
+    """Inside the bounds, or undated; by default the 30 days up to ``end``, and ``end`` is today."""
+    end = F.coalesce(end, F.current_date())
     return date.isNull() | date.between(F.coalesce(start, F.date_sub(end, LOOK_BACK_DAYS)), end)

@@ -40,7 +40,10 @@ EXCLUSIONS = ["excluded", "historic", "ineligible", "non-eligible", "denied"]
 EXHIBIT_EXCLUSIONS = ["exclud", "denied", "withdrawn", "removed", "ineligible", "non-eligible"]
 POLICY_WORDS = ["zoning text amendment", "municipal code", "ordinance no", "citywide"]
 BLACKLIST = ["1017 middlefield"]
-SNIPPET, SEARCH, EXCLUSION_REACH = 160, 1000, 500
+SB79 = r"(?iU)\bSB[\s-]?79\b"
+CURRENT_ZONING, UNCHANGED_ZONING, BASELINE_ZONING, SB79_ZONING, POLICY_ZONING = "Current Zoning", "Excluded/Unchanged", "Baseline Zoning", "SB 79 TOD", "Policy Rezoning"
+DEFAULT_KEYWORD, SWEEP_KEYWORD = "gemini extraction", "global APN sweep"
+SNIPPET, SEARCH, EXCLUSION_REACH, HEADER_REACH, TITLE_LENGTH = 160, 1000, 500, 120, 80
 
 MATCH = "array<struct<start:int,end:int,text:string>>"
 
@@ -109,6 +112,17 @@ def first_address(text: Column) -> Column:
 
 def infer_policy_zoning(title: Column, full_text: Column, disposition: Column) -> Column:
     """(current, proposed) for signals without a zoning sentence, from the exhibit's disposition and title."""
-    sb79 = r"(?iU)\bSB[\s-]?79\b"
-    proposed = F.when(disposition == "EXCLUDED", "Excluded/Unchanged").when(title.rlike(sb79) | full_text.rlike(sb79), "SB 79 TOD").when(F.length(title) > 0, F.substr(title, F.lit(1), F.lit(80))).otherwise("Policy Rezoning")
-    return F.struct(F.when(disposition == "EXCLUDED", "Current Zoning").otherwise("Baseline Zoning").alias("current"), proposed.alias("proposed"))
+    out = disposition == "EXCLUDED"
+    named = F.when(title.rlike(SB79) | full_text.rlike(SB79), SB79_ZONING).when(F.length(title) > 0, F.substr(title, F.lit(1), F.lit(TITLE_LENGTH))).otherwise(POLICY_ZONING)
+    return F.struct(F.when(out, CURRENT_ZONING).otherwise(BASELINE_ZONING).alias("current"), F.when(out, UNCHANGED_ZONING).otherwise(named).alias("proposed"))
+
+
+def snippet(text: Column, start: Column, end: Column) -> Column:
+    """The characters around [start, end), on one line."""
+    return F.trim(F.translate(within(text, F.greatest(start - SNIPPET, F.lit(0)), end + SNIPPET), "\n", " "))
+
+
+def find_address(streets: Column, labels: Column, anchor: Column, low: Column, high: Column) -> Column:
+    """The street address nearest to an anchor, or else the nearest labelled one, of matches of ADDRESS and LABELED_ADDRESS."""
+    street, labelled = nearest(streets, anchor, low, high), nearest(labels, anchor, low, high)
+    return F.coalesce(F.trim(street["text"]), F.trim(F.regexp_extract(labelled["text"], LABELED_ADDRESS, 1)))

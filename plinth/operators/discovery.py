@@ -1,4 +1,9 @@
-"""From portal listings to new documents."""
+"""From portal listings to new documents.
+
+Each kind of source has its listing: direct links, rows that lead to a file over pages between, rows with document
+links, or a vendor's JSON. All give (page_id, pdf_url, title, meeting_date) of what lies in a date window, undated
+documents included; ``discover`` unites them by the kind of their source.
+"""
 
 from __future__ import annotations
 
@@ -7,64 +12,205 @@ from pyspark.sql import functions as F
 
 from plinth.functions import portal
 from plinth.sources import html
+from plinth.sources.shared import materialize
+
+LISTED = ["page_id", "pdf_url", "title", "meeting_date"]
+#: Further looks that an address may take until its file; and statuses of redirects, and of unsupported requests.
+DEPTH, REDIRECTS, UNSUPPORTED = 4, [301, 302, 303, 307, 308], [404, 405]
+#: Names under which vendors give files and dates.
+FILE_LISTS = ["publishedFiles", "Files", "MeetingFiles", "Documents", "files", "documents"]
+DATE_NAMES = ["startDateTime", "eventDate", "meetingDate", "date"]
+TEMPLATES = ["agenda", "packet"]
+STREAM, COMPILED = "/Meetings/GetMeetingFileStream(fileId=", "/Public/CompiledDocument/"
 
-#: Rows of the first of these kinds that a page has are its listing.
-ROW_KINDS = ["catAgendaRow", "MeetingRow", "listtable", "tr"]
 
+def _within(rows: DataFrame, start: Column, end: Column) -> DataFrame:
+    return rows.where(portal.in_window(F.col("meeting_date"), start, end))
 
-def direct_listing(pages: DataFrame) -> DataFrame:
-    """(page_id, pdf_url, title, meeting_date): agenda links of pages (page_id, url, html), each address once."""
+
+def direct_listing(pages: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Agenda links of pages (page_id, url, html), each address once."""
     a = html.anchors(pages).where(portal.looks_like_agenda_pdf(F.col("href"), F.col("text")))
     a = a.join(pages.select("page_id", "url"), "page_id").withColumn("pdf_url", portal.normalize_url("url", "href"))
     first = a.groupBy("page_id", "pdf_url").agg(F.min_by(F.struct("href", "text"), "idx").alias("a"))
     title = F.when(F.col("a.text") != "", F.col("a.text")).otherwise(F.col("a.href"))
-    return first.select("page_id", "pdf_url", title.alias("title"), portal.meeting_date(F.concat_ws(" ", "a.href", "a.text")).alias("meeting_date"))
+    return _within(first.select("page_id", "pdf_url", title.alias("title"), portal.meeting_date(F.concat_ws(" ", "a.href", "a.text")).alias("meeting_date")), start, end)
+
+
+def _row_links(pages: DataFrame) -> DataFrame:
+    return html.anchors(pages).select("page_id", "idx", "href", "text", "label", F.explode("rows").alias("row"))
+
+
+def agenda_rows(pages: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(page_id, row, url, title, meeting_date): the first agenda link of each table row in the window, not yet resolved.
+
+    A row without a date in its text may have one in its date cell.
+    """
+    rows = html.table_rows(pages).withColumn("meeting_date", F.coalesce(portal.meeting_date(F.col("text")), portal.short_year_date(F.col("date_cell"))))
+    rows = _within(rows.select("page_id", "row", "meeting_date"), start, end)
+    links = _row_links(pages).where(portal.is_navigable(F.col("href")) & F.contains(F.lower("text"), F.lit("agenda")))
+    first = links.groupBy("page_id", "row").agg(F.min_by(F.struct("href", "text"), "idx").alias("a"))
+    found = rows.join(first, ["page_id", "row"]).join(pages.select("page_id", F.col("url").alias("base")), "page_id")
+    return found.select("page_id", "row", portal.normalize_url("base", "a.href").alias("url"), F.nullif(F.col("a.text"), F.lit("")).alias("title"), "meeting_date")
+
+
+def row_listing(pages: DataFrame, probes: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The best link of each row of a page's listing, by tier and place, each address once.
+
+    Rows without a listing's marks need a date. Links that don't end in .pdf need a recorded probe that finds a PDF.
+    """
+    dated = portal.meeting_date(F.col("text"))
+    rows = html.listing_rows(pages).withColumn("meeting_date", dated).where((F.col("kind") != html.FALLBACK) | F.col("meeting_date").isNotNull())
+    links = _row_links(pages).withColumn("tier", portal.link_tier(F.col("href"), F.concat_ws(" ", "text", "label"))).where("tier IS NOT NULL")
+    best = links.groupBy("page_id", "row").agg(F.min_by(F.struct("href", "text"), F.struct("tier", "idx")).alias("a"))
+    found = rows.select("page_id", "row", "meeting_date").join(best, ["page_id", "row"]).join(pages.select("page_id", F.col("url").alias("base")), "page_id")
+    found = found.withColumn("pdf_url", portal.normalize_url("base", "a.href"))
+    once = found.groupBy("page_id", "pdf_url").agg(F.min_by(F.struct(F.nullif(F.col("a.text"), F.lit("")).alias("title"), "meeting_date"), "row").alias("r"))
+    once = once.select("page_id", "pdf_url", "r.title", "r.meeting_date")
+    good = pdf_probes(probes).where("is_pdf").select(F.col("url").alias("pdf_url")).distinct()
+    named = F.endswith(F.lower("pdf_url"), F.lit(".pdf"))
+    return _within(once.where(named).unionByName(once.where(~named).join(good, "pdf_url", "left_semi").select(*LISTED)), start, end)
+
 
+def pdf_probes(probes: DataFrame) -> DataFrame:
+    """(url, is_pdf) from recorded probes (url, head_status, head_type, get_type); a GET counts where HEAD isn't supported."""
+    kind = F.when(F.col("head_status").isin(*UNSUPPORTED), F.col("get_type")).otherwise(F.col("head_type"))
+    return probes.select("url", portal.is_pdf(kind).alias("is_pdf"))
 
-def row_listing(pages: DataFrame) -> DataFrame:
-    """(page_id, row, href, meeting_date): the best link of each row of the page's listing, by tier and place."""
-    r = html.rows(pages)
-    order = F.array_position(F.array(*[F.lit(k) for k in ROW_KINDS]), F.col("kind"))
-    best = r.groupBy(F.col("page_id").alias("b_page")).agg(F.min(order).alias("b_order"))
-    r = r.withColumn("o", order).join(best, (F.col("page_id") == F.col("b_page")) & (F.col("o") == F.col("b_order")))
-    r = r.withColumn("meeting_date", F.coalesce(portal.meeting_date(F.col("text")), portal.short_year_date(F.col("date_cell")))).select("page_id", "row", "meeting_date")
-    a = html.anchors(pages).withColumn("tier", portal.link_tier(F.col("href"), F.concat_ws(" ", "text", "label"))).where("tier IS NOT NULL")
-    link = a.groupBy("page_id", "row").agg(F.min_by("href", F.struct("tier", "idx")).alias("href"))
-    return r.join(link, ["page_id", "row"]).select("page_id", "row", "href", "meeting_date")
+
+def _members(payload: Column) -> Column:
+    """A JSON object's members as a map to JSON texts; a member that is there but null has a null value."""
+    return F.from_json(payload, "map<string,string>")
 
 
 def unwrap_array(payload: Column) -> Column:
-    """The JSON array of a vendor's payload as a string: itself, or in ``value`` or ``data``; else null."""
-    inner = F.coalesce(F.get_json_object(payload, "$.value"), F.get_json_object(payload, "$.data"))
-    return F.when(F.trim(payload).startswith("["), payload).when(inner.startswith("["), inner)
+    """The JSON array of a vendor's payload as a string: itself, or in ``value``, or else in ``data``; else null."""
+    members = _members(payload)
+    inner = F.when(F.map_contains_key(members, "value"), members["value"]).otherwise(members["data"])
+    return F.when(F.trim(payload).startswith("["), payload).when(F.trim(inner).startswith("["), inner)
+
 
+def first_present(item: Column, names: list[str]) -> Column:
+    """The value of the first name that a map has, even if it is null there."""
+    out = F.lit(None).cast("string")
+    for name in reversed(names):
+        out = F.when(F.map_contains_key(item, name), item[name]).otherwise(out)
+    return out
 
-MEETING = "array<struct<id:long,title:string,eventName:string,date:string,eventDate:string,publishedFiles:array<struct<fileId:long,type:string,name:string>>,documentList:array<struct<id:long,templateName:string,compileOutputType:int>>>>"
 
+def any_present(item: Column, names: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(n) for n in names]), lambda n: F.map_contains_key(item, n))
 
-def api_listing(payloads: DataFrame) -> DataFrame:
-    """(source, url, title, date): agenda files of vendor payloads (source, listing_url, payload).
 
-    One vendor lists published files, agendas before others and never minutes; the other lists compiled documents, of
-    which type 1 named agenda, then packet, count. The first of the best kind wins.
+def _first_true(*values: Column) -> Column:
+    return F.coalesce(*[F.when(portal.truthy(v), v) for v in values])
+
+
+def _stream_file(item: Column) -> Column:
+    """The id of a file in the first of the lists that has any but minutes: the first agenda, else the first."""
+    label = lambda f: F.lower(F.coalesce(_first_true(f["type"], f["name"]), F.lit("")))
+    number = lambda f: _first_true(f["fileId"], f["id"])
+    picks = []
+    for name in FILE_LISTS:
+        files = F.filter(F.from_json(item[name], "array<map<string,string>>"), lambda f: number(f).isNotNull() & ~F.contains(label(f), F.lit("minutes")))
+        agenda = F.get(F.filter(files, lambda f: F.contains(label(f), F.lit("agenda"))), 0)
+        picks += [number(agenda), number(F.get(files, 0))]
+    return F.coalesce(*picks)
+
+
+def _compiled_file(item: Column) -> Column:
+    """The id of the first compiled document of output type 1 that is named after the best template."""
+    files = F.filter(F.from_json(item["documentList"], "array<map<string,string>>"), lambda f: f["id"].isNotNull() & (f["compileOutputType"] == "1"))
+    named = lambda w: F.get(F.filter(files, lambda f: F.contains(F.lower(F.coalesce(f["templateName"], F.lit(""))), F.lit(w))), 0)["id"]
+    return F.coalesce(*[named(w) for w in TEMPLATES])
+
+
+def api_listing(payloads: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Agenda files of vendor payloads (page_id, url, payload); the vendor shows in the address, others give no rows.
+
+    One vendor lists files that its stream serves beside the listing, and needs a date's name; the other lists compiled
+    documents under its own root.
+    """
+    address = F.lower("url")
+    vendor = F.when(F.contains(address, F.lit("civicclerk")), "stream").when(F.contains(address, F.lit("primegov")), "compiled")
+    items = payloads.withColumn("vendor", vendor).where("vendor IS NOT NULL").select("page_id", "url", "vendor", F.explode(F.from_json(unwrap_array(F.col("payload")), "array<string>")).alias("item"))
+    items = items.withColumn("item", _members(F.col("item"))).where(F.col("item").isNotNull() & ((F.col("vendor") != "stream") | any_present(F.col("item"), DATE_NAMES)))
+    item, stream = F.col("item"), F.col("vendor") == "stream"
+    date = F.when(stream, first_present(item, DATE_NAMES)).otherwise(_first_true(item["dateTime"], item["date"]))
+    path = F.when(stream, F.concat(portal.parent_url(F.col("url")), F.lit(STREAM), _stream_file(item), F.lit(",plainText=false)"))).otherwise(F.concat(F.lit(COMPILED), _compiled_file(item)))
+    rows = items.select("page_id", "url", path.alias("path"), portal.meeting_date(date).alias("meeting_date")).where("path IS NOT NULL")
+    return _within(rows.select("page_id", portal.normalize_url("url", "path").alias("pdf_url"), F.lit(None).cast("string").alias("title"), "meeting_date"), start, end)
+
+
+def _hops(fetches: DataFrame, downloads: DataFrame) -> DataFrame:
+    """(seen, onward, ends): where a recorded answer leads on to, and whether that is the file.
+
+    ``fetches`` has url, status, location, content_type and html; ``downloads`` has url and the payload of the first step.
+    """
+    redirect = fetches.where(F.col("status").isin(*REDIRECTS) & (F.length("location") > 0)).withColumn("to", portal.normalize_url("url", portal.unwrap_viewer(F.col("location"))))
+    lower = F.lower("to")
+    known = F.endswith(lower, F.lit(".pdf")) | portal.any_of(lower, portal.SERVED_FILES) | portal.any_of(F.col("to"), portal.VIEWERS)
+    redirects = redirect.select(F.col("url").alias("seen"), F.when(known, F.col("to")).otherwise(portal.fix_bucket_host(F.col("to"))).alias("onward"), (~known).alias("ends"))
+    answers = fetches.where((F.col("status") < 400) & ~F.col("status").isin(*REDIRECTS))
+    is_file = (F.col("status") == 200) & portal.is_pdf(F.col("content_type"))
+    served = answers.where(is_file).select(F.col("url").alias("seen"), portal.fix_bucket_host(F.col("url")).alias("onward"), F.lit(True).alias("ends"))
+    between = answers.where(~is_file).withColumn("page_id", F.xxhash64("url"))
+    first = html.anchors(between).where(portal.names_a_file(F.col("href"))).groupBy("page_id").agg(F.min_by("href", "idx").alias("href"))
+    linked = first.join(between.select("page_id", "url"), "page_id").select(F.col("url").alias("seen"), portal.normalize_url("url", portal.unwrap_viewer(F.col("href"))).alias("onward"), F.lit(False).alias("ends"))
+    stepped = downloads.select(F.col("url").alias("seen"), portal.view_document_url(F.col("url"), F.col("payload")).alias("onward"), F.lit(True).alias("ends"))
+    return redirects.unionByName(served).unionByName(linked).unionByName(stepped).where("onward IS NOT NULL").dropDuplicates(["seen"])
+
+
+def resolve_links(links: DataFrame, fetches: DataFrame, downloads: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(url, target): each link's file as recorded answers lead to it, in ``depth`` further looks at most; else null."""
+    hops = materialize(_hops(fetches, downloads))
+    at = links.select("url").distinct().select("url", portal.unwrap_viewer(F.col("url")).alias("at"), F.lit(None).cast("string").alias("target"))
+    for _ in range(depth + 1):  # a plan of fixed length, one join per look
+        shape = portal.link_shape(F.col("at"))
+        at = at.withColumns({"target": F.coalesce("target", F.when(shape == "file", portal.fix_bucket_host(F.col("at")))), "ask": F.when(F.col("target").isNull() & shape.isin("page", "download"), F.col("at"))})
+        at = at.join(hops, F.col("ask") == F.col("seen"), "left")
+        at = at.select("url", portal.unwrap_viewer(F.when(~F.col("ends"), F.col("onward"))).alias("at"), F.coalesce("target", F.when(F.col("ends"), F.col("onward"))).alias("target"))
+    return at.select("url", "target")
+
+
+def resolved_rows(pages: DataFrame, fetches: DataFrame, downloads: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The files that ``agenda_rows`` lead to; rows whose link can't be resolved are left out."""
+    rows = materialize(agenda_rows(pages, start, end))
+    targets = resolve_links(rows, fetches, downloads).where("target IS NOT NULL")
+    return rows.join(targets, "url").select("page_id", F.col("target").alias("pdf_url"), "title", "meeting_date")
+
+
+def targeted(sources: DataFrame, names: list[str] | None) -> DataFrame:
+    """The sources of the given names, all for None; no names, and names that no source has, are errors."""
+    if names is None:
+        return sources
+    if not names:
+        raise ValueError("select at least one market")
+    chosen = sources.where(F.col("name").isin(*names))
+    if not chosen.take(1):
+        raise ValueError("no selected market is a configured source")
+    return chosen
+
+
+def discover(sources: DataFrame, pages: DataFrame, fetches: DataFrame, downloads: DataFrame, probes: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(jurisdiction, pdf_url, title, meeting_date, source_type): what all sources list in the window.
+
+    ``pages`` has page_id, jurisdiction, url and html (a payload for JSON sources). Sources of an unknown kind give none.
     """
-    m = payloads.select("source", "listing_url", F.explode(F.from_json(unwrap_array(F.col("payload")), MEETING)).alias("m"))
-    files = F.filter("m.publishedFiles", lambda f: f["fileId"].isNotNull() & ~F.contains(F.lower(F.coalesce(f["type"], f["name"], F.lit(""))), F.lit("minutes")))
-    agenda_first = lambda f: F.contains(F.lower(F.coalesce(f["type"], f["name"], F.lit(""))), F.lit("agenda"))
-    stream = F.coalesce(F.get(F.filter(files, agenda_first), 0)["fileId"], F.get(files, 0)["fileId"])
-    compiled = F.filter("m.documentList", lambda x: x["id"].isNotNull() & (x["compileOutputType"] == 1))
-    named = lambda w: F.get(F.filter(compiled, lambda x: F.contains(F.lower(F.coalesce(x["templateName"], F.lit(""))), F.lit(w))), 0)["id"]
-    document = F.coalesce(named("agenda"), named("packet"))
-    base = portal.parent_url(F.col("listing_url"))
-    url = F.when(stream.isNotNull(), F.concat(base, F.lit("/Meetings/GetMeetingFileStream(fileId="), stream.cast("string"), F.lit(",plainText=false)"))).when(document.isNotNull(), F.concat(base, F.lit("/meeting/document/"), document.cast("string"), F.lit(".pdf")))
-    date = portal.meeting_date(F.coalesce("m.eventDate", "m.date", F.lit("")))
-    return m.withColumn("url", url).where("url IS NOT NULL").select("source", "url", F.coalesce("m.eventName", "m.title").alias("title"), date.alias("meeting_date"))
-
-
-def resolve_hops(links: DataFrame, hops: DataFrame, depth: int = 4) -> DataFrame:
-    """(url, target): each link followed through recorded hops (url, next_url), ``depth`` of them at most."""
-    at = links.select("url", F.col("url").alias("target"))
-    for _ in range(depth):  # a plan of fixed length, one join per hop
-        step = hops.select(F.col("url").alias("_from"), F.col("next_url").alias("_to"))
-        at = at.join(step, F.col("target") == F.col("_from"), "left").select("url", F.coalesce("_to", "target").alias("target"))
-    return at.withColumn("target", portal.fix_bucket_host(portal.unwrap_viewer(F.col("target"))))
+    own = pages.join(sources.select("jurisdiction", "source_type"), "jurisdiction")
+    kind = lambda k: own.where(F.col("source_type") == k)
+    listed = direct_listing(kind("direct_pdf"), start, end).select(*LISTED)
+    for more in (resolved_rows(kind("granicus_dom"), fetches, downloads, start, end), row_listing(kind("civicplus_dom"), probes, start, end), api_listing(kind("api").withColumnRenamed("html", "payload"), start, end)):
+        listed = listed.unionByName(more.select(*LISTED))
+    return listed.join(own.select("page_id", "jurisdiction", "source_type"), "page_id").select("jurisdiction", "pdf_url", "title", "meeting_date", "source_type")
+
+
+def sweep(found: DataFrame, failed: DataFrame, cap: int) -> DataFrame:
+    """(place, pdf_url, title): the first ``cap`` documents (place, pdf_url, title) whose download succeeds, in order."""
+    return found.join(failed.select("pdf_url").distinct(), "pdf_url", "left_anti").orderBy("place").limit(cap).select("place", "pdf_url", F.coalesce("title", "pdf_url").alias("title"))
+
+
+def run_summary(found: DataFrame, started: DataFrame) -> DataFrame:
+    """One row: documents found, jobs started, and the addresses of those jobs in order (as many as the sweep's cap)."""
+    jobs = F.transform(F.array_sort(F.collect_list(F.struct("place", "pdf_url"))), lambda x: x["pdf_url"])
+    return found.agg(F.count("*").alias("documents_found")).crossJoin(started.agg(F.count("*").alias("jobs_started"), jobs.alias("jobs")))  # one row each

@@ -51,69 +51,138 @@ def eligible(spans: Column) -> Column:
     return F.filter(spans, lambda s: F.when(hearing, s["kind"] == "hearing").otherwise(~s["kind"].isin("boilerplate", "exhibit")))
 
 
+def item_header(item: Column) -> Column:
+    """What names an item: the rest of its marker's line, and its subject line."""
+    marker = t.ITEM.replace("(?iU)", "")
+    title = F.when(item.rlike("^" + t.ITEM), F.trim(F.split(F.regexp_replace(item, "^(?iU)" + marker, ""), "\n", -1)[0])).otherwise("")
+    subject = F.trim(F.regexp_extract(item, t.SUBJECT, 1))
+    return F.array_join(F.filter(F.array(title, subject), lambda x: x != ""), "\n")
+
+
+def header_address(header: Column) -> Column:
+    """The address that an item without an APN stands for: in its header, not blacklisted, beside an entitlement; else null."""
+    named = F.trim(F.regexp_extract(header, t.ADDRESS, 1))
+    return F.when((named != "") & ~t.contains_any(named, t.BLACKLIST) & t.contains_any(header, t.ENTITLEMENTS), named)
+
+
 def page_signals(pages: DataFrame) -> DataFrame:
     """A row per keyword and place in an eligible span of a page, with what stands nearest to it in its item.
 
     The anchor for exclusions, zoning and addresses is the APN where there is one, else the keyword; an item without
-    an APN may stand for an address of its header. ``seq`` orders signals by page, keyword and place.
+    an APN may stand for an address of its header. ``seq`` orders signals by page, keyword and place. Pages without a
+    keyword in an eligible span go before anything else is matched.
     """
-    p = sections(pages).withColumn("ok", eligible(F.col("spans")))
-    hits = F.concat(*[_tagged(t.matches(F.lower("page_text"), rf"\Q{w}\E"), kw_ord=F.lit(i), keyword=F.lit(w), strength=F.lit(s)) for i, (w, s) in enumerate(t.KEYWORDS)])
     text = F.col("page_text")
-    p = p.withColumn("items", t.matches(text, t.ITEM)).withColumn("apns", t.matches(text, t.APN)).withColumn("zonings", t.matches(text, t.ZONING)).withColumn("addresses", t.matches(text, t.ADDRESS)).withColumn("labels", t.matches(text, t.LABELED_ADDRESS))
-    k = p.withColumn("hit", F.explode(F.filter(hits, lambda h: F.exists("ok", lambda s: (s["start"] <= h["pos"]) & (h["pos"] < s["end"])))))
-    k = k.select("*", "hit.kw_ord", "hit.pos", "hit.keyword", "hit.strength")
+    p = sections(pages).where(t.contains_any(text, [w for w, _ in t.KEYWORDS])).withColumn("ok", eligible(F.col("spans")))
+    hits = F.concat(*[_tagged(t.matches(F.lower("page_text"), rf"\Q{w}\E"), kw_ord=F.lit(i), keyword=F.lit(w), strength=F.lit(s)) for i, (w, s) in enumerate(t.KEYWORDS)])
+    p = p.withColumn("hits", F.filter(hits, lambda h: F.exists("ok", lambda s: (s["start"] <= h["pos"]) & (h["pos"] < s["end"])))).where(F.size("hits") > 0)
+    p = p.withColumns({name: t.matches(text, pattern) for name, pattern in (("items", t.ITEM), ("apns", t.APN), ("zonings", t.ZONING), ("streets", t.ADDRESS), ("labels", t.LABELED_ADDRESS))})
+    k = p.withColumn("hit", F.explode("hits")).select("*", "hit.kw_ord", "hit.pos", "hit.keyword", "hit.strength")
     low, high = t.item_bounds(F.col("items"), F.col("pos"), F.length("page_text"))
     k = k.withColumn("low", low).withColumn("high", high)
     k = k.withColumn("near", t.nearest(F.col("apns"), F.col("pos"), F.col("low"), F.col("high"))).withColumn("anchor", F.coalesce(F.col("near.start"), F.col("pos")))
-    item = t.within(text, F.col("low"), F.col("high"))
-    title = F.when(item.rlike("^" + t.ITEM.replace("(?iU)", "(?iU)")), F.trim(F.split(F.regexp_replace(item, "^(?iU)" + t.ITEM.replace("(?iU)", ""), ""), "\n", -1)[0])).otherwise("")
-    subject = F.trim(F.regexp_extract(item, t.SUBJECT, 1))
-    k = k.withColumn("header", F.array_join(F.filter(F.array(title, subject), lambda x: x != ""), "\n"))
-    named = F.trim(F.regexp_extract("header", t.ADDRESS, 1))
-    stands = F.col("near").isNull() & (named != "") & ~t.contains_any(named, t.BLACKLIST) & t.contains_any(F.col("header"), t.ENTITLEMENTS)
-    labelled = t.nearest(F.col("labels"), F.col("anchor"), F.col("low"), F.col("high"))
-    street = t.nearest(F.col("addresses"), F.col("anchor"), F.col("low"), F.col("high"))
-    found = F.coalesce(F.trim(street["text"]), F.trim(F.regexp_extract(labelled["text"], t.LABELED_ADDRESS, 1)))
-    zoning = t.nearest(F.col("zonings"), F.col("anchor"), F.col("low"), F.col("high"))
+    k = k.withColumn("stands", F.when(F.col("near").isNull(), header_address(item_header(t.within(text, F.col("low"), F.col("high"))))))
+    bounds = F.col("anchor"), F.col("low"), F.col("high")
+    zoning = t.nearest(F.col("zonings"), *bounds)
     around = t.within(text, F.greatest(F.col("low"), F.col("anchor") - t.EXCLUSION_REACH), F.least(F.col("high"), F.col("anchor") + t.EXCLUSION_REACH))
-    snippet = F.trim(F.translate(t.within(text, F.greatest(F.col("pos") - t.SNIPPET, F.lit(0)), F.col("pos") + F.length("keyword") + t.SNIPPET), "\n", " "))
     return k.select(
         "document_id",
         "page_number",
         "kw_ord",
         "pos",
         "keyword",
-        F.coalesce(F.col("near.text"), F.when(stands, F.concat(F.lit("ADDR: "), named))).alias("apn"),
+        F.coalesce(F.col("near.text"), F.concat(F.lit("ADDR: "), F.col("stands"))).alias("apn"),
         F.when(t.contains_any(around, t.EXCLUSIONS), "EXCLUDED").otherwise(F.col("strength")).alias("signal_strength"),
-        F.when(F.col("near").isNotNull(), found).otherwise(F.when(stands, named)).alias("address"),
+        F.when(F.col("near").isNotNull(), t.find_address(F.col("streets"), F.col("labels"), *bounds)).otherwise(F.col("stands")).alias("address"),
         F.regexp_extract(zoning["text"], t.ZONING, 1).alias("current_zoning"),
         F.regexp_extract(zoning["text"], t.ZONING, 2).alias("proposed_zoning"),
-        snippet.alias("snippet"),
+        t.snippet(text, F.col("pos"), F.col("pos") + F.length("keyword")).alias("snippet"),
     )
 
 
+def _joined(pages: DataFrame) -> DataFrame:
+    """(document_id, full, starts): each document's text, and where its pages begin in it."""
+    one = F.array_sort(F.collect_list(F.struct("page_number", "page_text", "page_start")))
+    docs = page_offsets(pages).groupBy("document_id").agg(one.alias("p"))
+    return docs.select("document_id", F.array_join(F.transform("p", lambda x: x["page_text"]), "\n").alias("full"), F.transform("p", lambda x: F.struct(x["page_start"].alias("start"), x["page_number"].alias("page_number"))).alias("starts"))
+
+
+def _page_at(starts: Column, offset: Column) -> Column:
+    """The last page that begins at an offset or before it, else the first."""
+    at = F.filter(starts, lambda x: x["start"] <= offset)
+    return F.coalesce(F.get(at, F.size(at) - 1)["page_number"], F.get(starts, 0)["page_number"], F.lit(1))
+
+
+def exhibits(pages: DataFrame) -> DataFrame:
+    """(document_id, full, starts, start, end, label, title, disposition): each exhibit, from its header to the next one.
+
+    The words up to ``HEADER_REACH`` characters past the header decide on its parcels; their first line is its title.
+    """
+    docs = _joined(pages).withColumn("heads", t.matches(F.col("full"), t.SECTIONS[2][1]))
+    e = docs.select("document_id", "full", "starts", "heads", F.posexplode("heads").alias("i", "head"))
+    e = e.withColumn("end", F.coalesce(F.get("heads", F.col("i") + 1)["start"], F.length("full")))
+    reach = F.least(F.col("head.end") + t.HEADER_REACH, F.col("end"))
+    line = F.translate(t.within(F.col("full"), F.col("head.start"), reach), "\n", " ")
+    title = F.trim(F.split(F.regexp_replace(t.within(F.col("full"), F.col("head.end"), reach), r"^(?U)\s+|\s+$", ""), "\n", -1)[0])
+    return e.select("document_id", "full", "starts", F.col("head.start").alias("start"), "end", F.col("head.text").alias("label"), title.alias("title"), F.when(t.contains_any(line, t.EXHIBIT_EXCLUSIONS), "EXCLUDED").otherwise("MED").alias("disposition"))
+
+
 def exhibit_apns(pages: DataFrame) -> DataFrame:
-    """(document_id, apn, label, signal_strength): strict APNs in the exhibits of a document's joined text."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page_text"))), lambda x: x["page_text"])
-    docs = pages.groupBy("document_id").agg(F.array_join(ordered, "\n").alias("full"))
-    docs = docs.withColumn("heads", t.matches(F.col("full"), t.SECTIONS[2][1])).withColumn("apns", t.matches(F.col("full"), t.APN))
-    e = docs.select("document_id", "full", "heads", F.explode("apns").alias("a"))
-    head = F.element_at(F.filter("heads", lambda h: h["start"] <= F.col("a.start")), -1)
-    e = e.where(F.exists("heads", lambda h: h["start"] <= F.col("a.start"))).withColumn("head", head)
-    line = F.translate(t.within(F.col("full"), F.col("head.start"), F.col("head.start") + 120), "\n", " ")
-    strength = F.when(t.contains_any(line, t.EXHIBIT_EXCLUSIONS), "EXCLUDED").otherwise("MED")
-    return e.select("document_id", F.col("a.start").cast("long").alias("offset"), F.col("a.text").alias("apn"), F.concat(F.col("head.text"), F.lit(" listing")).alias("keyword"), strength.alias("signal_strength"))
+    """A signal for each strict APN in an exhibit, with the zoning that the exhibit implies and the nearest address in it."""
+    e = exhibits(pages).withColumns({"apns": t.matches(F.col("full"), t.APN), "streets": t.matches(F.col("full"), t.ADDRESS), "labels": t.matches(F.col("full"), t.LABELED_ADDRESS)})
+    e = e.withColumn("a", F.explode(F.filter("apns", lambda m: (m["start"] >= F.col("start")) & (m["end"] <= F.col("end")))))
+    zoning = t.infer_policy_zoning(F.col("title"), F.col("full"), F.col("disposition"))
+    return e.select(
+        "document_id",
+        F.col("a.start").cast("long").alias("offset"),
+        F.col("a.text").alias("apn"),
+        F.concat(F.col("label"), F.lit(" listing")).alias("keyword"),
+        F.col("disposition").alias("signal_strength"),
+        _page_at(F.col("starts"), F.col("a.start")).alias("page_number"),
+        zoning["current"].alias("current_zoning"),
+        zoning["proposed"].alias("proposed_zoning"),
+        t.find_address(F.col("streets"), F.col("labels"), F.col("a.start"), F.col("start"), F.col("end")).alias("address"),
+        t.snippet(F.col("full"), F.col("a.start"), F.col("a.end")).alias("snippet"),
+    )
 
 
 def apn_sweep(pages: DataFrame) -> DataFrame:
-    """Strict, then broad numbers of each page, one row per place; EXCLUDED where the page has an exclusion word."""
-    text = F.col("page_text")
-    strict = F.transform(t.matches(text, t.APN), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(0).alias("o"), m["text"].alias("text")))
-    broad = F.transform(t.matches(text, t.BROAD_APN), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(1).alias("o"), m["text"].alias("text")))
-    x = pages.withColumn("m", F.explode(F.concat(strict, broad)))
-    x = x.groupBy("document_id", "page_number", "page_text", "m.start", "m.end").agg(F.min("m.text").alias("apn"))
-    return x.select("document_id", "page_number", "start", "apn", F.when(t.contains_any(F.col("page_text"), t.EXCLUSIONS), "EXCLUDED").otherwise("MED").alias("signal_strength"))
+    """Strict, then broad numbers of each document, one row per place; EXCLUDED where the page has an exclusion word."""
+    docs = _joined(pages)
+    number = lambda o: lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(o).alias("o"), m["text"].alias("text"))
+    found = F.concat(F.transform(t.matches(F.col("full"), t.APN), number(0)), F.transform(t.matches(F.col("full"), t.BROAD_APN), number(1)))
+    again = lambda m: ~F.exists("found", lambda x: (x["start"] == m["start"]) & (x["end"] == m["end"]) & (x["o"] < m["o"]))
+    x = docs.withColumn("found", found).where(F.size("found") > 0)
+    x = x.withColumns({"streets": t.matches(F.col("full"), t.ADDRESS), "labels": t.matches(F.col("full"), t.LABELED_ADDRESS)}).withColumn("m", F.explode(F.filter("found", again)))
+    low = F.element_at(F.filter(F.transform("starts", lambda s: s["start"]), lambda s: s <= F.col("m.start")), -1)
+    high = F.get(F.filter(F.transform("starts", lambda s: s["start"]), lambda s: s > F.col("m.start")), 0)
+    x = x.withColumns({"low": low.cast("int"), "high": F.coalesce(high.cast("int"), F.length("full"))})
+    x = x.withColumn("disposition", F.when(t.contains_any(t.within(F.col("full"), F.col("low"), F.col("high")), t.EXCLUSIONS), "EXCLUDED").otherwise("MED"))
+    zoning = t.infer_policy_zoning(F.lit(""), F.col("full"), F.col("disposition"))
+    return x.select(
+        "document_id",
+        F.col("m.o").alias("kw_ord"),
+        F.col("m.start").cast("long").alias("offset"),
+        F.col("m.text").alias("apn"),
+        F.lit(t.SWEEP_KEYWORD).alias("keyword"),
+        F.col("disposition").alias("signal_strength"),
+        _page_at(F.col("starts"), F.col("m.start")).alias("page_number"),
+        zoning["current"].alias("current_zoning"),
+        zoning["proposed"].alias("proposed_zoning"),
+        t.find_address(F.col("streets"), F.col("labels"), F.col("m.start"), F.col("low"), F.col("high")).alias("address"),
+        t.snippet(F.col("full"), F.col("m.start"), F.col("m.end")).alias("snippet"),
+    )
+
+
+def locate_pages(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (document_id, needle and more) with the ``page_number`` where its needle first stands in the joined text.
+
+    Without a needle, or where it isn't in the text, that is the document's first page.
+    """
+    at = asked.join(_joined(pages), "document_id", "left")
+    place = F.when(F.length("needle") > 0, F.instr("full", F.col("needle")))
+    found = F.when(place > 0, _page_at(F.col("starts"), place - 1)).otherwise(F.coalesce(F.get("starts", 0)["page_number"], F.lit(1)))
+    return at.withColumn("page_number", found).drop("full", "starts")
 
 
 def chunk_pages(pages: DataFrame, first: int, size: int) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.operators import serving, signals, store
+from plinth.operators import discovery, resolve, serving, signals, store
 from plinth.plans.views import oracle, view
+from plinth.streaming import jobs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,18 +25,27 @@ def query(sql: str | None = None):
     return add
 
 
+def _stored(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [view(spark, d, v) for v in ("v_lead", "v_document", "v_lead_parcel", "v_parcel")]
+
+
 def detail(spark: SparkSession, d: str) -> DataFrame:
-    return serving.leads_detail(view(spark, d, "v_lead"), view(spark, d, "v_document"), view(spark, d, "v_lead_parcel"), view(spark, d, "v_parcel"))
+    return serving.leads_detail(*_stored(spark, d))
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    return serving.leads_facts(*_stored(spark, d))
 
 
 NESTED = """
 nested AS (
-  SELECT lead_id, count(*) AS n, string_agg(apn, '; ' ORDER BY apn) AS apns, arg_min(max_units, apn) FILTER (WHERE apn = first) AS units_raw, min(first) AS first_apn,
-         max(CASE WHEN apn = first THEN max_units END) AS first_units, max(CASE WHEN apn = first THEN address END) AS first_address,
+  SELECT lead_id, count(*) AS n, string_agg(apn, '; ' ORDER BY apn) AS apns, min(first) AS first_apn,
+         max(CASE WHEN apn = first THEN max_units END) AS first_units, max(CASE WHEN apn = first THEN address END) AS first_address, max(CASE WHEN apn = first THEN city END) AS first_city,
+         string_agg(address, ', ' ORDER BY apn) FILTER (WHERE apn <> first) AS others,
          string_agg(address, '; ' ORDER BY apn) AS addresses, string_agg(coalesce(current_zoning, ''), '; ' ORDER BY apn) AS cur, string_agg(coalesce(proposed_zoning, ''), '; ' ORDER BY apn) AS prop
   FROM (SELECT lp.lead_id, p.*, min(apn) OVER (PARTITION BY lp.lead_id) AS first FROM v_lead_parcel lp JOIN v_parcel p ON lp.parcel_id = p.parcel_id) GROUP BY lead_id
 ), detail AS (
-  SELECT l.*, d.file_url, d.city_name AS jurisdiction, coalesce(n, 0) AS n, coalesce(apns, '') AS apns, first_units, first_address, first_apn, coalesce(addresses, '') AS addresses, coalesce(cur, '') AS cur, coalesce(prop, '') AS prop
+  SELECT l.*, d.file_url, d.city_name AS jurisdiction, coalesce(n, 0) AS n, coalesce(apns, '') AS apns, first_units, first_address, first_city, first_apn, coalesce(addresses, '') AS addresses, coalesce(others, '') AS others, coalesce(cur, '') AS cur, coalesce(prop, '') AS prop
   FROM v_lead l JOIN v_document d ON l.document_id = d.document_id LEFT JOIN nested ON l.lead_id = nested.lead_id
 )
 """
@@ -53,37 +63,34 @@ def j1_leads_detail(spark, d):
 
 
 _SLICE = "signal_strength IN ('HIGH', 'MED') AND jurisdiction IN ('NATION_1', 'NATION_4', 'NATION_9', 'NATION_16', 'NATION_20') AND (meeting_date IS NULL OR (meeting_date >= DATE '1996-01-01' AND meeting_date <= DATE '2000-12-31'))"
+_CHOSEN = {"cities": ["NATION_1", "NATION_4", "NATION_9", "NATION_16", "NATION_20"], "scores": ["HIGH", "MED"], "start": "1996-01-01", "end": "2000-12-31"}
 
 
-def _facets(spark, d):
-    return serving.apply_filters(detail(spark, d), cities=["NATION_1", "NATION_4", "NATION_9", "NATION_16", "NATION_20"], scores=["HIGH", "MED"], start="1996-01-01", end="2000-12-31")
-
-
-@query(_with(f"SELECT lead_id, jurisdiction, signal_strength, meeting_date, CAST(n AS BIGINT) AS n_parcels FROM detail WHERE {_SLICE} ORDER BY meeting_date DESC NULLS LAST, created_at DESC, lead_id LIMIT 200"))
+@query(_with(f"SELECT lead_id, jurisdiction, signal_strength, meeting_date, CAST(n AS BIGINT) AS n_parcels FROM detail WHERE {_SLICE} ORDER BY meeting_date DESC NULLS LAST, created_at DESC, lead_id"))
 def leads_minimum_slice(spark, d):
-    """The first page of filtered leads, newest first: a top-k over one plan."""
-    return _facets(spark, d).orderBy(*serving.sort_keys("recent")).limit(200).select("lead_id", "jurisdiction", "signal_strength", "meeting_date", F.size("parcels").cast("long").alias("n_parcels"))
+    """All leads that the facets keep, newest first."""
+    return serving.apply_filters(facts(spark, d), **_CHOSEN).orderBy(*serving.sort_keys("recent", F.col("units"))).select("lead_id", "jurisdiction", "signal_strength", "meeting_date", "n_parcels")
 
 
 @query(_with(f"SELECT lead_id, lead_type, meeting_date FROM detail WHERE {_SLICE}"))
 def f3_facet_filter(spark, d):
-    return _facets(spark, d).select("lead_id", "lead_type", "meeting_date")
+    return serving.apply_filters(facts(spark, d), **_CHOSEN).select("lead_id", "lead_type", "meeting_date")
 
 
-@query(_with("SELECT lead_id, CAST(coalesce(first_units, 0) AS BIGINT) AS units FROM detail ORDER BY coalesce(first_units, 0) DESC, created_at DESC, lead_id LIMIT 50"))
+@query(_with("SELECT lead_id, CAST(coalesce(first_units, 0) AS BIGINT) AS units FROM detail ORDER BY coalesce(first_units, 0) DESC, created_at DESC, lead_id"))
 def r6_top_yield(spark, d):
-    """The first page by yield: a top-k, not a full sort."""
-    return detail(spark, d).orderBy(*serving.sort_keys("yield")).limit(50).select("lead_id", serving.first_units().cast("long").alias("units"))
+    """All leads by yield."""
+    return facts(spark, d).orderBy(*serving.sort_keys("yield", F.col("units"))).select("lead_id", F.col("units").cast("long").alias("units"))
 
 
-@query("SELECT lead_id, signal_strength, created_at FROM v_lead WHERE signal_strength = 'HIGH' ORDER BY created_at DESC, lead_id LIMIT 100")
+@query("SELECT lead_id, signal_strength, created_at FROM v_lead WHERE signal_strength = 'HIGH' ORDER BY created_at DESC, lead_id")
 def r1_recent_high_leads(spark, d):
-    return view(spark, d, "v_lead").where("signal_strength = 'HIGH'").orderBy(F.col("created_at").desc(), "lead_id").limit(100).select("lead_id", "signal_strength", "created_at")
+    return view(spark, d, "v_lead").where("signal_strength = 'HIGH'").orderBy(F.col("created_at").desc(), "lead_id").select("lead_id", "signal_strength", "created_at")
 
 
-@query(_with("SELECT CAST(coalesce(sum(CASE WHEN signal_strength <> 'EXCLUDED' THEN coalesce(first_units, 0) END), 0) AS BIGINT) AS regional_pipeline, count(*) FILTER (WHERE signal_strength IN ('HIGH', 'MED')) AS high_yield_signals, count(*) FILTER (WHERE signal_strength <> 'EXCLUDED') AS active_leads, count(*) AS total_leads, (SELECT count(*) FROM v_source) AS coverage_area FROM detail"))
+@query(_with(f"SELECT CAST(coalesce(sum(CASE WHEN signal_strength <> 'EXCLUDED' THEN coalesce(first_units, 0) END), 0) AS BIGINT) AS regional_pipeline, count(*) FILTER (WHERE signal_strength IN ('HIGH', 'MED')) AS high_yield_signals, count(*) FILTER (WHERE signal_strength <> 'EXCLUDED') AS active_leads, count(*) FILTER (WHERE {_SLICE}) AS visible_leads, count(*) AS total_leads, (SELECT count(*) FROM v_source) AS coverage_area FROM detail"))
 def a1_kpis(spark, d):
-    return serving.kpis(detail(spark, d), view(spark, d, "v_source"))
+    return serving.kpis(facts(spark, d), view(spark, d, "v_source"), serving.facets(**_CHOSEN))
 
 
 @query("SELECT DISTINCT city_name AS jurisdiction FROM v_document")
@@ -101,45 +108,69 @@ def s3_parcel_lookup(spark, d):
     return view(spark, d, "v_parcel").where("apn = '100-000-042'").select("apn", "address", "city").limit(1)
 
 
-@query("SELECT lead_id FROM v_lead WHERE false")
+@query("SELECT 'elsewhere' AS stored, 0 AS n_leads UNION ALL SELECT 'here', count(*) FROM v_lead")
 def s5_no_leads(spark, d):
-    return spark.createDataFrame([], "lead_id string")
+    """Without stored tables no leads are served; with them, all are."""
+    count = lambda kept, name: serving.served(view(spark, d, "v_lead"), kept).agg(F.lit(name).alias("stored"), F.count("*").alias("n_leads"))
+    return count(True, "elsewhere").unionByName(count(False, "here"))
 
 
-@query("SELECT concat('', CASE WHEN jurisdiction LIKE '%County' THEN jurisdiction ELSE concat(jurisdiction, ' City') END) AS name, jurisdiction AS city, listing_url, source_type FROM v_source")
+@query("SELECT concat(jurisdiction, CASE WHEN jurisdiction LIKE '%County' THEN ' Board of Supervisors' ELSE ' City Council' END) AS name, jurisdiction AS city, listing_url, source_type FROM (SELECT CASE WHEN jurisdiction = 'NATION_7' THEN 'NATION_7 County' ELSE jurisdiction END AS jurisdiction, listing_url, source_type FROM v_source)")
 def s6_sources(spark, d):
-    name = F.when(F.col("jurisdiction").endswith("County"), F.col("jurisdiction")).otherwise(F.concat("jurisdiction", F.lit(" City")))
-    return view(spark, d, "v_source").select(name.alias("name"), F.col("jurisdiction").alias("city"), "listing_url", "source_type")
+    """One of the sources is a county."""
+    s = view(spark, d, "v_source").withColumn("jurisdiction", F.when(F.col("jurisdiction") == "NATION_7", "NATION_7 County").otherwise(F.col("jurisdiction")))
+    return s.select(serving.source_name(F.col("jurisdiction")).alias("name"), F.col("jurisdiction").alias("city"), "listing_url", "source_type")
 
 
 _Q = "CASE WHEN regexp_matches({0}, '[\",\\n]') THEN concat('\"', replace({0}, '\"', '\"\"'), '\"') ELSE {0} END"
-_FIELDS = ["apns", "addresses", "jurisdiction", "cur", "prop", "coalesce(CAST(first_units AS VARCHAR), '')", "signal_strength", "coalesce(entitlement_type, '')", "coalesce(CAST(meeting_date AS VARCHAR), '')", "file_url"]
+_FIELDS = ["coalesce(CAST(meeting_date AS VARCHAR), '')", "jurisdiction", "lead_type", "addresses", "apns", "coalesce(entitlement_type, '')", "cur", "prop", "coalesce(CAST(first_units AS VARCHAR), '')", "signal_strength"]
 
 
-@query(_with(f"SELECT lead_id, concat_ws(',', {', '.join(_Q.format(f) for f in _FIELDS)}) AS line FROM detail"))
+@query(_with(f"SELECT lead_id, concat_ws(',', {', '.join(_Q.format(f) for f in _FIELDS)}) AS line FROM detail UNION ALL SELECT NULL, 'Meeting Date,Jurisdiction,Lead Type,Site Address,APN,Entitlement Type,Current Zoning,Proposed Zoning,Max Unit Yield,Signal Score'"))
 def k1_lead_csv(spark, d):
     return serving.lead_csv(detail(spark, d))
 
 
-@query("""SELECT lp.lead_id, concat('"', apn, '","', address, '","', coalesce(owner_name, ''), '"') AS line FROM v_lead_parcel lp JOIN v_parcel p ON lp.parcel_id = p.parcel_id JOIN v_lead l ON lp.lead_id = l.lead_id""")
+_OWNED = "FROM v_lead_parcel lp JOIN v_parcel p ON lp.parcel_id = p.parcel_id JOIN v_lead l ON lp.lead_id = l.lead_id"
+
+
+@query(
+    f"""SELECT lp.lead_id, row_number() OVER (PARTITION BY lp.lead_id ORDER BY apn) AS "row", concat('"', apn, '","', address, '","', coalesce(owner_name, ''), '","', coalesce(owner_address, ''), '"') AS line {_OWNED}
+UNION ALL SELECT DISTINCT lp.lead_id, 0, '"APN","Address","Owner Name","Owner Address"' {_OWNED}"""
+)
 def k2_owner_csv(spark, d):
     return serving.owner_csv(detail(spark, d))
 
 
-@query(_with("SELECT lead_id, CASE WHEN n = 0 THEN 'Policy Amendment' ELSE first_address END AS title, CASE WHEN n > 1 THEN concat('+', CAST(n - 1 AS VARCHAR), ' more') ELSE '' END AS more, coalesce('+' || CAST(first_units AS VARCHAR), '—') AS units, concat('Page ', CAST(page_number AS VARCHAR)) AS page, strftime(created_at, '%m/%d %H:%M:%S') AS stamp FROM detail"))
+_DISTRICTS = "CASE WHEN affected_districts IS NULL THEN 'Citywide' ELSE array_to_string(affected_districts, ', ') END"
+
+
+@query(
+    _with(
+        f"""SELECT lead_id, coalesce(CAST(meeting_date AS VARCHAR), '—') AS date, CASE WHEN n = 0 THEN 'Policy Amendment' ELSE first_address END AS title, CASE WHEN n = 0 THEN {_DISTRICTS} ELSE first_apn END AS subtitle,
+CASE WHEN n = 0 THEN {_DISTRICTS} ELSE concat(first_city, ', San Mateo County') END AS place, CASE WHEN n > 1 THEN concat('+', CAST(n - 1 AS VARCHAR), ' more') ELSE '' END AS more, others,
+coalesce(entitlement_type, '—') AS entitlement, coalesce('+' || CAST(first_units AS VARCHAR), '—') AS units, CASE WHEN coalesce(page_number, 0) = 0 THEN 'View Agenda PDF' ELSE concat('View Agenda PDF (Page ', CAST(page_number AS VARCHAR), ')') END AS page, strftime(created_at, '%m/%d %H:%M:%S') AS stamp FROM detail"""
+    )
+)
 def p8_display(spark, d):
     return serving.display(detail(spark, d))
 
 
-@query(_with("SELECT lead_id, CASE WHEN lead_type = 'POLICY_AMENDMENT' THEN concat(coalesce(entitlement_type, 'Zoning signal'), ' — citywide policy amendment') WHEN n = 1 THEN concat(coalesce(entitlement_type, 'Zoning signal'), ' for APN ', first_apn) ELSE concat(coalesce(entitlement_type, 'Zoning signal'), ' for ', CAST(n AS VARCHAR), ' parcels') END AS summary FROM detail"))
+@query(
+    _with(
+        """SELECT lead_id, CASE WHEN lead_type = 'POLICY_AMENDMENT' AND affected_districts IS NOT NULL THEN concat('Policy amendment affecting ', array_to_string(affected_districts, ', ')) WHEN lead_type = 'POLICY_AMENDMENT' THEN concat('Policy amendment: ', keyword)
+WHEN n = 1 THEN concat('Matched ''', keyword, ''' near APN ', first_apn) WHEN n > 1 THEN concat('Matched ''', keyword, ''' spanning ', CAST(n AS VARCHAR), ' parcels (', replace(apns, '; ', ', '), ')') END AS summary FROM detail"""
+    )
+)
 def p6_summary(spark, d):
-    return serving.summary(detail(spark, d))
+    text = serving.summary(F.col("lead_type"), F.col("keyword"), F.col("affected_districts"), F.transform("parcels", lambda p: p["apn"]))
+    return detail(spark, d).select("lead_id", text.alias("summary"))
 
 
-@query("SELECT jurisdiction, CAST(len(CASE WHEN list_contains(['NATION_1', 'NATION_16'], jurisdiction) THEN ['x'] ELSE ['x', 'y', 'z'] END) AS BIGINT) AS n_selected FROM v_source")
+@query("SELECT jurisdiction, CASE jurisdiction WHEN 'NATION_1' THEN 'NATION_16' WHEN 'NATION_16' THEN 'NATION_1' ELSE concat('NATION_1,NATION_16,', jurisdiction) END AS selected FROM v_source")
 def u8_toggle(spark, d):
     chosen = serving.toggle(F.array(F.lit("NATION_1"), F.lit("NATION_16")), F.col("jurisdiction"))
-    return view(spark, d, "v_source").select("jurisdiction", F.size(chosen).cast("long").alias("n_selected"))
+    return view(spark, d, "v_source").select("jurisdiction", F.array_join(chosen, ",").alias("selected"))
 
 
 _FOLD = """
@@ -153,7 +184,7 @@ UNION ALL SELECT document_id, apn, seq, strength_rank, current_zoning, unit_coun
 
 
 def _deduped(spark, d):
-    return signals.dedupe_by_apn(view(spark, d, "v_signal"), ["current_zoning", "unit_count"])
+    return signals.dedupe_by_apn(view(spark, d, "v_signal").select("document_id", "seq", "apn", "strength_rank", "current_zoning", "unit_count"), ["current_zoning", "unit_count"])
 
 
 @query(_FOLD + "SELECT document_id, apn, seq, strength_rank, current_zoning, unit_count, first_seq FROM deduped")
@@ -178,10 +209,10 @@ def f6_suppress_excluded(spark, d):
     return signals.suppress_excluded(_deduped(spark, d), _classes(spark, d)).select("document_id", "seq", "apn", "strength_rank", "classification")
 
 
-@query("SELECT document_id, bool_or(apn IS NOT NULL) AS has_apn, arg_min(unit_count, seq) FILTER (WHERE unit_count IS NOT NULL) AS first_units, count(*) FILTER (WHERE strength_rank = 4) AS n_excluded, count(DISTINCT apn) AS n_apns FROM v_signal GROUP BY document_id")
+@query("SELECT document_id, bool_or(apn IS NOT NULL) AS has_apn, arg_min(unit_count, seq) FILTER (WHERE unit_count IS NOT NULL) AS first_units, arg_min(meeting_date, seq) FILTER (WHERE meeting_date IS NOT NULL) AS first_date, count(*) FILTER (WHERE strength_rank = 4) AS n_excluded, count(DISTINCT apn) AS n_apns FROM v_signal GROUP BY document_id")
 def a9_document_facts(spark, d):
-    s = view(spark, d, "v_signal")
-    return s.groupBy("document_id").agg(F.bool_or(F.col("apn").isNotNull()).alias("has_apn"), F.min_by("unit_count", F.when(F.col("unit_count").isNotNull(), F.col("seq"))).alias("first_units"), F.count_if(F.col("strength_rank") == 4).alias("n_excluded"), F.count_distinct("apn").alias("n_apns"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    return view(spark, d, "v_signal").groupBy("document_id").agg(F.bool_or(F.col("apn").isNotNull()).alias("has_apn"), first("unit_count").alias("first_units"), first("meeting_date").alias("first_date"), F.count_if(F.col("strength_rank") == 4).alias("n_excluded"), F.count_distinct("apn").alias("n_apns"))
 
 
 @query("SELECT city_name, max(document_id) AS document_id, arg_max(CASE WHEN meeting_date IS NULL THEN 'undated' ELSE CAST(meeting_date AS VARCHAR) END, document_id) AS meeting_date FROM v_document GROUP BY city_name")
@@ -200,18 +231,85 @@ def w2_cascade_junction(spark, d):
     return store.purge(view(spark, d, "v_lead_parcel"), view(spark, d, "v_lead").where("signal_strength = 'EXCLUDED'"), "lead_id").select("lead_id", "parcel_id")
 
 
-@query("SELECT apn, min(parcel_id) AS parcel_id FROM (SELECT apn, parcel_id FROM v_parcel WHERE parcel_id % 2 = 0 UNION ALL SELECT apn, parcel_id + 1000000 FROM v_parcel) GROUP BY apn")
+@query("SELECT apn, min(parcel_id) AS parcel_id FROM (SELECT apn, parcel_id FROM v_parcel WHERE current_zoning IS NOT NULL UNION ALL SELECT apn, parcel_id + 1000000 FROM v_parcel) GROUP BY apn")
 def w3_insert_parcels(spark, d):
-    p = view(spark, d, "v_parcel").select("apn", "parcel_id")
+    """Parcels with a zoning are stored; all come again under new ids, which only the others take."""
+    p = view(spark, d, "v_parcel").select("apn", "parcel_id", "current_zoning")
     new = p.withColumn("parcel_id", F.col("parcel_id") + 1000000).withColumn("seq", F.col("parcel_id"))
-    return store.insert_absent(p.where("parcel_id % 2 = 0").withColumn("seq", F.lit(0).cast("long")), new, "apn", "seq").select("apn", "parcel_id")
+    return store.insert_absent(p.where("current_zoning IS NOT NULL").withColumn("seq", F.lit(0).cast("long")), new, "apn", "seq").select("apn", "parcel_id")
+
+
+_VIEWS_OF_INGEST = "-- v_signal v_document v_parcel v_lead v_lead_parcel\n"
+_INGEST = """
+WITH doc AS (SELECT * FROM v_document WHERE processed_status = 'PENDING'),
+hit AS (SELECT s.document_id, seq, p.apn, upper(p.city) = upper(d.city_name) AS here FROM v_signal s JOIN doc d ON s.document_id = d.document_id JOIN v_parcel p ON upper(p.address) LIKE concat('%', upper(s.address), '%') WHERE s.apn IS NULL AND s.address IS NOT NULL AND lead_type <> 'POLICY_AMENDMENT'),
+any_here AS (SELECT *, bool_or(here) OVER (PARTITION BY document_id, seq) AS is_local FROM hit),
+found AS (SELECT document_id, seq, list(DISTINCT apn ORDER BY apn) AS apns FROM any_here WHERE here OR NOT is_local GROUP BY document_id, seq),
+dated AS (SELECT document_id, arg_min(meeting_date, seq) FILTER (WHERE meeting_date IS NOT NULL) AS document_date FROM v_signal GROUP BY document_id),
+s AS (SELECT v.*, d.city_name, document_date, CASE WHEN lead_type = 'POLICY_AMENDMENT' THEN [] WHEN apn IS NOT NULL THEN [apn] ELSE coalesce(apns, []) END AS own FROM v_signal v JOIN doc d ON v.document_id = d.document_id JOIN dated ON v.document_id = dated.document_id LEFT JOIN found f ON v.document_id = f.document_id AND v.seq = f.seq),
+new AS (SELECT concat(CAST(document_id AS VARCHAR), '-s', CAST(seq AS VARCHAR)) AS lead_id, * FROM s WHERE lead_type = 'POLICY_AMENDMENT' OR len(own) > 0)
+"""
 
 
-@query("SELECT l.lead_id, l.document_id, coalesce(l.meeting_date, d.meeting_date) AS meeting_date, 'PROCESSED' AS processed_status FROM v_lead l JOIN v_document d ON l.document_id = d.document_id WHERE l.signal_strength <> 'LOW'")
+def _ingested(spark, d, times: int = 1) -> store.Tables:
+    """The stored tables after the pending documents have been ingested."""
+    leads, docs, links, parcels = _stored(spark, d)
+    tables = store.Tables(docs, parcels, leads, links)
+    pending, found = docs.where("processed_status = 'PENDING'").select("document_id", "city_name", "file_url"), view(spark, d, "v_signal")
+    asked = found.where("apn IS NULL AND address IS NOT NULL").join(pending, "document_id").select(F.struct("document_id", "seq").alias("ask_id"), "address", F.col("city_name").alias("city"))
+    resolved = resolve.by_address(asked, parcels).select("ask_id.*", "apns")
+    for _ in range(times):
+        tables = store.persist(tables, pending, found, resolved)
+    return tables
+
+
+_LEADS = (
+    _INGEST
+    + _VIEWS_OF_INGEST
+    + """SELECT lead_id, document_id, lead_type, CASE WHEN lead_type = 'POLICY_AMENDMENT' AND affected_districts IS NOT NULL THEN concat('Policy amendment affecting ', array_to_string(affected_districts, ', ')) WHEN lead_type = 'POLICY_AMENDMENT' THEN concat('Policy amendment: ', keyword)
+WHEN len(own) = 1 THEN concat('Matched ''', keyword, ''' near APN ', own[1]) ELSE concat('Matched ''', keyword, ''' spanning ', CAST(len(own) AS VARCHAR), ' parcels (', array_to_string(own, ', '), ')') END AS summary, coalesce(meeting_date, document_date) AS meeting_date, page_number FROM new
+UNION ALL SELECT lead_id, document_id, lead_type, NULL, meeting_date, page_number FROM v_lead WHERE document_id NOT IN (SELECT document_id FROM doc)"""
+)
+
+
+@query(_LEADS)
 def w4_insert_leads(spark, d):
-    leads = view(spark, d, "v_lead").where("signal_strength <> 'LOW'")
-    docs = view(spark, d, "v_document").select("document_id", F.col("meeting_date").alias("document_date"))
-    return leads.join(docs, "document_id").select("lead_id", "document_id", F.coalesce("meeting_date", "document_date").alias("meeting_date"), F.lit("PROCESSED").alias("processed_status"))
+    return _ingested(spark, d).leads.select("lead_id", "document_id", "lead_type", "summary", "meeting_date", "page_number")
+
+
+@query(_INGEST + _VIEWS_OF_INGEST + "SELECT lead_id, unnest(own) AS apn FROM new UNION ALL SELECT lp.lead_id, p.apn FROM v_lead_parcel lp JOIN v_parcel p ON lp.parcel_id = p.parcel_id WHERE lp.lead_id NOT IN (SELECT lead_id FROM v_lead WHERE document_id IN (SELECT document_id FROM doc))")
+def w5_insert_junction(spark, d):
+    t = _ingested(spark, d)
+    return t.lead_parcels.join(t.parcels.select("parcel_id", "apn"), "parcel_id").select("lead_id", "apn")
+
+
+@query(
+    _INGEST
+    + """, per AS (SELECT document_id, count(*) AS n FROM new GROUP BY document_id)
+-- v_signal v_document v_parcel
+SELECT v.document_id, v.file_url, CASE WHEN doc.document_id IS NOT NULL THEN 'PROCESSED' ELSE v.processed_status END AS processed_status, CASE WHEN doc.document_id IS NOT NULL THEN document_date ELSE v.meeting_date END AS meeting_date, CASE WHEN doc.document_id IS NOT NULL THEN coalesce(n, 0) END AS leads_found
+FROM v_document v LEFT JOIN doc ON v.document_id = doc.document_id LEFT JOIN dated ON v.document_id = dated.document_id LEFT JOIN per ON v.document_id = per.document_id"""
+)
+def w6_mark_processed(spark, d):
+    return _ingested(spark, d).documents.select("document_id", "file_url", "processed_status", "meeting_date", "leads_found")
+
+
+@query(
+    _INGEST
+    + """, sites AS (SELECT unnest(own) AS apn, document_id, seq, coalesce(address, concat('Unmatched — parsed from page ', CAST(page_number AS VARCHAR))) AS address, coalesce(city, city_name) AS city, unit_count FROM new),
+first AS (SELECT *, row_number() OVER (PARTITION BY apn ORDER BY document_id, seq) AS i FROM sites WHERE apn NOT IN (SELECT apn FROM v_parcel))
+-- v_signal v_document v_parcel
+SELECT apn, address, city, unit_count AS max_units FROM first WHERE i = 1 UNION ALL SELECT apn, address, city, max_units FROM v_parcel"""
+)
+def w10_persist_parcels(spark, d):
+    """Stored parcels stay as they are; those that only signals name come as the first of these describes them."""
+    return _ingested(spark, d).parcels.select("apn", "address", "city", "max_units")
+
+
+@query(_LEADS)
+def z7_reingest(spark, d):
+    """Two ingests of the same documents leave what one does."""
+    return _ingested(spark, d, 2).leads.select("lead_id", "document_id", "lead_type", "summary", "meeting_date", "page_number")
 
 
 @query("SELECT document_id, seq, parcel_id FROM v_signal s JOIN v_parcel p ON s.apn = p.apn")
@@ -229,10 +327,10 @@ def w8_backfill_junction(spark, d):
     return view(spark, d, "v_lead_parcel").where("parcel_id IS NOT NULL").select("lead_id", "parcel_id")
 
 
-@query("SELECT document_id, file_url FROM v_document WHERE file_url NOT IN (SELECT file_url FROM v_document WHERE document_id % 3 = 0)")
+@query("SELECT document_id, file_url FROM v_document WHERE file_url NOT IN (SELECT file_url FROM v_document WHERE processed_status = 'PROCESSED')")
 def j4_new_documents(spark, d):
     docs = view(spark, d, "v_document")
-    return docs.join(docs.where("document_id % 3 = 0").select("file_url"), "file_url", "left_anti").select("document_id", "file_url")
+    return jobs.unseen(docs.select("document_id", "file_url"), docs.where("processed_status = 'PROCESSED'"))
 
 
 @query("SELECT document_id, meeting_date FROM v_document WHERE meeting_date IS NULL OR (meeting_date >= DATE '1995-01-01' AND meeting_date <= DATE '1995-01-31')")
@@ -241,9 +339,17 @@ def f13_date_window(spark, d):
     return view(spark, d, "v_document").where(date.isNull() | date.between(F.lit("1995-01-01").cast("date"), F.lit("1995-01-31").cast("date"))).select("document_id", "meeting_date")
 
 
-@query("SELECT document_id, file_url FROM v_document WHERE document_type = 'STAFF_REPORT' ORDER BY document_id LIMIT 50")
+def _swept(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The staff reports that were found, and those of them that a sweep starts jobs for; downloads of failed ones fail."""
+    docs = view(spark, d, "v_document").where("document_type = 'STAFF_REPORT'")
+    found = docs.select(F.col("document_id").alias("place"), F.col("file_url").alias("pdf_url"), F.lit(None).cast("string").alias("title"))
+    return found, discovery.sweep(found, docs.where("processed_status = 'FAILED'").select(F.col("file_url").alias("pdf_url")), 50)
+
+
+@query("SELECT document_id AS place, file_url AS pdf_url, file_url AS title FROM v_document WHERE document_type = 'STAFF_REPORT' AND processed_status <> 'FAILED' ORDER BY document_id LIMIT 50")
 def r8_sweep_cap(spark, d):
-    return view(spark, d, "v_document").where("document_type = 'STAFF_REPORT'").orderBy("document_id").limit(50).select("document_id", "file_url")
+    """The cap counts downloads that succeed."""
+    return _swept(spark, d)[1]
 
 
 @query("""WITH e AS (SELECT *, min(CASE WHEN status IN ('completed', 'failed', 'cancelled') THEN seq END) OVER (PARTITION BY job_id) AS first_end, max(CASE WHEN status IN ('completed', 'failed') THEN seq END) OVER (PARTITION BY job_id) AS last_hard FROM v_job_event)
@@ -258,35 +364,25 @@ def u4_years_spanning(spark, d):
     return view(spark, d, "v_source").where("source_type = 'api'").withColumn("year", years).select("jurisdiction", "year", F.concat("listing_url", F.lit("?year="), F.col("year").cast("string")).alias("url"))
 
 
-@query("SELECT jurisdiction, source_type FROM v_source WHERE jurisdiction IN ('NATION_1', 'NATION_8')")
+@query("SELECT jurisdiction, source_type, CASE WHEN jurisdiction IN ('NATION_1', 'NATION_8') THEN 2 ELSE 1 END AS n FROM v_source")
 def f17_targeted_sources(spark, d):
-    return view(spark, d, "v_source").where(F.col("jurisdiction").isin("NATION_1", "NATION_8")).select("jurisdiction", "source_type")
+    """Each source counts once for a sweep of all, and once more if it is named."""
+    s = view(spark, d, "v_source").withColumn("name", serving.source_name(F.col("jurisdiction")))
+    both = discovery.targeted(s, None).unionByName(discovery.targeted(s, ["NATION_1 City Council", "NATION_8 City Council", "no such source"]))
+    return both.groupBy("jurisdiction", "source_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT apn, coalesce(address, 'Unmatched') AS address, coalesce(current_zoning, 'unknown') AS current_zoning FROM v_parcel WHERE apn IS NOT NULL")
+@query("SELECT s.document_id, seq, apn, coalesce(address, concat('Unmatched — parsed from page ', CAST(page_number AS VARCHAR))) AS address, coalesce(city, city_name) AS city, current_zoning, proposed_zoning, unit_count AS max_units FROM v_signal s JOIN v_document d ON s.document_id = d.document_id WHERE apn IS NOT NULL")
 def p4_fallback_parcels(spark, d):
-    return view(spark, d, "v_parcel").where("apn IS NOT NULL").select("apn", F.coalesce("address", F.lit("Unmatched")).alias("address"), F.coalesce("current_zoning", F.lit("unknown")).alias("current_zoning"))
-
-
-@query("SELECT l.lead_id, p.parcel_id FROM v_lead l JOIN v_lead_parcel p ON l.lead_id = p.lead_id WHERE l.lead_type = 'SITE_SPECIFIC'")
-def w5_insert_junction(spark, d):
-    return view(spark, d, "v_lead").where("lead_type = 'SITE_SPECIFIC'").join(view(spark, d, "v_lead_parcel"), "lead_id").select("lead_id", "parcel_id")
-
-
-@query("SELECT document_id, CASE WHEN document_id IN (SELECT document_id FROM v_lead) THEN 'PROCESSED' ELSE processed_status END AS processed_status FROM v_document")
-def w6_mark_processed(spark, d):
-    done = view(spark, d, "v_lead").select("document_id").distinct().withColumn("done", F.lit(True))
-    docs = view(spark, d, "v_document").join(done, "document_id", "left")
-    return docs.select("document_id", F.when(F.col("done"), F.lit("PROCESSED")).otherwise(F.col("processed_status")).alias("processed_status"))
+    return serving.fallback_parcels(view(spark, d, "v_signal"), view(spark, d, "v_document"))
 
 
-@query("SELECT d.document_id, count(l.lead_id) AS n_leads, CASE WHEN count(l.lead_id) = 0 THEN 'No leads found' END AS message FROM v_document d LEFT JOIN v_lead l ON d.document_id = l.document_id AND l.signal_strength = 'HIGH' GROUP BY d.document_id")
+@query("SELECT d.document_id, count(l.lead_id) AS n_leads, CASE WHEN count(l.lead_id) = 0 THEN 'Scan complete. No actionable development leads found in recent agendas.' END AS message FROM v_document d LEFT JOIN v_lead l ON d.document_id = l.document_id AND l.signal_strength = 'HIGH' GROUP BY d.document_id")
 def w11_zero_lead_messages(spark, d):
-    high = view(spark, d, "v_lead").where("signal_strength = 'HIGH'").groupBy("document_id").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return view(spark, d, "v_document").join(high, "document_id", "left").select("document_id", n.alias("n_leads"), F.when(n == 0, "No leads found").alias("message"))
+    return serving.zero_lead_messages(view(spark, d, "v_document"), view(spark, d, "v_lead").where("signal_strength = 'HIGH'"))
 
 
-@query("SELECT processed_status, count(*) AS documents_found, count(DISTINCT city_name) AS n_cities FROM v_document GROUP BY processed_status")
+@query("""WITH f AS (SELECT document_id, file_url, processed_status FROM v_document WHERE document_type = 'STAFF_REPORT'), j AS (SELECT * FROM f WHERE processed_status <> 'FAILED' ORDER BY document_id LIMIT 50)
+SELECT (SELECT count(*) FROM f) AS documents_found, count(*) AS jobs_started, string_agg(file_url, ' ' ORDER BY document_id) AS jobs FROM j""")
 def a12_run_summary(spark, d):
-    return view(spark, d, "v_document").groupBy("processed_status").agg(F.count("*").alias("documents_found"), F.count_distinct("city_name").alias("n_cities"))
+    return discovery.run_summary(*_swept(spark, d)).withColumn("jobs", F.array_join("jobs", " "))

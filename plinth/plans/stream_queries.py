@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from plinth.plans.serving_queries import ORACLE_SQL as _SERVING
 from plinth.sources.shared import new_path
+from plinth.sources.tables import table
 from plinth.streaming import jobs
 
 
@@ -11,5 +14,17 @@ def z7_stream_job_states(spark, d):
     return jobs.fold_jobs(jobs.job_event_stream(spark, f"{d}/events*.parquet"), new_path(spark))
 
 
-QUERIES: dict = {"z7_stream_job_states": z7_stream_job_states}
-ORACLE_SQL: dict[str, str] = {"z7_stream_job_states": _SERVING["z3_job_states"]}
+def z1_stream_unseen(spark, d):
+    """Each customer's orders as a stream of documents under one address; some customers have been seen before."""
+    address = lambda c: F.concat(F.lit("https://portal.example/c/"), F.col(c).cast("string"))
+    orders = table(spark, d, "orders")
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/orders*.parquet")
+    seen = orders.where("o_orderstatus = 'P'").select(address("o_custkey").alias("file_url"))
+    return jobs.stream_unseen(stream.select(address("o_custkey").alias("file_url"), F.col("o_orderkey").alias("document_id")), seen, new_path(spark))
+
+
+QUERIES: dict = {"z7_stream_job_states": z7_stream_job_states, "z1_stream_unseen": z1_stream_unseen}
+ORACLE_SQL: dict[str, str] = {
+    "z7_stream_job_states": _SERVING["z3_job_states"],
+    "z1_stream_unseen": "SELECT concat('https://portal.example/c/', CAST(o_custkey AS VARCHAR)) AS file_url, min(o_orderkey) AS document_id FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY o_custkey",
+}

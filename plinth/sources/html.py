@@ -1,89 +1,114 @@
-"""HTML pages as rows: a tolerant parser for anchors and table rows, run inside ``mapInPandas``."""
+"""HTML pages as rows: a tolerant parser for links and listing rows, run inside ``mapInPandas``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Classes of listing rows, the first that a page has being its listing; then the rows of the first such table: fixed values.
+ROW_CLASSES, TABLE_CLASS = ("catAgendaRow", "MeetingRow"), "listtable"
+FALLBACK = "fallback"
 
 
-class _Rows(HTMLParser):
-    """Collects anchors (href, text, label, row) and rows (kind, text, date cell)."""
+class _Page(HTMLParser):
+    """Collects links (href, text, label, the rows around) and elements that may be rows (tag, classes, text, date cell)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.anchors: list[dict] = []
+        self.links: list[dict] = []
         self.rows: list[dict] = []
-        self.open: list[tuple[str, dict | None, dict | None]] = []  # tag, the row it opens, the date cell's row
-        self.anchor: dict | None = None
-        self.list_table = 0
+        self.open: list[tuple[str, dict | None, dict | None]] = []  # tag, the row that it opens, the date cell's row
+        self.link: dict | None = None
+        self.table: int | None = None  # how deep the first listing table stands; -1 once it has ended
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         classes = a.get("class", "").split()
         row = None
-        if tag == "tr" or "catAgendaRow" in classes or "MeetingRow" in classes:
-            kind = "catAgendaRow" if "catAgendaRow" in classes else "MeetingRow" if "MeetingRow" in classes else "listtable" if self.list_table else "tr"
-            row = {"idx": len(self.rows), "kind": kind, "text": [], "date_cell": ""}
+        if tag in ("tr", "div") or any(c in classes for c in ROW_CLASSES):
+            row = {"idx": len(self.rows), "tag": tag, "classes": classes, "listed": tag == "tr" and self.table not in (None, -1), "linked": False, "text": [], "date_cell": ""}
             self.rows.append(row)
-        if tag == "table" and any("listtable" in c for c in classes):
-            self.list_table += 1
+        if tag == "table" and self.table is None and TABLE_CLASS in classes:
+            self.table = len(self.open)
         cell = next((r for _, r, _ in reversed(self.open) if r), None) if tag == "td" and a.get("headers") == "Date" else None
         if tag == "a" and "href" in a:
-            at = next((r["idx"] for _, r, _ in reversed(self.open) if r), -1)
-            self.anchor = {"idx": len(self.anchors), "href": a["href"], "label": a.get("aria-label", ""), "text": [], "row": at}
-            self.anchors.append(self.anchor)
+            around = [r for _, r, _ in self.open if r]
+            for r in around:
+                r["linked"] = True
+            self.link = {"idx": len(self.links), "href": a["href"], "label": a.get("aria-label", ""), "text": [], "rows": [r["idx"] for r in around]}
+            self.links.append(self.link)
         if tag not in _VOID:
             self.open.append((tag, row, cell))
 
     def handle_endtag(self, tag):
         if tag == "a":
-            self.anchor = None
-        if tag == "table" and self.list_table:
-            self.list_table -= 1
+            self.link = None
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]
                 break
+        if self.table not in (None, -1) and len(self.open) <= self.table:
+            self.table = -1
 
     def handle_data(self, data):
-        if self.anchor is not None:
-            self.anchor["text"].append(data)
+        data = data.strip()
+        if not data:
+            return
+        if self.link is not None:
+            self.link["text"].append(data)
         for _, row, cell in self.open:
             if row:
                 row["text"].append(data)
             if cell:
                 cell["date_cell"] += data
 
+    def listing(self) -> tuple[str, list[dict]]:
+        """The kind of the page's listing rows and the rows; fallback rows are all that hold a link."""
+        for kind in ROW_CLASSES:
+            if found := [r for r in self.rows if kind in r["classes"]]:
+                return kind, found
+        if found := [r for r in self.rows if r["listed"]]:
+            return TABLE_CLASS, found
+        return FALLBACK, [r for r in self.rows if r["tag"] in ("tr", "div") and r["linked"]]
 
-def _parse(html: str | None) -> _Rows:
-    parser = _Rows()
-    parser.feed(html or "")
-    parser.close()
-    return parser
 
+def _parse(html: str | None) -> _Page:
+    page = _Page()
+    page.feed(html or "")
+    page.close()
+    return page
 
-def anchors(pages: DataFrame) -> DataFrame:
-    """(page_id, idx, href, text, label, row) of all links in pages (page_id, html)."""
 
+def _each_page(pages: DataFrame, found: Callable[[_Page], list[tuple]], columns: dict[str, str]) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            out = [(k, a["idx"], a["href"], " ".join("".join(a["text"]).split()), a["label"], a["row"]) for k, h in zip(p["page_id"], p["html"], strict=True) for a in _parse(h).anchors]
-            yield pd.DataFrame(out, columns=["page_id", "idx", "href", "text", "label", "row"])
+            yield pd.DataFrame([(k, *row) for k, h in zip(p["page_id"], p["html"], strict=True) for row in found(_parse(h))], columns=["page_id", *columns])
 
-    return pages.where("page_id IS NOT NULL").select("page_id", "html").mapInPandas(work, "page_id long, idx int, href string, text string, label string, row int")
+    return pages.where("page_id IS NOT NULL").select("page_id", "html").mapInPandas(work, "page_id long, " + ", ".join(f"{n} {t}" for n, t in columns.items()))
 
 
-def rows(pages: DataFrame) -> DataFrame:
-    """(page_id, row, kind, text, date_cell) of all table and meeting rows in pages (page_id, html)."""
+def anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, idx, href, text, label, rows) of all links in pages (page_id, html); ``rows`` are those around a link."""
+    return _each_page(pages, lambda p: [(a["idx"], a["href"], "".join(a["text"]), a["label"], a["rows"]) for a in p.links], {"idx": "int", "href": "string", "text": "string", "label": "string", "rows": "array<int>"})
+
+
+_ROW = {"row": "int", "kind": "string", "text": "string", "date_cell": "string"}
+
+
+def listing_rows(pages: DataFrame) -> DataFrame:
+    """(page_id, row, kind, text, date_cell) of the rows of each page's listing."""
+
+    def found(p: _Page) -> list[tuple]:
+        kind, rows = p.listing()
+        return [(r["idx"], kind, " ".join(r["text"]), r["date_cell"]) for r in rows]
+
+    return _each_page(pages, found, _ROW)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            out = [(k, r["idx"], r["kind"], " ".join(" ".join(r["text"]).split()), r["date_cell"].strip()) for k, h in zip(p["page_id"], p["html"], strict=True) for r in _parse(h).rows]
-            yield pd.DataFrame(out, columns=["page_id", "row", "kind", "text", "date_cell"])
 
-    return pages.where("page_id IS NOT NULL").select("page_id", "html").mapInPandas(work, "page_id long, row int, kind string, text string, date_cell string")
+def table_rows(pages: DataFrame) -> DataFrame:
+    """The same columns of all table rows, whatever their classes."""
+    return _each_page(pages, lambda p: [(r["idx"], "tr", " ".join(r["text"]), r["date_cell"]) for r in p.rows if r["tag"] == "tr"], _ROW)

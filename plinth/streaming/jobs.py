@@ -1,43 +1,50 @@
-"""Streams: job states folded from an event log, and discovery of documents not seen before."""
+"""Streams: job states folded from an event log, and discovery of documents not seen before.
+
+Batch n of a stream writes version n of its table from the versions before it, so a batch that is run again after a
+failure overwrites its own version with the same rows. A restart on the same folder goes on from the newest version.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATE = "job_id long, n_events long, hard_seq long, hard_status string, cancelled boolean"
-
+from plinth.operators.store import final_states, partial_states
 
-def _partial(events: DataFrame) -> DataFrame:
-    """What a set of events (job_id, seq, status) adds to the states; partial states merge by maxima and sums."""
-    hard = F.col("status").isin("completed", "failed")
-    return events.groupBy("job_id").agg(F.count("*").alias("n_events"), F.max(F.when(hard, F.col("seq"))).alias("hard_seq"), F.max_by("status", F.when(hard, F.col("seq"))).alias("hard_status"), F.bool_or(F.col("status") == "cancelled").alias("cancelled"))
+STATE = "job_id long, n_events long, hard_seq long, hard_status string, cancelled boolean"
 
 
 def _merge(states: DataFrame) -> DataFrame:
     return states.groupBy("job_id").agg(F.sum("n_events").alias("n_events"), F.max("hard_seq").alias("hard_seq"), F.max_by("hard_status", "hard_seq").alias("hard_status"), F.bool_or("cancelled").alias("cancelled"))
 
 
-def fold_jobs(events: DataFrame, folder: str) -> DataFrame:
-    """Run a stream of events to its present end and return (job_id, status, n_events).
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions of a table that a stream has written, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(x.getPath().getName()[1:]) for x in found)
+
+
+def _run(stream: DataFrame, folder: str, fold) -> None:
+    stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
-    Batch n writes version n of the table from version n - 1, so a batch that is run again after a failure overwrites
-    its own version with the same rows.
-    """
+
+def fold_jobs(events: DataFrame, folder: str) -> DataFrame:
+    """Run a stream of events to its present end and return (job_id, status, n_events)."""
     spark = events.sparkSession
+    read = lambda n: spark.read.schema(STATE).parquet(f"{folder}/v{n}")
 
     def fold(batch: DataFrame, n: int) -> None:
-        now = _partial(batch)
-        if n:
-            now = _merge(now.unionByName(spark.read.schema(STATE).parquet(f"{folder}/v{n - 1}")))
+        now = partial_states(batch)
+        if before := [v for v in versions(spark, folder) if v < n]:
+            now = _merge(now.unionByName(read(before[-1])))
         now.write.mode("overwrite").parquet(f"{folder}/v{n}")
-        last["n"] = n
 
-    last: dict[str, int] = {}
-    events.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    states = spark.read.schema(STATE).parquet(f"{folder}/v{last['n']}") if last else spark.createDataFrame([], STATE)
-    status = F.when(F.col("hard_seq").isNotNull(), F.col("hard_status")).when(F.col("cancelled"), "cancelled").otherwise("processing")
-    return states.select("job_id", status.alias("status"), "n_events")
+    _run(events, folder, fold)
+    done = versions(spark, folder)
+    return final_states(read(done[-1]) if done else spark.createDataFrame([], STATE))
 
 
 def job_event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -49,5 +56,23 @@ def job_event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unseen(documents: DataFrame, seen: DataFrame, key: str = "file_url") -> DataFrame:
-    """Documents of a stream or table whose key isn't among those seen, each key once."""
-    return documents.join(seen.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+    """Documents whose key isn't among those seen, each key once (the least row of it)."""
+    others = [c for c in documents.columns if c != key]
+    new = documents.join(seen.select(key).distinct(), key, "left_anti")
+    if not others:
+        return new.distinct()
+    return new.groupBy(key).agg(F.min(F.struct(*others)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in others])
+
+
+def stream_unseen(documents: DataFrame, seen: DataFrame, folder: str, key: str = "file_url") -> DataFrame:
+    """Run a stream of documents to its present end and return those that neither ``seen`` nor an earlier batch has."""
+    spark, schema = documents.sparkSession, documents.schema
+    read = lambda n: spark.read.schema(schema).parquet(f"{folder}/v{n}")
+
+    def fold(batch: DataFrame, n: int) -> None:
+        known = [read(v).select(key) for v in versions(spark, folder) if v < n]
+        unseen(batch, reduce(DataFrame.unionByName, known, seen.select(key)), key).select(*schema.names).write.mode("overwrite").parquet(f"{folder}/v{n}")
+
+    _run(documents, folder, fold)
+    done = [read(v) for v in versions(spark, folder)]
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], schema)

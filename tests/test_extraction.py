@@ -95,3 +95,54 @@ def test_tiers(spark):
         (3, "650-555-1234", 2, "sweep", "POLICY"),
         (4, None, 1, "pages", "SINGLE"),
     ]
+    exhibit, sweep = (next(r for r in got if r.document_id == d) for d in (2, 3))
+    assert (exhibit.keyword, exhibit.current_zoning, exhibit.proposed_zoning, exhibit.page_number) == ("Exhibit B listing", "Current Zoning", "Excluded/Unchanged", 2)
+    assert (sweep.keyword, sweep.current_zoning, sweep.proposed_zoning, sweep.snippet) == ("global APN sweep", "Baseline Zoning", "Policy Rezoning", "Municipal code study. Call 650-555-1234")
+
+
+def test_exhibit_headers_end_at_the_next_one(spark):
+    """What decides is up to 120 characters past a header's end, and never the next exhibit's."""
+    far = "x" * 113
+    pages = [(1, 1, "Exhibit A sites\n042-311-001 at 5 Oak St\nExhibit B denied\n042-311-002"), (2, 1, f"Exhibit A {far} denied 042-311-003"), (3, 1, f"Exhibit A {far[:-6]} denied 042-311-004 under SB 79"), (4, 1, f"Exhibit A\n\n{'Long title ' * 10}\n042-311-005 SB-79")]
+    got = extraction.exhibit_apns(spark.createDataFrame(pages, "document_id long, page_number int, page_text string")).orderBy("apn").collect()
+    assert [(r.apn[-1], r.keyword, r.signal_strength, r.current_zoning, r.proposed_zoning[:10], r.address) for r in got] == [
+        ("1", "Exhibit A listing", "MED", "Baseline Zoning", "sites", "5 Oak St"),
+        ("2", "Exhibit B listing", "EXCLUDED", "Current Zoning", "Excluded/U", None),
+        ("3", "Exhibit A listing", "MED", "Baseline Zoning", "xxxxxxxxxx", None),
+        ("4", "Exhibit A listing", "EXCLUDED", "Current Zoning", "Excluded/U", None),
+        ("5", "Exhibit A listing", "MED", "Baseline Zoning", "SB 79 TOD", None),
+    ]
+
+
+def test_exports_and_summaries(spark):
+    parcel = "parcels array<struct<apn:string,address:string,city:string,county:string,current_zoning:string,proposed_zoning:string,max_units:int,owner_name:string,owner_address:string>>"
+    rows = [
+        ("a", "2026-07-14", "X", "SITE_SPECIFIC", "Rezone, big", "HIGH", "rezone", None, 3, [("1", "5 Oak", "X", "Y", "R-1", None, 8, 'A "B"', None), ("2", "6 Oak", "X", "Y", None, "R-3", None, None, "z")]),
+        ("b", None, "X", "POLICY_AMENDMENT", None, "MED", "citywide", ["North", "South"], None, []),
+    ]
+    d = spark.createDataFrame(rows, f"lead_id string, meeting_date string, jurisdiction string, lead_type string, entitlement_type string, signal_strength string, keyword string, affected_districts array<string>, page_number int, {parcel}").withColumn("created_at", F.lit("2026-07-27 14:32:07").cast("timestamp"))
+    assert [r.line for r in serving.lead_csv(d).orderBy("lead_id").collect()] == ["Meeting Date,Jurisdiction,Lead Type,Site Address,APN,Entitlement Type,Current Zoning,Proposed Zoning,Max Unit Yield,Signal Score", '2026-07-14,X,SITE_SPECIFIC,5 Oak; 6 Oak,1; 2,"Rezone, big",R-1; ,; R-3,8,HIGH', ",X,POLICY_AMENDMENT,,,,,,,MED"]
+    assert [r.line for r in serving.owner_csv(d).orderBy("row").collect()] == ['"APN","Address","Owner Name","Owner Address"', '"1","5 Oak","A "B"",""', '"2","6 Oak","","z"']
+    text = serving.summary(F.col("lead_type"), F.col("keyword"), F.col("affected_districts"), F.transform("parcels", lambda p: p["apn"]))
+    assert [r[0] for r in d.orderBy("lead_id").select(text).collect()] == ["Matched 'rezone' spanning 2 parcels (1, 2)", "Policy amendment affecting North, South"]
+    shown = [r.asDict() for r in serving.display(d).orderBy("lead_id").collect()]
+    assert shown[0] == {"lead_id": "a", "date": "2026-07-14", "title": "5 Oak", "subtitle": "1", "place": "X, Y County", "more": "+1 more", "others": "6 Oak", "entitlement": "Rezone, big", "units": "+8", "page": "View Agenda PDF (Page 3)", "stamp": "07/27 14:32:07"}
+    assert [shown[1][k] for k in ("date", "title", "subtitle", "place", "units", "page")] == ["—", "Policy Amendment", "North, South", "North, South", "—", "View Agenda PDF"]
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    from plinth.streaming import jobs
+
+    source, folder, schema = str(tmp_path / "in"), str(tmp_path / "state"), "job_id long, seq long, status string"
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: {r.job_id: (r.status, r.n_events) for r in jobs.fold_jobs(spark.readStream.schema(schema).parquet(source), folder).collect()}
+    add([(1, 1, "processing"), (2, 1, "cancelled"), (2, 2, "processing")])
+    assert run() == {1: ("processing", 1), 2: ("cancelled", 2)}
+    add([(1, 2, "completed"), (2, 3, "failed"), (3, 1, "processing")])
+    assert run() == run() == {1: ("completed", 2), 2: ("failed", 3), 3: ("processing", 1)}
+    docs, known = str(tmp_path / "docs"), spark.createDataFrame([("u0",)], "file_url string")
+    found = lambda: sorted((r.file_url, r.n) for r in jobs.stream_unseen(spark.readStream.schema("file_url string, n int").parquet(docs), known, str(tmp_path / "seen")).collect())
+    spark.createDataFrame([("u0", 1), ("u1", 2), ("u1", 1)], "file_url string, n int").write.parquet(docs)
+    assert found() == [("u1", 1)]
+    spark.createDataFrame([("u1", 3), ("u2", 4)], "file_url string, n int").write.mode("append").parquet(docs)
+    assert found() == found() == [("u1", 1), ("u2", 4)]
