@@ -236,10 +236,17 @@ def _near(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _of(segments: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """The segments of the sets in a column of ``pairs``, so that no others move."""
+    ids = pairs.select(F.col(key).alias("doc_id")).distinct()
+    return segments.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+
+
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """(lo, hi, n_lo, n_hi, k): the shingles that both sets of each pair hold, counted per fragment and summed."""
-    left = segments.select(F.col("doc_id").alias("lo"), F.col("n").alias("n_lo"), "fragment", F.col("tokens").alias("of_lo"))
-    right = segments.select(F.col("doc_id").alias("hi"), F.col("n").alias("n_hi"), "fragment", F.col("tokens").alias("of_hi"))
+    pairs = materialize(pairs)
+    left = _of(segments, pairs, "lo").select(F.col("doc_id").alias("lo"), F.col("n").alias("n_lo"), "fragment", F.col("tokens").alias("of_lo"))
+    right = _of(segments, pairs, "hi").select(F.col("doc_id").alias("hi"), F.col("n").alias("n_hi"), "fragment", F.col("tokens").alias("of_hi"))
     partial = pairs.join(left, "lo").join(right, ["hi", "fragment"]).select("lo", "hi", "n_lo", "n_hi", F.size(F.array_intersect("of_lo", "of_hi")).alias("k"))
     return partial.groupBy("lo", "hi", "n_lo", "n_hi").agg(F.sum("k").alias("k"))
 
@@ -285,9 +292,9 @@ def _by_differences(open_: DataFrame, segments: DataFrame, stars: DataFrame, per
     """
     refs = open_.where("root = main").groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("r"))
     refs = _small(refs.select("token", F.col("r.doc_id").alias("ref")), rows)
-    pairs = join_few(open_.select("token", "doc_id", "n"), refs, "token", "doc_id").where("doc_id <> ref").select("ref", "doc_id", "n").distinct()
-    pairs = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
-    of = lambda key, name: segments.select(F.col("doc_id").alias(key), "fragment", F.col("tokens").alias(name))
+    compared = _small(join_few(open_.select("token", "doc_id", "n"), refs, "token", "doc_id").where("doc_id <> ref").select("ref", "doc_id", "n").distinct(), rows)
+    pairs = compared.select("*", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
+    of = lambda key, name: _of(segments, compared, key).select(F.col("doc_id").alias(key), "fragment", F.col("tokens").alias(name))
     none = F.array().cast("array<long>")
     sides = pairs.join(of("doc_id", "own"), ["doc_id", "fragment"], "left").join(of("ref", "its"), ["ref", "fragment"], "left").withColumns({"own": F.coalesce("own", none), "its": F.coalesce("its", none)})
     differ = materialize(sides.select("ref", "doc_id", "n", F.size("its").alias("m"), F.concat(F.array_except("own", "its"), F.array_except("its", "own")).alias("tokens")))
@@ -308,7 +315,7 @@ def _by_differences(open_: DataFrame, segments: DataFrame, stars: DataFrame, per
     bits = [F.bit_or(F.expr(f"CASE WHEN (token >> 6) % {MASKS} = {i} THEN shiftleft(1L, CAST(token & 63 AS INT)) ELSE 0L END")).over(own).alias(f"m{i}") for i in range(MASKS)]
     ranked = tokens.join(often, ["ref", "token"]).select("ref", "doc_id", "n", "f", "need", "token", F.count("*").over(own).alias("s"), *bits, F.row_number().over(own.orderBy("df", "token")).alias("i"))
     postings = materialize(ranked.where("i <= s - need + 1").select(F.xxhash64("ref", "token").alias("token"), "doc_id", "n", *_FILTER))
-    for step in (refs, differ, listed, least, tokens):
+    for step in (refs, compared, differ, listed, least, tokens):
         discard(step)
     return postings, stars
 
