@@ -2,17 +2,26 @@
 
 Every text gets a few integer features. Each feature's distribution is kept per (language, source) as a mergeable
 quantile sketch: counts in buckets of fixed relative width (16 per power of two, so a quantile is off by at most
-1/16 of its value). Sketches merge by adding counts, hence a small group borrows the merged sketch of its language,
-or of the whole corpus. Fences computed from the sketches replace fixed cutoffs, and a join applies them.
-
-Defined results: a null or empty text has no words and fails the base rules; null languages and sources are groups of
-their own; an empty table gives an empty result; repeated rows are judged one by one.
+1/16 of its value). Sketches merge by adding counts. A group's sketch is its own counts plus those of its language,
+scaled down to at most ``PRIOR`` texts, and a language's takes in the corpus's likewise; so small groups lean on what
+they are part of, and large ones on themselves, without a switch.
+
+A sketch gives two fences. Beyond its outer quartile, texts of another kind stand out as a second mode: the fence lies
+in the emptiest stretch before it, if the rise behind that is more than chance. Without a second mode, the fence lies
+as far beyond the ``TAIL`` quantile as that is from the median, so without any spread only what outranks the ``TAIL``
+is out. No cutoff is fixed. A join applies the fences to all texts.
+
+Defined results: a null or empty text has no words and fails the base rules; very long texts are measured whole; null
+languages and sources are groups of their own; a value just at a fence is kept; an empty table gives an empty result;
+repeated rows are counted and judged one by one; other columns, whatever their names, pass ``filter_documents`` unchanged.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +31,14 @@ from plinth.llm.common import WHITE_SPACE, materialize
 
 FEATURES = T.StructType([T.StructField(x, T.LongType()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 SYMBOLS = "#*$%&|<>"
-#: Measures are features per 1000 words, each with the least reach of its fence beyond the high quantile; the reach is
-#: else TIMES the distance of the quantiles.
-MEASURES = {"symbols": ("n_symbols", 60), "repeats": ("n_repeat_words", 400), "word_length": ("word_chars", 1500)}
-QUANTILES = {"low": 0.25, "high": 0.75}
-TIMES = 3
-MIN_GROUP = 200
+#: Measures are features per 1000 words, each feature being at the least what a text can show of it besides nothing; so
+#: short texts without any stand where they could just hide it, and no gap opens between nothing and little.
+MEASURES = {"symbols": ("n_symbols", 1), "repeats": ("n_repeat_words", 4), "dup_lines": ("n_dup_lines", 1), "word_length": ("word_chars", 0)}
+#: Texts that a group's language (and a language's corpus) counts for at most.
+PRIOR = 1000
+TAIL = 0.995
+#: Buckets of a stretch, and how many standard deviations (of counts) a second mode must rise above the stretch before it.
+STRETCH, RISE = 5, 3.0
 
 
 def text_features(text: str | None) -> tuple[int, int, int, int, int]:
@@ -78,38 +89,85 @@ def sketches(df: DataFrame, group: list[str], measures: list[str]) -> DataFrame:
     return stacked.groupBy(*group, "x.measure", "x.top").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, group: list[str], qs: dict[str, float]) -> DataFrame:
-    """One row per group and measure: its count ``n`` and each quantile in ``qs``, read from the sketch's buckets."""
-    buckets = sketch.groupBy(*group, "measure").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("top", F.col("n").alias("c")))).alias("b"))
-
-    def at(q: float) -> Column:
-        last = F.aggregate(
-            "b",
-            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("top")),
-            lambda acc, x: F.struct((acc["seen"] + x["c"]).alias("seen"), F.when(acc["top"].isNotNull(), acc["top"]).when(acc["seen"] + x["c"] >= F.ceil(F.col("n") * q), x["top"]).alias("top")),
-        )
-        return last["top"]
-
-    return buckets.select(*group, "measure", "n", *[at(q).alias(name) for name, q in qs.items()])
+def bucket_of(top: np.ndarray) -> np.ndarray:
+    """The number of the bucket that ends at ``top``."""
+    octave = np.maximum(np.floor(np.log2(np.maximum(top, 1))).astype(np.int64) - 4, 0)
+    return np.where(top < 32, top, 16 * octave + (top >> octave))
+
+
+def top_of(bucket: np.ndarray) -> np.ndarray:
+    """The last value of a bucket."""
+    octave = np.maximum((bucket - 16) // 16, 0)
+    return np.where(bucket < 32, bucket, ((bucket - 16 * octave + 1) << octave) - 1)
+
+
+def quantile(counts: np.ndarray, q: float) -> int:
+    """The bucket of the q-quantile of counts by bucket."""
+    total = np.cumsum(counts)
+    return int(np.searchsorted(total, q * total[-1] - 1e-9 * total[-1]))
+
+
+def _second_mode(counts: np.ndarray, start: int) -> int | None:
+    """Above bucket ``start``: the middle of the emptiest stretch before the clearest rise; None if no rise is clear."""
+    near = np.convolve(counts, np.ones(STRETCH), "same")
+    least, best, found = start, RISE, None
+    for i in range(start + 1, len(near)):
+        rise = (near[i] - near[least]) / np.sqrt(near[i] + near[least] + 1)
+        if rise >= best and near[i] >= 2 * near[least]:
+            best, found = rise, (least, i)
+        if near[i] < near[least]:
+            least = i
+    if found is None:
+        return None
+    low, peak = found
+    alike = np.flatnonzero(near[low:peak] > near[low])
+    return low + (int(alike[0]) if len(alike) else peak - low) // 2
+
+
+def fences_of(tops: np.ndarray, n: np.ndarray) -> tuple[int, int]:
+    """(low, high): the least and the greatest value to keep, from a sketch's buckets."""
+    at = bucket_of(tops)
+    counts = np.zeros(int(at.max()) + 1 + STRETCH)
+    np.add.at(counts, at, n)
+    middle, tails = int(top_of(np.array(quantile(counts, 0.5)))), [int(top_of(np.array(quantile(counts, q)))) for q in (1 - TAIL, TAIL)]
+    above = _second_mode(counts, quantile(counts, 0.75))
+    high = 2 * tails[1] - middle if above is None else int(top_of(np.array(above)))
+    mirrored = counts[::-1]
+    below = _second_mode(mirrored, quantile(mirrored, 0.75))
+    low = 2 * tails[0] - middle if below is None else int(top_of(np.array(len(counts) - 1 - below - 1))) + 1
+    return low, high
+
+
+def _with_prior(own: DataFrame, parent: DataFrame, group: list[str], shared: list[str]) -> DataFrame:
+    """Sketch rows of each ``group``: its own, and its parent's (by ``shared``) scaled to PRIOR texts at most."""
+    sizes = parent.groupBy(*shared, "measure").agg(F.sum("n").alias("p_all"))
+    on = lambda a, b, keys: reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys])
+    share = parent.join(sizes, on(parent, sizes, [*shared, "measure"])).select(*[parent[k].alias(f"p_{k}") for k in shared], parent["measure"].alias("p_measure"), "top", (F.col("n") * F.least(F.lit(1.0), PRIOR / F.col("p_all"))).alias("n"))
+    groups = own.select(*group, "measure").distinct()
+    met = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in [*shared, "measure"]])
+    lent = groups.join(share, met).select(*group, "measure", "top", "n")
+    return own.select(*group, "measure", "top", F.col("n").cast("double").alias("n")).unionByName(lent).groupBy(*group, "measure", "top").agg(F.sum("n").alias("n"))
 
 
 def fences(measured: DataFrame) -> DataFrame:
-    """(lang, source, fence per measure): from the group's own sketch, or its language's or the corpus's if it is small."""
+    """(lang, source, low and high fence per measure) from rows (lang, source, measures)."""
     own = materialize(sketches(measured, ["lang", "source"], list(MEASURES)))
     by_lang = own.groupBy("lang", "measure", "top").agg(F.sum("n").alias("n"))
     by_all = own.groupBy("measure", "top").agg(F.sum("n").alias("n"))
+    by_lang = materialize(_with_prior(by_lang, by_all, ["lang"], []))
+    merged = _with_prior(own, by_lang, ["lang", "source"], ["lang"])
+
+    def fence(rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = fences_of(rows["top"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
+        return rows[["lang", "source", "measure"]].iloc[:1].assign(low=low, high=high)
+
+    kinds = dict(own.dtypes)
+    found = merged.groupBy("lang", "source", "measure").applyInPandas(fence, f"lang {kinds['lang']}, source {kinds['source']}, measure string, low long, high long")
+    of = lambda m, side: F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}")
+    return found.groupBy("lang", "source").agg(*[of(m, side) for m in MEASURES for side in ("low", "high")])
 
-    def fence(df: DataFrame, group: list[str]) -> DataFrame:
-        least = F.coalesce(*[F.when(F.col("measure") == m, least) for m, (_, least) in MEASURES.items()])
-        reach = F.greatest(TIMES * (F.col("high") - F.col("low")), least)
-        return quantiles(df, group, QUANTILES).select(*group, "measure", "n", (F.col("high") + reach).alias("fence"))
 
-    a, b, c = fence(own, ["lang", "source"]), fence(by_lang, ["lang"]), fence(by_all, [])
-    b = b.select(F.col("lang").alias("b_lang"), F.col("measure").alias("b_measure"), F.col("n").alias("b_n"), F.col("fence").alias("b_fence"))
-    c = c.select(F.col("measure").alias("c_measure"), F.col("fence").alias("c_fence"))
-    best = F.when(F.col("n") >= MIN_GROUP, F.col("fence")).when(F.col("b_n") >= MIN_GROUP, F.col("b_fence")).otherwise(F.col("c_fence"))
-    joined = a.join(b, F.col("lang").eqNullSafe(F.col("b_lang")) & (F.col("measure") == F.col("b_measure")), "left").join(c, F.col("measure") == F.col("c_measure"), "left")
-    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, best)).alias(f"{m}_fence") for m in MEASURES])
+FENCES = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
 
 
 def judge(df: DataFrame, lang: str = "lang", source: str = "source", f: str = "features") -> DataFrame:
@@ -118,14 +176,14 @@ def judge(df: DataFrame, lang: str = "lang", source: str = "source", f: str = "f
     ``df`` is read twice, so pass a materialised table. Fences come from rows that meet the base rules; a group without
     any such row has no fence and its rows are out by the base rules anyway.
     """
-    measured = df.withColumn("base_failed", base_failed(f)).withColumns({m: F.when(F.col(f"{f}.n_words") > 0, F.floor(1000 * F.col(f"{f}.{x[0]}") / F.col(f"{f}.n_words"))) for m, x in MEASURES.items()})
+    measured = df.withColumn("base_failed", base_failed(f)).withColumns({m: F.when(F.col(f"{f}.n_words") > 0, F.floor(1000 * F.greatest(F.col(f"{f}.{x}"), F.lit(least)) / F.col(f"{f}.n_words"))) for m, (x, least) in MEASURES.items()})
     good = measured.where(~F.col("base_failed")).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *MEASURES)
     limits = fences(good)
-    limits = limits.select(F.col("lang").alias("_fence_lang"), F.col("source").alias("_fence_source"), *[f"{m}_fence" for m in MEASURES])
+    limits = limits.select(F.col("lang").alias("_fence_lang"), F.col("source").alias("_fence_source"), *FENCES)
     out = measured.join(limits, F.col(lang).eqNullSafe(F.col("_fence_lang")) & F.col(source).eqNullSafe(F.col("_fence_source")), "left").drop("_fence_lang", "_fence_source")
     within = F.lit(True)
     for m in MEASURES:
-        within = within & (F.coalesce(F.col(m) <= F.col(f"{m}_fence"), F.lit(True)))
+        within = within & F.coalesce(F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & within)
 
 

@@ -16,7 +16,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = materialize(docs.select("doc_id", "lang", "source", quality.features("text").alias("features")))
     judged = quality.judge(held)
-    return judged.select("doc_id", *[F.col(f"features.{x}") for x in quality.FEATURES.names], "base_failed", "kept", *[x for m in quality.MEASURES for x in (m, f"{m}_fence")])
+    return judged.select("doc_id", *[F.col(f"features.{x}") for x in quality.FEATURES.names], "base_failed", "kept", *quality.MEASURES, *quality.FENCES)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
