@@ -140,11 +140,11 @@ def fences_of(tops: np.ndarray, n: np.ndarray) -> tuple[int, int]:
 
 def _with_prior(own: DataFrame, parent: DataFrame, group: list[str], shared: list[str]) -> DataFrame:
     """Sketch rows of each ``group``: its own, and its parent's (by ``shared``) scaled to PRIOR texts at most."""
-    sizes = parent.groupBy(*shared, "measure").agg(F.sum("n").alias("p_all"))
-    on = lambda a, b, keys: reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys])
-    share = parent.join(sizes, on(parent, sizes, [*shared, "measure"])).select(*[parent[k].alias(f"p_{k}") for k in shared], parent["measure"].alias("p_measure"), "top", (F.col("n") * F.least(F.lit(1.0), PRIOR / F.col("p_all"))).alias("n"))
+    names = [*shared, "measure"]
+    sizes = parent.groupBy(*[F.col(k).alias(f"p_{k}") for k in names]).agg(F.sum("n").alias("p_all"))
+    met = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in names])
+    share = parent.join(sizes, met).select(*[f"p_{k}" for k in names], "top", (F.col("n") * F.least(F.lit(1.0), PRIOR / F.col("p_all"))).alias("n"))
     groups = own.select(*group, "measure").distinct()
-    met = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in [*shared, "measure"]])
     lent = groups.join(share, met).select(*group, "measure", "top", "n")
     return own.select(*group, "measure", "top", F.col("n").cast("double").alias("n")).unionByName(lent).groupBy(*group, "measure", "top").agg(F.sum("n").alias("n"))
 
