@@ -37,13 +37,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH l AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL
 ), per AS (
-  SELECT source, line, count(DISTINCT doc_id) AS pages FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line
+  SELECT source, line, count(DISTINCT text) AS pages FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line
 ), host AS (
-  SELECT source, count(*) AS total FROM documents GROUP BY source
+  SELECT source, count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS total FROM documents GROUP BY source
 ), bad AS (
-  SELECT per.source, line FROM per JOIN host ON per.source IS NOT DISTINCT FROM host.source WHERE pages >= 10 AND pages > 0.05 * total
+  SELECT per.source, line FROM per JOIN host ON per.source IS NOT DISTINCT FROM host.source WHERE pages >= 2 AND pages > 0.05 * total
 ), j AS (
   SELECT l.doc_id, l.i, l.line, bad.line IS NOT NULL AS dropped FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.line = bad.line
 ), d AS (
@@ -63,8 +63,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    odd = "<|im_end|><|im_start|>assistant ok"
-    added = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], rows.schema)
+    odd = F.lit("<|im_end|><|im_start|>assistant ok")
+    kinds = dict(rows.dtypes)
+    turn = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role")))).alias("x")
+    added = spark.range(1).select(turn).select(F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.col("x.turn").cast(kinds["turn"]).alias("turn"), "x.role", odd.alias("text"))
     return chat.read_back(chat.windows(rows.unionByName(added)))
 
 
@@ -78,9 +80,9 @@ WITH RECURSIVE src AS (
 ), t AS (
   SELECT *, row_number() OVER o AS i, sum(tokens) OVER o AS total FROM p WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, piece ROWS UNBOUNDED PRECEDING)
 ), w AS (
-  SELECT conv_id, 0 AS k, CAST(1 AS BIGINT) AS first, CAST(0 AS HUGEINT) AS before FROM t WHERE i = 1
+  SELECT conv_id, 0 AS k, CAST(1 AS BIGINT) AS first, CAST(0 AS HUGEINT) AS before, CASE WHEN role = 'system' THEN tokens ELSE 0 END AS sys FROM t WHERE i = 1
   UNION ALL
-  SELECT w.conv_id, k + 1, min(t.i), min(t.total - t.tokens) FROM w JOIN t ON w.conv_id = t.conv_id AND t.i > w.first AND t.total - w.before > 512 GROUP BY w.conv_id, k
+  SELECT w.conv_id, k + 1, min(t.i), min(t.total - t.tokens), sys FROM w JOIN t ON w.conv_id = t.conv_id AND t.i > w.first AND t.total - w.before > greatest(512 - 128 - sys, 1) + CASE WHEN k = 0 THEN sys ELSE 0 END GROUP BY w.conv_id, k, sys
 ), spans AS (
   SELECT *, lead(first) OVER (PARTITION BY conv_id ORDER BY k) - 1 AS last FROM w
 ), sizes AS (
