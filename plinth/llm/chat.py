@@ -2,13 +2,14 @@
 
 A conversation's turns, in order, become marked text: ``<|im_start|>role``, a line end, the text, ``<|im_end|>`` and a
 line end. Prefix sums of the turns' token counts cut it into turn-aligned windows: a window takes new turns while they
-fit in the budget, after the system turn (if the conversation starts with one) and as many of the turns just before as
-fit in the history budget. Loss falls on the texts of new assistant turns only, so each is learnt once; repeated turns
+fit in the budget less the system turn (if the conversation starts with one) and the history, which come before them:
+the system turn, then as many of the turns just before as fit in the history budget. So no window passes the budget,
+but for a turn that is too large by itself. Loss falls on the texts of new assistant turns only, so each is learnt once; repeated turns
 are masked. Control strings within roles and texts are escaped with backslashes and come back unharmed.
 
 Defined results: null texts and roles count as empty; turns go by (turn, role, escaped text) with nulls first, so
-ties and repeated rows keep a fixed order; a null conversation id is one conversation; a turn over the budget has a window of
-its own and stays whole; an empty table gives no windows.
+ties and repeated rows keep a fixed order; a null conversation id is one conversation; a turn over what is left of the budget has a window of
+its own and stays whole, however long; an empty table gives no windows; columns beside the four aren't read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from plinth.llm.common import WORD_PATTERN
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: Tokens (words and marks) of new turns in a window, and of repeated turns before them.
+#: Tokens (words and marks) of a window, and of repeated turns in it.
 BUDGET, HISTORY = 512, 128
 MARKS = 4
 
@@ -62,11 +63,13 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
     """
     convs = _turns(rows)
     # One pass over the prefix sums: a turn whose sum would pass the budget since the window's first turn opens the next.
+    convs = convs.withColumn("sys", F.when(F.col("turns")[0]["role"] == "system", F.col("turns")[0]["tokens"]).otherwise(0))
+    room = F.greatest(budget - history - F.col("sys"), F.lit(1))
     opened = F.aggregate(
         F.transform("turns", lambda x: x["tokens"]),
         F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum"), F.lit(0).alias("base"), F.array(F.lit(1)).alias("firsts")),
         lambda acc, t: F.when(
-            (acc["sum"] + t - acc["base"] > budget) & (acc["i"] > 0),
+            (acc["sum"] + t - acc["base"] > room + F.when(F.size(acc["firsts"]) == 1, F.col("sys")).otherwise(0)) & (acc["i"] > 0),
             F.struct((acc["i"] + 1).alias("i"), (acc["sum"] + t).alias("sum"), acc["sum"].alias("base"), F.when(acc["i"] + 1 > F.element_at(acc["firsts"], -1), F.concat(acc["firsts"], F.array(acc["i"] + 1))).otherwise(acc["firsts"]).alias("firsts")),
         ).otherwise(F.struct((acc["i"] + 1).alias("i"), (acc["sum"] + t).alias("sum"), acc["base"].alias("base"), acc["firsts"].alias("firsts"))),
         lambda acc: acc["firsts"],
