@@ -4,8 +4,9 @@
 the stream's Adler checksum, and undoes the five row filters with numpy. ``low_frequencies`` shrinks the samples to a
 square, takes its discrete cosine transform and keeps the signs of the lowest frequencies against their median.
 
-Defined results: a null text counts as empty; an empty text is one row of zeros; equal texts give equal files; damaged
-files raise ``ValueError``.
+Defined results: a null text counts as empty; an empty text is one row of zeros; very long texts are one image, whole;
+equal texts (repeated rows among them) give equal files; of filters that are equally good the first is taken; damaged
+files raise ``ValueError``; an empty table gives an empty result; only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -48,39 +49,42 @@ def encode(payload: bytes, width: int = WIDTH) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), LEVEL)) + _chunk(b"IEND", b"")
 
 
-def _paeth(a: int, b: int, c: int) -> int:
+def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of left, above and corner, what is nearest to left + above - corner; ties go in this order."""
     p = a + b - c
     pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-    return a if pa <= pb and pa <= pc else b if pb <= pc else c
+    return np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
 
 
 def unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Undo the filters: runs of rows of one kind at a time for kinds 0 to 2, sample by sample for 3 and 4."""
+    """Undo the filters: kinds 0 to 2 by sums over runs of rows, images with others along their diagonals."""
+    if len(unknown := kinds[kinds > 4]):
+        raise ValueError(f"unknown filter {unknown[0]}")
+    if (kinds > 2).any():
+        return _by_diagonals(kinds, rows)
     out = np.empty_like(rows)
     edges = np.flatnonzero(np.diff(kinds)) + 1
     above = np.zeros(rows.shape[1], np.uint8)
     for first, last in zip([0, *edges], [*edges, len(rows)], strict=True):
-        kind, part = kinds[first], rows[first:last]
-        if kind == 0:
-            out[first:last] = part
-        elif kind == 1:
-            out[first:last] = np.cumsum(part, axis=1, dtype=np.uint8)
-        elif kind == 2:
-            out[first:last] = np.cumsum(part, axis=0, dtype=np.uint8) + above
-        elif kind in (3, 4):
-            for y in range(first, last):
-                line, up, left, corner = rows[y].tolist(), above.tolist(), 0, 0
-                for x, v in enumerate(line):
-                    left = line[x] = (v + ((left + up[x]) // 2 if kind == 3 else _paeth(left, up[x], corner))) & 255
-                    corner = up[x]
-                out[y] = line
-                above = out[y]
-        else:
-            raise ValueError(f"unknown filter {kind}")
+        part = rows[first:last]
+        out[first:last] = part if kinds[first] == 0 else np.cumsum(part, axis=1, dtype=np.uint8) if kinds[first] == 1 else np.cumsum(part, axis=0, dtype=np.uint8) + above
         above = out[last - 1]
     return out
 
 
+def _by_diagonals(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """All filters at once: the samples of a diagonal need only those of the two before it."""
+    height, width = rows.shape
+    out = np.zeros((height + 1, width + 1), np.int64)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        guess = np.choose(kinds[y], [np.zeros_like(left), left, above, (left + above) // 2, _paeth(left, above, corner)])
+        out[y + 1, x + 1] = (rows[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def decode(media: bytes) -> np.ndarray:
     """The samples (rows x width, uint8) of a grey 8-bit PNG without interlace."""
     if media[:8] != SIGNATURE:
