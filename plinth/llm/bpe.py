@@ -6,8 +6,9 @@ is deleted, and the two neighbouring ranks are refreshed. A long word (a run of
 the scans quadratic, so its ranks wait in a heap instead; both give the merges in the same order. Words repeat, so a
 task keeps the ids of recent ones.
 
-Defined results: a null or empty text has no ids; ids that aren't in the vocabulary raise ``KeyError``; bytes that
-aren't UTF-8 decode to U+FFFD.
+Defined results: a null or empty text has no ids; very long texts and words are encoded whole; of equal ranks the
+leftmost merges first; repeated rows give equal results, an empty table none; ids that aren't in the vocabulary raise
+``KeyError``; bytes that aren't UTF-8 decode to U+FFFD; only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -116,7 +117,11 @@ class Codec:
             if part in self.special:
                 out.append([self.special[part]])
             elif part:
-                out.extend([known.get(w) or self.word(w) for w in self.words.findall(part)])
+                words = self.words.findall(part)
+                found = list(map(known.get, words))
+                if None in found:
+                    found = [self.known.get(w) or self.word(w) if x is None else x for x, w in zip(found, words, strict=True)]
+                out += found
         return list(chain.from_iterable(out))
 
     def decode(self, ids: list[int]) -> str:

@@ -6,7 +6,8 @@ bucket, rows fill batches of a token budget, in an order that needs no task for
 with the shards' counts summed up beforehand.
 
 Defined results: null and empty texts have no tokens and are padded to their bucket's bound as others are; a text over
-the budget is a batch of its own, whole; rows that repeat share nothing but their bucket; an empty table has no rows.
+the budget is a batch of its own, whole; rows that repeat, and null keys, share nothing but their bucket; equal keys are
+placed by length, and equal rows alike; an empty table has no rows; columns beside the key and the text aren't read.
 """
 
 from __future__ import annotations

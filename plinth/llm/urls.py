@@ -5,7 +5,8 @@ can only be listed if all its bits are set in its block; those possible hits go
 list, which removes the false positives.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is never listed;
-repeated rows are judged one by one; an empty list blocks nothing; other columns pass through, but
+very long URLs are judged whole; repeated rows are judged one by one; an empty
+table gives an empty result, and an empty list blocks nothing; of rules of one length the later given wins; other columns pass through, but
 ones named host, path, rule or verdict give way to the results.
 """
 
