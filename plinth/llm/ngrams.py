@@ -10,11 +10,11 @@ holds more than one fragment of a set:
 3. Candidate pairs are counted fragment by fragment (each fragment's overlap by itself) and summed per pair; the sums
    decide exactly.
 
-Postings with many members would give all their pairs. Components need only some: rounds test each member against a
-hub of its postings and merge what links. Members that are still apart are compared by what they differ in from a
-common reference: undecided pairs share some of that, so its rarest part gives new, small postings. Pairs are listed
-only once they are no more than the rows of the first postings (or no round makes them fewer), so no link between
-components is lost, whatever the size of a posting.
+Postings with many members would give all their pairs. Components need only some: each member is tested against a
+hub of its postings, and what links merges. Members that are still apart are compared by what they differ in from a
+common reference: undecided pairs share some of that, so its rarest part gives new, small postings. Only of these are
+pairs listed, once few enough meet (or no further turn makes them fewer), so no link between components is lost,
+whatever the size of a posting.
 
 Defined results: null and empty texts have the empty set, link with nothing and are components of their own; a text of
 fewer words than the shingle width has one shingle, the whole sequence; very long texts count whole, in more
@@ -46,11 +46,9 @@ FRAGMENT_TOKENS = 1 << 15
 CHUNK_BYTES = 1 << 18
 FLUSH = 400_000
 HASH_BITS = 56
-#: A round of hubs helps if it leaves so much of the rows at most.
-HELPS = 0.35
-#: Meetings of two members for each row of the first postings, up to which pairs are listed: by postings of shingles,
-#: of which most are pairs, and by postings of what members differ in, of which few are.
-MEETINGS = (1, 32)
+#: Meetings of two members in postings of what they differ in, for each row of the first postings, up to which their
+#: pairs are listed; few of them are pairs.
+MEETINGS = 32
 #: Words of 64 bits that sum up what a member differs in.
 MASKS = 4
 #: Rows of a partition of small tables.
@@ -323,38 +321,36 @@ def _by_differences(open_: DataFrame, segments: DataFrame, stars: DataFrame, per
 def _link_components(postings: DataFrame, segments: DataFrame, percent: int, fragments: int) -> DataFrame:
     """(u, v) as ``components`` gives them, of all links between the members of postings (token, doc_id, n).
 
-    Members meet a hub of each posting while that decides many of them. What is left then goes to postings of what
-    members differ in. Pairs are listed at last, when they are no more than the postings' rows were at first.
+    Members meet a hub of each posting, and those that are left go to postings of what they differ in, at every size
+    and again while these still give many meetings and a turn gives fewer. Then their pairs are listed.
     """
     stars = postings.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
     postings = postings.withColumns({c: F.lit(None).cast("long") for c in _FILTER})
     side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("n", *_FILTER, "root")]
-    rows, turn, before, floor = postings.count(), 0, 0, None
+    rows, turn, floor = postings.count(), 0, None
     while True:
         open_, left, work = _open(postings, stars, rows)
         if not left:
             return stars
-        most = rows * MEETINGS[floor is not None]
         a = open_.select("token", F.col("doc_id").alias("a"), *side("a"), "main")
-        if work > most and (turn == 0 or left <= HELPS * before):
-            # each member with a hub: at first the same for postings that share their members, then one of each posting
-            lot = F.xxhash64("doc_id", F.pmod("token", F.lit(2))) if turn == 0 else F.xxhash64("doc_id", "token", F.lit(turn))
+        if floor is not None and (work <= rows * MEETINGS or work >= floor):  # every pair of members in different components
+            b = open_.where("root <> main").select("token", F.col("doc_id").alias("b"), *side("b"))
+            met = a.join(b, "token").where((F.col("a_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
+            return components(stars.unionByName(_links(overlaps(_pairs(met, percent), segments), percent)))
+        if turn % 2 == 0:
+            # each member with a hub, the same for postings that share their members
+            lot = F.xxhash64("doc_id", F.pmod("token", F.lit(2)), F.lit(turn))
             hubs = open_.groupBy("token").agg(F.min(F.struct(lot, "doc_id", "n", *_FILTER, "root")).alias("h"))
             hubs = _small(hubs.select("token", "h.*").select("token", F.col("doc_id").alias("b"), *side("b")), left)
             met = _small(join_few(a, hubs, "token", "a").where("a <> b"), left)
             stars = components(stars.unionByName(_links(overlaps(_pairs(met.where("a_root <> b_root"), percent), segments), percent)))
             postings = met.select("token", F.col("a").alias("doc_id"), *[F.col(f"a_{c}").alias(c) for c in ("n", *_FILTER)])
-            before, turn = left, turn + 1
             discard(hubs)
-            discard(open_)
-        elif work > most and (floor is None or work < floor):
+        else:
             postings, stars = _by_differences(open_, segments, stars, percent, fragments, left)
-            floor, turn = work, 0
-            discard(open_)
-        else:  # every pair of members in different components
-            b = open_.where("root <> main").select("token", F.col("doc_id").alias("b"), *side("b"))
-            met = a.join(b, "token").where((F.col("a_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
-            return components(stars.unionByName(_links(overlaps(_pairs(met, percent), segments), percent)))
+            floor = work
+        discard(open_)
+        turn += 1
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
