@@ -129,12 +129,14 @@ def fences_of(tops: np.ndarray, n: np.ndarray) -> tuple[int, int]:
     at = bucket_of(tops)
     counts = np.zeros(int(at.max()) + 1 + STRETCH)
     np.add.at(counts, at, n)
-    middle, tails = int(top_of(np.array(quantile(counts, 0.5)))), [int(top_of(np.array(quantile(counts, q)))) for q in (1 - TAIL, TAIL)]
+    top = lambda bucket: int(top_of(np.array(bucket)))
+    bottom = lambda bucket: top(bucket - 1) + 1 if bucket else 0
+    middle = quantile(counts, 0.5)
     above = _second_mode(counts, quantile(counts, 0.75))
-    high = 2 * tails[1] - middle if above is None else int(top_of(np.array(above)))
+    high = 2 * top(quantile(counts, TAIL)) - top(middle) if above is None else top(above)
     mirrored = counts[::-1]
     below = _second_mode(mirrored, quantile(mirrored, 0.75))
-    low = 2 * tails[0] - middle if below is None else int(top_of(np.array(len(counts) - 1 - below - 1))) + 1
+    low = 2 * bottom(quantile(counts, 1 - TAIL)) - bottom(middle) if below is None else bottom(len(counts) - 1 - below)
     return low, high
 
 

@@ -42,11 +42,11 @@ def test_nulls_ties_and_repeated_rows(spark):
 
 def test_windows_keep_the_budget_and_repeat_the_system_turn(spark):
     rows = [(1, 0, "system", "be kind")] + [(1, i, "assistant" if i % 2 == 0 else "user", f"w{i} " * 10) for i in range(1, 12)]
-    w = sorted(chat.windows(spark.createDataFrame(rows, SCHEMA), budget=30, history=14).collect(), key=lambda r: r.window)
+    w = sorted(chat.windows(spark.createDataFrame(rows, SCHEMA), budget=50, history=14).collect(), key=lambda r: r.window)
     assert sum(r.n_new for r in w) == 12 and len(w) > 3
     for r in w[1:]:
         assert r.formatted.startswith("<|im_start|>system\nbe kind") and r.n_context == 2
-        assert r.tokens <= 6 + 14 + 30
+        assert r.tokens <= 50
     for r in w:
         for start, length in r.loss:
             assert r.formatted[start : start + length].startswith("w") and r.formatted[:start].endswith("assistant\n")

@@ -61,6 +61,8 @@ def test_fences_lie_between_modes_or_beyond_the_tail():
     assert 12800 < low < 17600 and 22800 < high < 29600
     assert quality.fences_of(*sketch([7] * 1000)) == (7, 7)  # without any spread, only the value itself is within
     assert quality.fences_of(*sketch([7] * 999 + [9])) == (7, 7)
+    low, high = quality.fences_of(*sketch([5000, 5000]))  # a bucket is kept whole
+    assert low <= 5000 <= high and high - low < 5000 / 8
 
 
 def test_groups_have_fences_of_their_own(spark):
