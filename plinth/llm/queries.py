@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import bpe, chat, lines, media, ngrams, packing, quality, suffixes, toxicity, urls
+from plinth.llm import audit, bpe, chat, lines, media, ngrams, packing, quality, suffixes, toxicity, urls
 from plinth.llm.common import materialize
 from plinth.sources.tables import table
 
@@ -159,5 +159,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, scorer).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_suffix_dedup, op4_line_dedup, op5_media_columns, op6_chat_formatting, op7_url_filters, op8_bpe, op9_packing, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op7_url_filters": OP7_SQL}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), bits AS (
+  SELECT doc_id, part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text),
+    regexp_matches(text, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY text)] AS fails FROM docs
+), d AS (
+  SELECT bits.*, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad FROM bits LEFT JOIN labels ON bits.doc_id = labels.doc_id
+), perms AS (
+  SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM perms, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE length(filter_order) < 5 AND NOT contains(filter_order, x)
+), steps AS (
+  SELECT filter_order, s AS step, instr('ABCDE', substr(filter_order, s, 1)) AS f, list_transform(range(1, s), lambda i: instr('ABCDE', substr(filter_order, i, 1))) AS earlier
+  FROM perms, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS s) WHERE length(filter_order) = 5
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM d GROUP BY part, fails
+), t AS (
+  SELECT part, filter_order, step, f, n, good, bad, fails[f] AS fail, len(list_filter(fails, lambda x: x)) AS m, len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone FROM c, steps
+), r AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (WHERE NOT fail AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (WHERE fail AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (WHERE fail AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE fail AND m = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE fail AND NOT gone), 0) AS good_lost, coalesce(sum(bad) FILTER (WHERE fail AND NOT gone), 0) AS toxic_lost
+  FROM t GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_suffix_dedup, op4_line_dedup, op5_media_columns, op6_chat_formatting, op7_url_filters, op8_bpe, op9_packing, op10_toxicity, op11_filter_audit)}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op7_url_filters": OP7_SQL, "op11_filter_audit": OP11_SQL}
