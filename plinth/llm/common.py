@@ -25,12 +25,13 @@ BROADCAST_ROWS = 200_000
 SALT = 16
 
 
-def join_few(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+def join_few(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "inner", size: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``few`` (materialised, one row a ``key``), hot keys not in one task.
 
-    ``few`` is broadcast up to ``BROADCAST_ROWS`` rows; beyond it goes to ``SALT`` lots, and rows to one by ``spread``.
+    ``few`` is broadcast up to ``BROADCAST_ROWS`` rows (or a ``size`` in such rows, where its own are longer); beyond it
+    goes to ``SALT`` lots, and rows to one by ``spread``.
     """
-    if few.count() <= BROADCAST_ROWS:
+    if (few.count() if size is None else size) <= BROADCAST_ROWS:
         return rows.join(F.broadcast(few), key, how)
     lot = F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int")
     copies = few.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import audit, bpe, chat, lines, media, ngrams, packing, quality, suffixes, toxicity, urls
+from plinth.llm import audit, bpe, chat, divergence, lines, media, ngrams, packing, quality, suffixes, toxicity, urls
 from plinth.llm.common import materialize
 from plinth.sources.tables import table
 
@@ -191,5 +191,45 @@ FROM r
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_suffix_dedup, op4_line_dedup, op5_media_columns, op6_chat_formatting, op7_url_filters, op8_bpe, op9_packing, op10_toxicity, op11_filter_audit)}
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op7_url_filters": OP7_SQL, "op11_filter_audit": OP11_SQL}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), kept AS (
+  SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT w.lang, w.source, w.term, count(*) AS c FROM w JOIN kept ON w.lang = kept.lang AND w.term = kept.term GROUP BY w.lang, w.source, w.term
+), every AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c, 0) AS c FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND kept.term = c.term
+), p AS (
+  SELECT every.*, 1 + (CAST(1000000000 AS HUGEINT) * (c + 2)) // (sum(c) OVER (PARTITION BY every.lang, every.source) + 2 * v) AS p FROM every JOIN v ON every.lang = v.lang
+), whole AS (
+  SELECT lang, term, sum(c) AS c FROM c GROUP BY lang, term
+), q AS (
+  SELECT whole.lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (c + 2)) // (sum(c) OVER (PARTITION BY whole.lang) + 2 * v) AS q FROM whole JOIN v ON whole.lang = v.lang
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_suffix_dedup, op4_line_dedup, op5_media_columns, op6_chat_formatting, op7_url_filters, op8_bpe, op9_packing, op10_toxicity, op11_filter_audit, op13_source_divergence)}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op7_url_filters": OP7_SQL, "op11_filter_audit": OP11_SQL, "op13_source_divergence": OP13_SQL}
