@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.operators import discovery, resolve, serving, signals, store
+from plinth.operators import discovery, resolve, serving, signals, store, stored
 from plinth.plans.views import oracle, view
+from plinth.sources import shared
 from plinth.streaming import jobs
 
 QUERIES: dict = {}
@@ -263,13 +264,16 @@ def _ingested(spark, d, times: int = 1) -> store.Tables:
     return tables
 
 
-_LEADS = (
-    _INGEST
-    + _VIEWS_OF_INGEST
-    + """SELECT lead_id, document_id, lead_type, CASE WHEN lead_type = 'POLICY_AMENDMENT' AND affected_districts IS NOT NULL THEN concat('Policy amendment affecting ', array_to_string(affected_districts, ', ')) WHEN lead_type = 'POLICY_AMENDMENT' THEN concat('Policy amendment: ', keyword)
+_LEAD_ROWS = """SELECT lead_id, document_id, lead_type, CASE WHEN lead_type = 'POLICY_AMENDMENT' AND affected_districts IS NOT NULL THEN concat('Policy amendment affecting ', array_to_string(affected_districts, ', ')) WHEN lead_type = 'POLICY_AMENDMENT' THEN concat('Policy amendment: ', keyword)
 WHEN len(own) = 1 THEN concat('Matched ''', keyword, ''' near APN ', own[1]) ELSE concat('Matched ''', keyword, ''' spanning ', CAST(len(own) AS VARCHAR), ' parcels (', array_to_string(own, ', '), ')') END AS summary, coalesce(meeting_date, document_date) AS meeting_date, page_number FROM new
 UNION ALL SELECT lead_id, document_id, lead_type, NULL, meeting_date, page_number FROM v_lead WHERE document_id NOT IN (SELECT document_id FROM doc)"""
-)
+_LEADS = _INGEST + _VIEWS_OF_INGEST + _LEAD_ROWS
+_LINK_ROWS = "SELECT lead_id, unnest(own) AS apn FROM new UNION ALL SELECT lp.lead_id, p.apn FROM v_lead_parcel lp JOIN v_parcel p ON lp.parcel_id = p.parcel_id WHERE lp.lead_id NOT IN (SELECT lead_id FROM v_lead WHERE document_id IN (SELECT document_id FROM doc))"
+_DOCUMENT_ROWS = """SELECT v.document_id, v.file_url, CASE WHEN doc.document_id IS NOT NULL THEN 'PROCESSED' ELSE v.processed_status END AS processed_status, CASE WHEN doc.document_id IS NOT NULL THEN document_date ELSE v.meeting_date END AS meeting_date, CASE WHEN doc.document_id IS NOT NULL THEN coalesce(n, 0) END AS leads_found
+FROM v_document v LEFT JOIN doc ON v.document_id = doc.document_id LEFT JOIN dated ON v.document_id = dated.document_id LEFT JOIN per ON v.document_id = per.document_id"""
+_FIRST_SITES = """sites AS (SELECT unnest(own) AS apn, document_id, seq, coalesce(address, concat('Unmatched — parsed from page ', CAST(page_number AS VARCHAR))) AS address, coalesce(city, city_name) AS city, unit_count FROM new),
+first AS (SELECT *, row_number() OVER (PARTITION BY apn ORDER BY document_id, seq) AS i FROM sites WHERE apn NOT IN (SELECT apn FROM v_parcel))"""
+_PARCEL_ROWS = "SELECT apn, address, city, unit_count AS max_units FROM first WHERE i = 1 UNION ALL SELECT apn, address, city, max_units FROM v_parcel"
 
 
 @query(_LEADS)
@@ -277,30 +281,18 @@ def w4_insert_leads(spark, d):
     return _ingested(spark, d).leads.select("lead_id", "document_id", "lead_type", "summary", "meeting_date", "page_number")
 
 
-@query(_INGEST + _VIEWS_OF_INGEST + "SELECT lead_id, unnest(own) AS apn FROM new UNION ALL SELECT lp.lead_id, p.apn FROM v_lead_parcel lp JOIN v_parcel p ON lp.parcel_id = p.parcel_id WHERE lp.lead_id NOT IN (SELECT lead_id FROM v_lead WHERE document_id IN (SELECT document_id FROM doc))")
+@query(_INGEST + _VIEWS_OF_INGEST + _LINK_ROWS)
 def w5_insert_junction(spark, d):
     t = _ingested(spark, d)
     return t.lead_parcels.join(t.parcels.select("parcel_id", "apn"), "parcel_id").select("lead_id", "apn")
 
 
-@query(
-    _INGEST
-    + """, per AS (SELECT document_id, count(*) AS n FROM new GROUP BY document_id)
--- v_signal v_document v_parcel
-SELECT v.document_id, v.file_url, CASE WHEN doc.document_id IS NOT NULL THEN 'PROCESSED' ELSE v.processed_status END AS processed_status, CASE WHEN doc.document_id IS NOT NULL THEN document_date ELSE v.meeting_date END AS meeting_date, CASE WHEN doc.document_id IS NOT NULL THEN coalesce(n, 0) END AS leads_found
-FROM v_document v LEFT JOIN doc ON v.document_id = doc.document_id LEFT JOIN dated ON v.document_id = dated.document_id LEFT JOIN per ON v.document_id = per.document_id"""
-)
+@query(_INGEST + ", per AS (SELECT document_id, count(*) AS n FROM new GROUP BY document_id)\n" + _VIEWS_OF_INGEST + _DOCUMENT_ROWS)
 def w6_mark_processed(spark, d):
     return _ingested(spark, d).documents.select("document_id", "file_url", "processed_status", "meeting_date", "leads_found")
 
 
-@query(
-    _INGEST
-    + """, sites AS (SELECT unnest(own) AS apn, document_id, seq, coalesce(address, concat('Unmatched — parsed from page ', CAST(page_number AS VARCHAR))) AS address, coalesce(city, city_name) AS city, unit_count FROM new),
-first AS (SELECT *, row_number() OVER (PARTITION BY apn ORDER BY document_id, seq) AS i FROM sites WHERE apn NOT IN (SELECT apn FROM v_parcel))
--- v_signal v_document v_parcel
-SELECT apn, address, city, unit_count AS max_units FROM first WHERE i = 1 UNION ALL SELECT apn, address, city, max_units FROM v_parcel"""
-)
+@query(_INGEST + ", " + _FIRST_SITES + "\n" + _VIEWS_OF_INGEST + _PARCEL_ROWS)
 def w10_persist_parcels(spark, d):
     """Stored parcels stay as they are; those that only signals name come as the first of these describes them."""
     return _ingested(spark, d).parcels.select("apn", "address", "city", "max_units")
@@ -312,6 +304,48 @@ def z7_reingest(spark, d):
     return _ingested(spark, d, 2).leads.select("lead_id", "document_id", "lead_type", "summary", "meeting_date", "page_number")
 
 
+_TEXT = "concat_ws('|', {})"
+
+
+def _cells(*columns: str, cast: str = "VARCHAR") -> str:
+    return _TEXT.format(", ".join(f"coalesce(CAST({c} AS {cast}), '-')" for c in columns))
+
+
+_STORED = {
+    "documents": ("file_url", ["document_id", "processed_status", "meeting_date", "leads_found"]),
+    "parcels": ("apn", ["address", "city", "max_units"]),
+    "leads": ("lead_id", ["document_id", "lead_type", "summary", "meeting_date", "page_number"]),
+    "lead_parcels": ("lead_id", ["apn"]),
+}
+
+
+def _stored_sql(name: str, select: str) -> str:
+    key, columns = _STORED[name]
+    return f"SELECT '{name}' AS stored, {key} AS row_key, {_cells(*columns)} AS content FROM ({select})"
+
+
+@query(
+    _INGEST
+    + f""", per AS (SELECT document_id, count(*) AS n FROM new GROUP BY document_id), {_FIRST_SITES}, rows AS (
+{_stored_sql("documents", _DOCUMENT_ROWS)} UNION ALL {_stored_sql("parcels", _PARCEL_ROWS)} UNION ALL {_stored_sql("leads", _LEAD_ROWS)} UNION ALL {_stored_sql("lead_parcels", _LINK_ROWS)})
+{_VIEWS_OF_INGEST}SELECT * FROM rows"""
+)
+def k3_stored_tables(spark, d):
+    """All rows of the stored tables after a stream has brought the pending documents in two batches."""
+    leads, docs, links, parcels = _stored(spark, d)
+    pending, found = docs.where("processed_status = 'PENDING'").select("document_id", "city_name", "file_url"), view(spark, d, "v_signal")
+    root, feed = shared.new_path(spark), shared.new_path(spark)
+    like = stored.Batch(pending, found, spark.createDataFrame([], "document_id long, seq long, apns array<string>"))
+    held = stored.Stored(spark, root, 8).create(store.Tables(docs, parcels, leads, links), like)
+    pending.withColumn("seq", F.col("document_id")).repartition(2, "document_id").write.parquet(feed)
+    rows = spark.readStream.schema(spark.read.parquet(feed).schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    stored.ingest_stream(held, rows, lambda batch: found.join(batch.select("document_id"), "document_id", "left_semi"), "pending").awaitTermination()
+    tables = {name: held.read(name) for name in _STORED}
+    tables["lead_parcels"] = tables["lead_parcels"].join(tables["parcels"].select("parcel_id", "apn"), "parcel_id")
+    out = [t.select(F.lit(name).alias("stored"), F.col(_STORED[name][0]).alias("row_key"), F.expr(_cells(*_STORED[name][1], cast="STRING")).alias("content")) for name, t in tables.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @query("SELECT document_id, seq, parcel_id FROM v_signal s JOIN v_parcel p ON s.apn = p.apn")
 def j3_resolve_apns(spark, d):
     return view(spark, d, "v_signal").join(view(spark, d, "v_parcel").select("apn", "parcel_id"), "apn").select("document_id", "seq", "parcel_id")
