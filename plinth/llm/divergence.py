@@ -97,14 +97,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = [[lang], [list(kept)], [names], [dense.sum(1).tolist()], [dense.tobytes()]]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _CHUNKS.types, strict=True)], schema=_CHUNKS)
 
-    lang, term, source, n, terms = None, [], [], [], 0
+    lang, term, source, n, terms, groups = None, [], [], [], 0, set()
     for batch in batches:
         for of, t, s, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             new = not term or t != term[-1] or of != lang
-            if term and new and (of != lang or terms >= CHUNK_TERMS or terms * len(set(source[-CHUNK_CELLS:])) >= CHUNK_CELLS):
+            if term and new and (of != lang or terms >= CHUNK_TERMS or terms * len(groups) >= CHUNK_CELLS):
                 yield chunk()
-                term, source, n, terms = [], [], [], 0
+                term, source, n, terms, groups = [], [], [], 0, set()
             lang, terms = of, terms + new
+            groups.add(s)
             term.append(t)
             source.append(s)
             n.append(k)
