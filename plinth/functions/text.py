@@ -79,7 +79,10 @@ def within(text: Column, start: Column, end: Column) -> Column:
 
 
 def nearest(found: Column, anchor: Column, low: Column, high: Column, reach: int = SEARCH) -> Column:
-    """The match inside [low, high) nearest to the anchor: within ``reach`` of it, else anywhere there; ties: the first."""
+    """The match inside [low, high) nearest to the anchor: within ``reach`` of it, else anywhere there; ties: the first.
+
+    Matches are those of the whole text: one that the bounds cut isn't taken, in no shorter form either.
+    """
 
     def closest(a: Column, b: Column) -> Column:
         inside = F.filter(found, lambda m: (m["start"] >= a) & (m["end"] <= b))
@@ -110,13 +113,18 @@ def first_address(text: Column) -> Column:
     return F.trim(F.split(F.trim(text), r"(?U)\s+and\s+|[,;]", -1)[0])
 
 
-def infer_policy_zoning(title: Column, full_text: Column, disposition: Column) -> Column:
-    """(current, proposed) for signals without a zoning sentence, from the exhibit's disposition and title."""
+def policy_zoning(title: Column, sb79: Column, disposition: Column) -> Column:
+    """(current, proposed) for signals without a zoning sentence; ``sb79``: whether their document names the density law."""
     out = disposition == "EXCLUDED"
-    named = F.when(title.rlike(SB79) | full_text.rlike(SB79), SB79_ZONING).when(F.length(title) > 0, F.substr(title, F.lit(1), F.lit(TITLE_LENGTH))).otherwise(POLICY_ZONING)
+    named = F.when(title.rlike(SB79) | sb79, SB79_ZONING).when(F.length(title) > 0, F.substr(title, F.lit(1), F.lit(TITLE_LENGTH))).otherwise(POLICY_ZONING)
     return F.struct(F.when(out, CURRENT_ZONING).otherwise(BASELINE_ZONING).alias("current"), F.when(out, UNCHANGED_ZONING).otherwise(named).alias("proposed"))
 
 
+def infer_policy_zoning(title: Column, full_text: Column, disposition: Column) -> Column:
+    """``policy_zoning`` by the exhibit's title and disposition and the document's whole text."""
+    return policy_zoning(title, full_text.rlike(SB79), disposition)
+
+
 def snippet(text: Column, start: Column, end: Column) -> Column:
     """The characters around [start, end), on one line."""
     return F.trim(F.translate(within(text, F.greatest(start - SNIPPET, F.lit(0)), end + SNIPPET), "\n", " "))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plinth.functions import text as t
+from plinth.operators import keywords, sweeps
+from plinth.sources.shared import materialize
 
 
 def _by_page() -> WindowSpec:
@@ -23,12 +25,24 @@ def page_offsets(pages: DataFrame) -> DataFrame:
     return pages.withColumn("page_start", F.coalesce(before, F.lit(0)).cast("long"))
 
 
+def _page_marks(pages: DataFrame) -> DataFrame:
+    """(document_id, kind, start, end, text): pages as matches for a sweep; ``text`` is the page's number.
+
+    Pages with an exclusion word come once more, as ``out``.
+    """
+    placed = page_offsets(pages).withColumn("kind", F.explode(F.when(t.contains_any(F.col("page_text"), t.EXCLUSIONS), F.array(F.lit("page"), F.lit("out"))).otherwise(F.array(F.lit("page")))))
+    return placed.select("document_id", "kind", F.col("page_start").alias("start"), (F.col("page_start") + F.length("page_text")).alias("end"), F.col("page_number").cast("string").alias("text"))
+
+
+def _page_number() -> Column:
+    """Of the page that a sweep found at or before a place, else the first one; 1 in a document without pages."""
+    return F.coalesce(F.col("page_at.text"), F.col("page_next.text"), F.lit("1")).cast("int")
+
+
 def page_of_offset(pages: DataFrame, offsets: DataFrame) -> DataFrame:
     """(document_id, offset, page_number): the page that holds an offset, the first for what is before all."""
-    starts = page_offsets(pages).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_start", "page_number"))).alias("s"))
-    at = offsets.join(starts, "document_id", "left")
-    last = F.element_at(F.filter("s", lambda x: x["page_start"] <= F.col("offset")), -1)
-    return at.select("document_id", "offset", F.coalesce(F.when(F.exists("s", lambda x: x["page_start"] <= F.col("offset")), last["page_number"]), F.get("s", 0)["page_number"], F.lit(1)).alias("page_number"))
+    swept = sweeps.sweep(offsets.select("document_id", "offset"), _page_marks(pages), ["document_id"], "offset", ["page"])
+    return swept.select("document_id", "offset", _page_number().alias("page_number"))
 
 
 def sections(pages: DataFrame) -> DataFrame:
@@ -65,37 +79,46 @@ def header_address(header: Column) -> Column:
     return F.when((named != "") & ~t.contains_any(named, t.BLACKLIST) & t.contains_any(header, t.ENTITLEMENTS), named)
 
 
+_PAGE = ["document_id", "page_number"]
+
+
 def page_signals(pages: DataFrame) -> DataFrame:
     """A row per keyword and place in an eligible span of a page, with what stands nearest to it in its item.
 
     The anchor for exclusions, zoning and addresses is the APN where there is one, else the keyword; an item without
-    an APN may stand for an address of its header. ``seq`` orders signals by page, keyword and place. Pages without a
-    keyword in an eligible span go before anything else is matched.
+    an APN may stand for an address of its header. ``kw_ord`` and ``pos`` order a page's signals. Pages without a
+    keyword in an eligible span go before anything else is matched. A match that an item's or a search window's end
+    would cut is left out, though a scan of the window alone might find a shorter one there: half an address or number
+    names another place than the page does.
     """
-    text = F.col("page_text")
-    p = sections(pages).where(t.contains_any(text, [w for w, _ in t.KEYWORDS])).withColumn("ok", eligible(F.col("spans")))
-    hits = F.concat(*[_tagged(t.matches(F.lower("page_text"), rf"\Q{w}\E"), kw_ord=F.lit(i), keyword=F.lit(w), strength=F.lit(s)) for i, (w, s) in enumerate(t.KEYWORDS)])
-    p = p.withColumn("hits", F.filter(hits, lambda h: F.exists("ok", lambda s: (s["start"] <= h["pos"]) & (h["pos"] < s["end"])))).where(F.size("hits") > 0)
-    p = p.withColumns({name: t.matches(text, pattern) for name, pattern in (("items", t.ITEM), ("apns", t.APN), ("zonings", t.ZONING), ("streets", t.ADDRESS), ("labels", t.LABELED_ADDRESS))})
-    k = p.withColumn("hit", F.explode("hits")).select("*", "hit.kw_ord", "hit.pos", "hit.keyword", "hit.strength")
-    low, high = t.item_bounds(F.col("items"), F.col("pos"), F.length("page_text"))
-    k = k.withColumn("low", low).withColumn("high", high)
-    k = k.withColumn("near", t.nearest(F.col("apns"), F.col("pos"), F.col("low"), F.col("high"))).withColumn("anchor", F.coalesce(F.col("near.start"), F.col("pos")))
-    k = k.withColumn("stands", F.when(F.col("near").isNull(), header_address(item_header(t.within(text, F.col("low"), F.col("high"))))))
+    p = sections(pages).select(*_PAGE, "page_text", eligible(F.col("spans")).alias("ok"))
+    p = keywords.with_hits(p, "page_text", {"keyword": keywords.LISTS["keyword"]})
+    eligible_hits = F.filter("hits", lambda h: F.exists("ok", lambda s: (s["start"] <= h["pos"]) & (h["pos"] < s["end"])))
+    p = materialize(p.select(*_PAGE, "page_text", eligible_hits.alias("hits")).where(F.size("hits") > 0).repartition(*_PAGE))
+    hits = p.select(*_PAGE, F.length("page_text").alias("size"), F.inline("hits")).select(*_PAGE, "size", F.col("ord").alias("kw_ord"), F.col("word").alias("keyword"), "pos")
+    found = materialize(sweeps.match_rows(p, _PAGE, "page_text", {"item": t.ITEM, "apn": t.APN, "zoning": t.ZONING, "street": t.ADDRESS, "label": t.LABELED_ADDRESS}))
+    k = sweeps.sweep(hits, found, _PAGE, "pos", ["item", "apn"])
+    k = k.withColumns({"low": F.coalesce("item_at.start", F.lit(0)), "high": F.coalesce("item_next.start", "size")})
+    k = k.withColumn("near", sweeps.nearest("apn", F.col("pos"), F.col("low"), F.col("high"))).withColumn("anchor", F.coalesce("near.start", "pos"))
+    k = k.select(*_PAGE, "kw_ord", "keyword", "pos", "low", "high", "anchor", F.col("near.text").alias("near"))
+    k = sweeps.sweep(k, found, _PAGE, "anchor", ["zoning", "street", "label"])
     bounds = F.col("anchor"), F.col("low"), F.col("high")
-    zoning = t.nearest(F.col("zonings"), *bounds)
+    k = k.withColumns({"zoning": sweeps.nearest("zoning", *bounds)["text"], "found_address": sweeps.find_address(*bounds)}).select(*_PAGE, "kw_ord", "keyword", "pos", "low", "high", "anchor", "near", "zoning", "found_address")
+    k = k.join(p.drop("hits"), _PAGE)
+    text = F.col("page_text")
+    stands = F.when(F.col("near").isNull(), header_address(item_header(t.within(text, F.col("low"), F.col("high")))))
     around = t.within(text, F.greatest(F.col("low"), F.col("anchor") - t.EXCLUSION_REACH), F.least(F.col("high"), F.col("anchor") + t.EXCLUSION_REACH))
+    k = k.withColumns({"stands": stands, "excluded": t.contains_any(around, t.EXCLUSIONS)})
     return k.select(
-        "document_id",
-        "page_number",
+        *_PAGE,
         "kw_ord",
         "pos",
         "keyword",
-        F.coalesce(F.col("near.text"), F.concat(F.lit("ADDR: "), F.col("stands"))).alias("apn"),
-        F.when(t.contains_any(around, t.EXCLUSIONS), "EXCLUDED").otherwise(F.col("strength")).alias("signal_strength"),
-        F.when(F.col("near").isNotNull(), t.find_address(F.col("streets"), F.col("labels"), *bounds)).otherwise(F.col("stands")).alias("address"),
-        F.regexp_extract(zoning["text"], t.ZONING, 1).alias("current_zoning"),
-        F.regexp_extract(zoning["text"], t.ZONING, 2).alias("proposed_zoning"),
+        F.coalesce("near", F.concat(F.lit("ADDR: "), "stands")).alias("apn"),
+        F.when(F.col("excluded"), "EXCLUDED").otherwise(F.element_at(F.array(*[F.lit(s) for _, s in t.KEYWORDS]), F.col("kw_ord") + 1)).alias("signal_strength"),
+        F.when(F.col("near").isNotNull(), F.col("found_address")).otherwise(F.col("stands")).alias("address"),
+        F.regexp_extract("zoning", t.ZONING, 1).alias("current_zoning"),
+        F.regexp_extract("zoning", t.ZONING, 2).alias("proposed_zoning"),
         t.snippet(text, F.col("pos"), F.col("pos") + F.length("keyword")).alias("snippet"),
     )
 
@@ -113,65 +136,60 @@ def _page_at(starts: Column, offset: Column) -> Column:
     return F.coalesce(F.get(at, F.size(at) - 1)["page_number"], F.get(starts, 0)["page_number"], F.lit(1))
 
 
-def exhibits(pages: DataFrame) -> DataFrame:
-    """(document_id, full, starts, start, end, label, title, disposition): each exhibit, from its header to the next one.
-
-    The words up to ``HEADER_REACH`` characters past the header decide on its parcels; their first line is its title.
-    """
-    docs = _joined(pages).withColumn("heads", t.matches(F.col("full"), t.SECTIONS[2][1]))
-    e = docs.select("document_id", "full", "starts", "heads", F.posexplode("heads").alias("i", "head"))
-    e = e.withColumn("end", F.coalesce(F.get("heads", F.col("i") + 1)["start"], F.length("full")))
-    reach = F.least(F.col("head.end") + t.HEADER_REACH, F.col("end"))
-    line = F.translate(t.within(F.col("full"), F.col("head.start"), reach), "\n", " ")
-    title = F.trim(F.split(F.regexp_replace(t.within(F.col("full"), F.col("head.end"), reach), r"^(?U)\s+|\s+$", ""), "\n", -1)[0])
-    return e.select("document_id", "full", "starts", F.col("head.start").alias("start"), "end", F.col("head.text").alias("label"), title.alias("title"), F.when(t.contains_any(line, t.EXHIBIT_EXCLUSIONS), "EXCLUDED").otherwise("MED").alias("disposition"))
+def _texts(pages: DataFrame) -> DataFrame:
+    """(document_id, full, sb79): each document's text, and whether it names the state's density law."""
+    return materialize(_joined(pages).select("document_id", "full", F.col("full").rlike(t.SB79).alias("sb79")))
 
 
-def exhibit_apns(pages: DataFrame) -> DataFrame:
-    """A signal for each strict APN in an exhibit, with the zoning that the exhibit implies and the nearest address in it."""
-    e = exhibits(pages).withColumns({"apns": t.matches(F.col("full"), t.APN), "streets": t.matches(F.col("full"), t.ADDRESS), "labels": t.matches(F.col("full"), t.LABELED_ADDRESS)})
-    e = e.withColumn("a", F.explode(F.filter("apns", lambda m: (m["start"] >= F.col("start")) & (m["end"] <= F.col("end")))))
-    zoning = t.infer_policy_zoning(F.col("title"), F.col("full"), F.col("disposition"))
-    return e.select(
+def _numbered(found: DataFrame, title: Column, *more: str) -> DataFrame:
+    """The rows of a sweep over a document's numbers as signals, once their document's text is beside them."""
+    zoning = t.policy_zoning(title, F.col("sb79"), F.col("signal_strength"))
+    return found.select(
         "document_id",
-        F.col("a.start").cast("long").alias("offset"),
-        F.col("a.text").alias("apn"),
-        F.concat(F.col("label"), F.lit(" listing")).alias("keyword"),
-        F.col("disposition").alias("signal_strength"),
-        _page_at(F.col("starts"), F.col("a.start")).alias("page_number"),
+        F.col("start").cast("long").alias("offset"),
+        F.col("text").alias("apn"),
+        "keyword",
+        "signal_strength",
+        _page_number().alias("page_number"),
         zoning["current"].alias("current_zoning"),
         zoning["proposed"].alias("proposed_zoning"),
-        t.find_address(F.col("streets"), F.col("labels"), F.col("a.start"), F.col("start"), F.col("end")).alias("address"),
-        t.snippet(F.col("full"), F.col("a.start"), F.col("a.end")).alias("snippet"),
+        "address",
+        t.snippet(F.col("full"), F.col("start"), F.col("apn_end")).alias("snippet"),
+        *more,
     )
 
 
+def exhibit_apns(pages: DataFrame) -> DataFrame:
+    """A signal for each strict APN in an exhibit, with the zoning that the exhibit implies and the nearest address in it.
+
+    An exhibit goes from its header to the next one. The words up to ``HEADER_REACH`` characters past the header decide
+    on its parcels; their first line is its title.
+    """
+    docs = _texts(pages)
+    found = sweeps.match_rows(docs, ["document_id"], "full", {"head": t.SECTIONS[2][1], "apn": t.APN, "street": t.ADDRESS, "label": t.LABELED_ADDRESS})
+    found = materialize(found.unionByName(_page_marks(pages).withColumns({"start": F.col("start").cast("int"), "end": F.col("end").cast("int")})))
+    apns = found.where("kind = 'apn'").select("document_id", "start", F.col("end").alias("apn_end"), "text")
+    e = sweeps.sweep(apns, found, ["document_id"], "start", ["head", "street", "label", "page"]).where("head_at IS NOT NULL").join(docs, "document_id")
+    e = e.withColumn("high", F.coalesce("head_next.start", F.length("full"))).where(F.col("apn_end") <= F.col("high"))
+    e = e.withColumn("address", sweeps.find_address(F.col("start"), F.col("head_at.start"), F.col("high")))
+    reach = F.least(F.col("head_at.end") + t.HEADER_REACH, F.col("high"))
+    line = F.translate(t.within(F.col("full"), F.col("head_at.start"), reach), "\n", " ")
+    title = F.trim(F.split(F.regexp_replace(t.within(F.col("full"), F.col("head_at.end"), reach), r"^(?U)\s+|\s+$", ""), "\n", -1)[0])
+    e = e.withColumns({"keyword": F.concat("head_at.text", F.lit(" listing")), "signal_strength": F.when(t.contains_any(line, t.EXHIBIT_EXCLUSIONS), "EXCLUDED").otherwise("MED")})
+    return _numbered(e, title)
+
+
 def apn_sweep(pages: DataFrame) -> DataFrame:
     """Strict, then broad numbers of each document, one row per place; EXCLUDED where the page has an exclusion word."""
-    docs = _joined(pages)
-    number = lambda o: lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(o).alias("o"), m["text"].alias("text"))
-    found = F.concat(F.transform(t.matches(F.col("full"), t.APN), number(0)), F.transform(t.matches(F.col("full"), t.BROAD_APN), number(1)))
-    again = lambda m: ~F.exists("found", lambda x: (x["start"] == m["start"]) & (x["end"] == m["end"]) & (x["o"] < m["o"]))
-    x = docs.withColumn("found", found).where(F.size("found") > 0)
-    x = x.withColumns({"streets": t.matches(F.col("full"), t.ADDRESS), "labels": t.matches(F.col("full"), t.LABELED_ADDRESS)}).withColumn("m", F.explode(F.filter("found", again)))
-    low = F.element_at(F.filter(F.transform("starts", lambda s: s["start"]), lambda s: s <= F.col("m.start")), -1)
-    high = F.get(F.filter(F.transform("starts", lambda s: s["start"]), lambda s: s > F.col("m.start")), 0)
-    x = x.withColumns({"low": low.cast("int"), "high": F.coalesce(high.cast("int"), F.length("full"))})
-    x = x.withColumn("disposition", F.when(t.contains_any(t.within(F.col("full"), F.col("low"), F.col("high")), t.EXCLUSIONS), "EXCLUDED").otherwise("MED"))
-    zoning = t.infer_policy_zoning(F.lit(""), F.col("full"), F.col("disposition"))
-    return x.select(
-        "document_id",
-        F.col("m.o").alias("kw_ord"),
-        F.col("m.start").cast("long").alias("offset"),
-        F.col("m.text").alias("apn"),
-        F.lit(t.SWEEP_KEYWORD).alias("keyword"),
-        F.col("disposition").alias("signal_strength"),
-        _page_at(F.col("starts"), F.col("m.start")).alias("page_number"),
-        zoning["current"].alias("current_zoning"),
-        zoning["proposed"].alias("proposed_zoning"),
-        t.find_address(F.col("streets"), F.col("labels"), F.col("m.start"), F.col("low"), F.col("high")).alias("address"),
-        t.snippet(F.col("full"), F.col("m.start"), F.col("m.end")).alias("snippet"),
-    )
+    docs = _texts(pages)
+    found = sweeps.match_rows(docs, ["document_id"], "full", {"0": t.APN, "1": t.BROAD_APN, "street": t.ADDRESS, "label": t.LABELED_ADDRESS})
+    found = materialize(found.unionByName(_page_marks(pages).withColumns({"start": F.col("start").cast("int"), "end": F.col("end").cast("int")})))
+    numbers = found.where("kind IN ('0', '1')").groupBy("document_id", "start", F.col("end").alias("apn_end"), "text").agg(F.min("kind").cast("int").alias("kw_ord"))
+    x = sweeps.sweep(numbers, found, ["document_id"], "start", ["page", "out", "street", "label"]).join(docs, "document_id")
+    low, high = F.col("page_at.start"), F.coalesce("page_next.start", F.length("full"))
+    out = F.coalesce(F.col("out_at.start") == low, F.lit(False))
+    x = x.withColumns({"address": sweeps.find_address(F.col("start"), low, high), "keyword": F.lit(t.SWEEP_KEYWORD), "signal_strength": F.when(out, "EXCLUDED").otherwise("MED")})
+    return _numbered(x, F.lit(""), "kw_ord")
 
 
 def locate_pages(pages: DataFrame, asked: DataFrame) -> DataFrame:

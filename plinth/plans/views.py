@@ -80,6 +80,13 @@ VIEWS = {
                       CASE WHEN (l_orderkey + l_linenumber) % 4 = 0 THEN '' ELSE concat('APN 100-000-', lpad(CAST(min(l_partkey) % 1000 AS STRING), 3, '0'), ' at ', CAST(min(l_partkey) + 1 AS STRING), ' Oak St', chr(10)) END,
                       CASE WHEN l_orderkey % 7 = 0 THEN 'historic site' ELSE 'adopted' END, chr(10), 'Ordinance No. ', CAST(l_orderkey AS STRING), ', call 650-555-', lpad(CAST(l_orderkey % 10000 AS STRING), 4, '0')) AS page_text
         FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
+    "v_staff_page": """
+        SELECT l_orderkey AS document_id, l_linenumber AS page_number,
+               concat('PUBLIC HEARINGS', chr(10), 'Item ', CAST(l_linenumber AS STRING), ': Rezone for ',
+                      CASE l_orderkey % 3 WHEN 0 THEN '1017 Middlefield Rd' WHEN 1 THEN concat(CAST(min(l_partkey) + 1 AS STRING), ' Oak St') ELSE 'the corner lot' END, chr(10),
+                      CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE concat('APN 100-000-', lpad(CAST(min(l_partkey) % 1000 AS STRING), 3, '0'), '. ') END,
+                      CASE WHEN l_orderkey % 2 = 0 THEN 'Location' ELSE 'Address' END, ': Parcel ', CAST(l_orderkey AS STRING), ' of the Plan', chr(10), 'End') AS page_text
+        FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "v_job_event": """
         SELECT user_id AS job_id, event_id AS seq,
                CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'cancelled' ELSE 'processing' END AS status
