@@ -52,12 +52,12 @@ def patterns(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str
     """(doc_id, part, pattern): per document, a bit for each filter that it fails, A the lowest."""
     rows = one_per_id(docs.select(docs[key].cast("long").alias("doc_id"), docs[part].cast("string").alias("part"), docs[text].alias("text")).where("doc_id IS NOT NULL"), "doc_id", "text")
     rows = rows.select("doc_id", F.coalesce("part", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    held = rows.repartition("doc_id")  # texts move once: smaller than their (document, word) rows would be
     capitals = F.length(F.regexp_replace("text", "[^A-Z]+", ""))
-    flags = held.select("doc_id", "part", F.sha2("text", 256).alias("same"), (100 * capitals > MOST_CAPITALS * F.length("text")).alias("c"), F.col("text").rlike(SYMBOLS).alias("d"))
+    flags = rows.select("doc_id", "part", F.sha2("text", 256).alias("same"), (100 * capitals > MOST_CAPITALS * F.length("text")).alias("c"), F.col("text").rlike(SYMBOLS).alias("d"))
     n, distinct = F.coalesce("n_words", F.lit(0)), F.coalesce("n_distinct", F.lit(0))
     bits = _bit("A", n < LEAST_WORDS) + _bit("B", 100 * distinct < LEAST_DISTINCT * n) + _bit("C", F.col("c")) + _bit("D", F.col("d"))
-    base = materialize(flags.join(word_counts(held), "doc_id", "left").select("doc_id", "part", "same", bits.alias("bits")))
+    counts = word_counts(rows.select("doc_id", "text").repartition("doc_id"))  # texts move once: smaller than their (document, word) rows
+    base = materialize(flags.join(counts, "doc_id", "left").select("doc_id", "part", "same", bits.alias("bits")))
     firsts = materialize(base.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("same", "first"))
     copies = join_few(base, firsts, "same", "doc_id", "left")
     return copies.select("doc_id", "part", (F.col("bits") + F.coalesce(_bit("E", F.col("doc_id") > F.col("first")), F.lit(0))).alias("pattern"))
