@@ -46,9 +46,11 @@ FRAGMENT_TOKENS = 1 << 15
 CHUNK_BYTES = 1 << 18
 FLUSH = 400_000
 HASH_BITS = 56
+#: Pairs of one set that are counted in one place.
+LOT_PAIRS = 512
 #: Meetings of two members in postings of what they differ in, for each row of the first postings, up to which their
 #: pairs are listed; few of them are pairs.
-MEETINGS = 32
+MEETINGS = 2
 #: Words of 64 bits that sum up what a member differs in.
 MASKS = 4
 #: Rows of a partition of small tables.
@@ -75,7 +77,8 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit values."""
     x = x ^ (x >> U(33))
     x *= _MIX
     return x ^ (x >> U(29))
@@ -98,7 +101,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[
     power, inverse = _power_tables(n)
     sums = np.zeros(n + 1, U)
     np.cumsum(_LETTER[letters] * power[:n], out=sums[1:])
-    words = _mix((sums[ends] - sums[starts]) * inverse[starts])
+    words = mix((sums[ends] - sums[starts]) * inverse[starts])
     text = np.searchsorted(offsets, starts, "right") - 1
     hashes, owners = [], []
     if len(words) >= width:
@@ -120,26 +123,39 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[
                 h = h * _WORD_BASE + words[first[few] + i]
             hashes.append(h)
             owners.append(few)
-    keys = (np.concatenate(owners).astype(U) << U(HASH_BITS)) | (_mix(np.concatenate(hashes)) >> U(64 - HASH_BITS))
+    keys = (np.concatenate(owners).astype(U) << U(HASH_BITS)) | (mix(np.concatenate(hashes)) >> U(64 - HASH_BITS))
     keys.sort()
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
     return (keys >> U(HASH_BITS)).astype(np.int64), keys & U((1 << HASH_BITS) - 1)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, text index, hash) of chunks of texts."""
     for batch in batches:
         for ids, raw, offsets in text_chunks(batch.column(0), batch.column(1), CHUNK_BYTES):
             yield (ids, *shingles(raw, offsets, width))
 
 
+def set_facts(n_texts: int, owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Per text its set's size and two 64-bit sums, by which equal sets are known; zeros for an empty set."""
+    n = np.bincount(owner, minlength=n_texts)
+    facts = np.zeros((n_texts, 3), np.int64)
+    facts[:, 0] = n
+    if len(h):
+        full = np.flatnonzero(n)
+        at = (np.cumsum(n) - n)[full]
+        for k, salt in ((1, U(0x2545F4914F6CDD1D)), (2, U(0x8CB92BA72F3D8DD7))):
+            facts[full, k] = np.add.reduceat(mix(h * salt + U(k)), at).view(np.int64)
+    return facts
+
+
 FIRST = pa.schema([("fragment", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("sets", pa.binary())])
 
 
 def _fragments(bits: int, width: int):
     """Task of the first count's map side: rows of one fragment each, with 32 bits of each hash, and of set facts."""
 
-    def flush(ids: list, text: list, token: list, sets: list) -> Iterator[pa.RecordBatch]:
+    def flush(ids: list, text: list, token: list, facts_of: list) -> Iterator[pa.RecordBatch]:
         docs, owner, h = np.concatenate(ids), np.concatenate(text), np.concatenate(token)
         fragment = (h >> U(HASH_BITS - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         low = ((h >> U(HASH_BITS - bits - 32)) & U(0xFFFFFFFF)).astype(np.uint32)
@@ -151,32 +167,25 @@ def _fragments(bits: int, width: int):
             own = owner[a:b]
             edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             rows.append((int(fragment[a]), docs[own[edge]].tobytes(), np.diff([*edge, b - a]).astype(np.uint32).tobytes(), low[a:b].tobytes(), None))
-        facts = np.concatenate(sets)
+        facts = np.concatenate(facts_of)
         lot = (facts[0, 0] if len(facts) else 0) % (1 << bits)
         rows.append((int(lot), docs.tobytes(), None, None, facts.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), FIRST.types, strict=True)], schema=FIRST)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, text, token, sets, held, docs = [], [], [], [], 0, 0
-        for some, owner, h in _sets(batches, width):
-            n = np.bincount(owner, minlength=len(some))
-            facts = np.zeros((len(some), 3), np.int64)
-            facts[:, 0] = n
-            if len(h):
-                full = np.flatnonzero(n)
-                at = (np.cumsum(n) - n)[full]
-                for k, salt in ((1, U(0x2545F4914F6CDD1D)), (2, U(0x8CB92BA72F3D8DD7))):
-                    facts[full, k] = np.add.reduceat(_mix(h * salt + U(k)), at).view(np.int64)
+        ids, text, token, facts_of, held, docs = [], [], [], [], 0, 0
+        for some, owner, h in sets(batches, width):
+            facts = set_facts(len(some), owner, h)
             ids.append(some.astype(np.int64))
             text.append(owner + docs)
             token.append(h)
-            sets.append(facts)
+            facts_of.append(facts)
             held, docs = held + len(h), docs + len(some)
             if held >= FLUSH:
-                yield from flush(ids, text, token, sets)
-                ids, text, token, sets, held, docs = [], [], [], [], 0, 0
+                yield from flush(ids, text, token, facts_of)
+                ids, text, token, facts_of, held, docs = [], [], [], [], 0, 0
         if docs:
-            yield from flush(ids, text, token, sets)
+            yield from flush(ids, text, token, facts_of)
 
     return work
 
@@ -216,7 +225,7 @@ def _segments(width: int, bits: int):
     """Task that gives each set as rows of pair fragments: (doc_id, n, fragment, tokens)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, owner, h in _sets(batches, width):
+        for ids, owner, h in sets(batches, width):
             if not len(h):
                 continue
             n = np.bincount(owner, minlength=len(ids))
@@ -240,27 +249,43 @@ def _of(segments: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return segments.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
 
 
+def _in_lots(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (materialised) with ``lots``, one for each ``LOT_PAIRS`` pairs of set b, and ``lot``, the pair's."""
+    lots = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / LOT_PAIRS).cast("int").alias("lots")))
+    return join_few(pairs, lots, "b", "a").withColumn("lot", F.pmod(F.xxhash64("a"), F.col("lots")).cast("int"))
+
+
+def _with_counterpart(sides: DataFrame, pairs: DataFrame, segments: DataFrame, how: str) -> DataFrame:
+    """``sides`` (b, lot, fragment and more) with ``its``, the tokens of set b in the fragment; ``pairs`` come from ``_in_lots``.
+
+    A hub or reference stands in as many pairs as its posting has members; its tokens go to each of its lots.
+    """
+    where = pairs.select("b", "lots").distinct().select(F.col("b").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    its = _of(segments, pairs, "b").join(where, "doc_id").select(F.col("doc_id").alias("b"), "lot", "fragment", F.col("tokens").alias("its"))
+    return sides.join(its, ["b", "lot", "fragment"], how)
+
+
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(lo, hi, n_lo, n_hi, k): the shingles that both sets of each pair hold, counted per fragment and summed."""
-    pairs = materialize(pairs)
-    left = _of(segments, pairs, "lo").select(F.col("doc_id").alias("lo"), F.col("n").alias("n_lo"), "fragment", F.col("tokens").alias("of_lo"))
-    right = _of(segments, pairs, "hi").select(F.col("doc_id").alias("hi"), F.col("n").alias("n_hi"), "fragment", F.col("tokens").alias("of_hi"))
-    partial = pairs.join(left, "lo").join(right, ["hi", "fragment"]).select("lo", "hi", "n_lo", "n_hi", F.size(F.array_intersect("of_lo", "of_hi")).alias("k"))
-    return partial.groupBy("lo", "hi", "n_lo", "n_hi").agg(F.sum("k").alias("k"))
+    """(a, b, n_a, n_b, k) of pairs (a, b, n_b): the shingles that both sets hold, counted per fragment and summed."""
+    pairs = materialize(_in_lots(materialize(pairs)))
+    own = _of(segments, pairs, "a").select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("tokens").alias("own"))
+    sides = own.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, "a")
+    partial = _with_counterpart(sides, pairs, segments, "inner").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("own", "its")).alias("k"))
+    return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
 
 
 def _links(counted: DataFrame, percent: int) -> DataFrame:
     """The pairs whose Jaccard similarity reaches the percentage, as edges (u, v)."""
-    return counted.where(100 * F.col("k") >= percent * (F.col("n_lo") + F.col("n_hi") - F.col("k"))).select(F.col("hi").alias("u"), F.col("lo").alias("v"))
+    return counted.where(100 * F.col("k") >= percent * (F.col("n_a") + F.col("n_b") - F.col("k"))).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
 def _pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of members (a, b) that met, if their sizes, and what they can differ in alike, let them be similar."""
+    """Distinct pairs (a, b, n_b) of members that met, if their sizes, and what they can differ in alike, let them be similar."""
     # a bit that one set's tokens have and the other's lack stands for a token at least that isn't shared
     own = lambda x, y: F.col(f"{x}_s") - reduce(Column.__add__, [F.bit_count(F.col(f"{x}_m{i}").bitwiseAND(F.bitwise_not(f"{y}_m{i}"))) for i in range(MASKS)])
     alike = 2 * (100 + percent) * F.least(own("a", "b"), own("b", "a")) >= F.col("a_f") + F.col("b_f")
     met = met.where(_near(F.col("a_n"), F.col("b_n"), percent) & F.coalesce(alike, F.lit(True)))
-    return met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    return met.select("a", "b", F.col("b_n").alias("n_b")).distinct()
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -289,13 +314,14 @@ def _by_differences(open_: DataFrame, segments: DataFrame, stars: DataFrame, per
     in, and meet in the rarest part of it: size of D - need + 1 of its tokens.
     """
     refs = open_.where("root = main").groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("r"))
-    refs = _small(refs.select("token", F.col("r.doc_id").alias("ref")), rows)
-    compared = _small(join_few(open_.select("token", "doc_id", "n"), refs, "token", "doc_id").where("doc_id <> ref").select("ref", "doc_id", "n").distinct(), rows)
+    refs = _small(refs.select("token", F.col("r.doc_id").alias("b")), rows)
+    compared = _small(join_few(open_.select("token", F.col("doc_id").alias("a"), "n"), refs, "token", "a").where("a <> b").select("a", "n", "b").distinct(), rows)
+    compared = _small(_in_lots(compared), rows)
     pairs = compared.select("*", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
-    of = lambda key, name: _of(segments, compared, key).select(F.col("doc_id").alias(key), "fragment", F.col("tokens").alias(name))
+    own = _of(segments, compared, "a").select(F.col("doc_id").alias("a"), "fragment", F.col("tokens").alias("own"))
     none = F.array().cast("array<long>")
-    sides = pairs.join(of("doc_id", "own"), ["doc_id", "fragment"], "left").join(of("ref", "its"), ["ref", "fragment"], "left").withColumns({"own": F.coalesce("own", none), "its": F.coalesce("its", none)})
-    differ = materialize(sides.select("ref", "doc_id", "n", F.size("its").alias("m"), F.concat(F.array_except("own", "its"), F.array_except("its", "own")).alias("tokens")))
+    sides = _with_counterpart(pairs.join(own, ["a", "fragment"], "left"), compared, segments, "left").withColumns({"own": F.coalesce("own", none), "its": F.coalesce("its", none)})
+    differ = materialize(sides.select(F.col("b").alias("ref"), F.col("a").alias("doc_id"), "n", F.size("its").alias("m"), F.concat(F.array_except("own", "its"), F.array_except("its", "own")).alias("tokens")))
     sums = differ.groupBy("ref", "doc_id", "n").agg(F.sum("m").alias("m"), F.sum(F.size("tokens")).cast("long").alias("d"))
     linked = sums.where((100 + percent) * F.col("d") <= (100 - percent) * (F.col("n") + F.col("m"))).select(F.greatest("ref", "doc_id").alias("u"), F.least("ref", "doc_id").alias("v"))
     stars = components(stars.unionByName(linked))
@@ -353,6 +379,24 @@ def _link_components(postings: DataFrame, segments: DataFrame, percent: int, fra
         turn += 1
 
 
+def _sets_of(texts: DataFrame, reps: DataFrame, n_reps: int, longest: int, width: int) -> tuple[DataFrame, int]:
+    """The sets of the documents ``reps`` (doc_id) in pair fragments, and the number of these."""
+    chosen = texts.join(F.broadcast(reps) if n_reps <= BROADCAST_ROWS else reps, "doc_id", "left_semi")
+    bits = max(2, int(np.ceil(np.log2(max(1, longest / FRAGMENT_TOKENS)))))
+    return materialize(chosen.mapInArrow(_segments(width, bits), "doc_id long, n long, fragment int, tokens array<long>")), 1 << bits
+
+
+def linked(texts: DataFrame, postings: DataFrame, percent: int, width: int) -> DataFrame:
+    """(u, v) as ``components`` gives them, of all links between texts (doc_id, text) that share a posting (token, doc_id, n).
+
+    ``postings`` is materialised; links are decided on full sets.
+    """
+    members = materialize(postings.select("doc_id", "n").distinct())
+    n_members, longest = members.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    segments, fragments = _sets_of(texts, members.select("doc_id"), n_members, longest, width)
+    return _link_components(postings, segments, percent, fragments)
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document; the component's id is its least document id."""
     texts = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id IS NOT NULL")
@@ -365,16 +409,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = materialize(linked.groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
     reps = classes.select(F.col("rep").alias("doc_id"))
     n_reps, longest = classes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    chosen = texts.join(F.broadcast(reps) if n_reps <= BROADCAST_ROWS else reps, "doc_id", "left_semi")
-    pair_bits = max(2, int(np.ceil(np.log2(max(1, longest / FRAGMENT_TOKENS)))))
-    segments = materialize(chosen.mapInArrow(_segments(width, pair_bits), "doc_id long, n long, fragment int, tokens array<long>"))
+    segments, fragments = _sets_of(texts, reps, n_reps, longest, width)
     tokens = segments.select("doc_id", "n", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     least = F.ceil(F.col("n") * percent / 100)  # shingles that a partner must share
     own = Window.partitionBy("doc_id")
     ranked = tokens.join(often, "token").select("doc_id", "n", "token", F.count("*").over(own).alias("s"), F.row_number().over(own.orderBy("df", "token")).alias("i"))
     postings = materialize(ranked.where(F.col("i") <= F.col("s") - least + 1).select("token", "doc_id", "n"))
-    stars = _link_components(postings, segments, percent, 1 << pair_bits)
+    stars = _link_components(postings, segments, percent, fragments)
     roots = classes.join(stars.withColumnRenamed("u", "rep"), "rep", "left").select(F.col("set1").alias("c1"), F.col("set2").alias("c2"), F.col("n").alias("cn"), F.coalesce("v", "rep").alias("root"))
     same = (F.col("set1") == F.col("c1")) & (F.col("set2") == F.col("c2")) & (F.col("n") == F.col("cn"))
     return facts.join(roots, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))

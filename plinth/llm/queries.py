@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import audit, bpe, chat, divergence, lines, media, ngrams, packing, quality, suffixes, toxicity, urls
+from plinth.llm import audit, bpe, chat, divergence, lines, media, minhash, ngrams, packing, quality, suffixes, toxicity, urls
 from plinth.llm.common import materialize
 from plinth.sources.tables import table
 
@@ -191,6 +191,10 @@ FROM r
 """
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -231,5 +235,5 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_suffix_dedup, op4_line_dedup, op5_media_columns, op6_chat_formatting, op7_url_filters, op8_bpe, op9_packing, op10_toxicity, op11_filter_audit, op13_source_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_suffix_dedup, op4_line_dedup, op5_media_columns, op6_chat_formatting, op7_url_filters, op8_bpe, op9_packing, op10_toxicity, op11_filter_audit, op12_minhash, op13_source_divergence)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op7_url_filters": OP7_SQL, "op11_filter_audit": OP11_SQL, "op13_source_divergence": OP13_SQL}
