@@ -78,68 +78,78 @@ def pdf_probes(probes: DataFrame) -> DataFrame:
     return probes.select("url", portal.is_pdf(kind).alias("is_pdf"))
 
 
-def _members(payload: Column) -> Column:
-    """A JSON object's members as a map to JSON texts; a member that is there but null has a null value."""
-    return F.from_json(payload, "map<string,string>")
+def _field(of: str, name: str, kind: str = "string") -> Column:
+    """A member of a VARIANT column as a type; null where it is missing, null or another type."""
+    return F.try_variant_get(F.col(of), f"$.{name}", kind)
 
 
-def unwrap_array(payload: Column) -> Column:
-    """The JSON array of a vendor's payload as a string: itself, or in ``value``, or else in ``data``; else null."""
-    members = _members(payload)
-    inner = F.when(F.map_contains_key(members, "value"), members["value"]).otherwise(members["data"])
-    return F.when(F.trim(payload).startswith("["), payload).when(F.trim(inner).startswith("["), inner)
+def has_member(of: str, name: str) -> Column:
+    """Whether an object has a member, even if it is null there."""
+    return F.variant_get(F.col(of), f"$.{name}", "variant").isNotNull()
 
 
-def first_present(item: Column, names: list[str]) -> Column:
-    """The value of the first name that a map has, even if it is null there."""
+def _elements(parsed: str) -> Column:
+    """The elements of a vendor's payload: of itself, or of the array in ``value`` if that is there, or else in ``data``."""
+    inner = F.when(has_member(parsed, "value"), _field(parsed, "value", "array<variant>")).otherwise(_field(parsed, "data", "array<variant>"))
+    return F.coalesce(F.try_variant_get(F.col(parsed), "$", "array<variant>"), inner)
+
+
+def first_present(of: str, names: list[str]) -> Column:
+    """The text of the first name that an object has, even if it is null there."""
     out = F.lit(None).cast("string")
     for name in reversed(names):
-        out = F.when(F.map_contains_key(item, name), item[name]).otherwise(out)
+        out = F.when(has_member(of, name), _field(of, name)).otherwise(out)
     return out
 
 
-def any_present(item: Column, names: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(n) for n in names]), lambda n: F.map_contains_key(item, n))
+def any_present(of: str, names: list[str]) -> Column:
+    out = F.lit(False)
+    for name in names:
+        out = out | has_member(of, name)
+    return out
 
 
 def _first_true(*values: Column) -> Column:
     return F.coalesce(*[F.when(portal.truthy(v), v) for v in values])
 
 
-def _stream_file(item: Column) -> Column:
+def _stream_file(of: str) -> Column:
     """The id of a file in the first of the lists that has any but minutes: the first agenda, else the first."""
-    label = lambda f: F.lower(F.coalesce(_first_true(f["type"], f["name"]), F.lit("")))
-    number = lambda f: _first_true(f["fileId"], f["id"])
-    picks = []
-    for name in FILE_LISTS:
-        files = F.filter(F.from_json(item[name], "array<map<string,string>>"), lambda f: number(f).isNotNull() & ~F.contains(label(f), F.lit("minutes")))
-        agenda = F.get(F.filter(files, lambda f: F.contains(label(f), F.lit("agenda"))), 0)
-        picks += [number(agenda), number(F.get(files, 0))]
-    return F.coalesce(*picks)
+    listed = []
+    for order, name in enumerate(FILE_LISTS):
+        files = _field(of, name, "array<struct<fileId:string,id:string,type:string,name:string>>")
+        rows = F.transform(files, lambda f, i: F.struct(F.lit(order).alias("order"), i.alias("i"), F.lower(F.coalesce(_first_true(f["type"], f["name"]), F.lit(""))).alias("label"), _first_true(f["fileId"], f["id"]).alias("number")))
+        listed.append(F.coalesce(rows, F.array().cast("array<struct<order:int,i:int,label:string,number:string>>")))
+    usable = F.filter(F.concat(*listed), lambda f: f["number"].isNotNull() & ~F.contains(f["label"], F.lit("minutes")))
+    return F.array_min(F.transform(usable, lambda f: F.struct(f["order"], ~F.contains(f["label"], F.lit("agenda")), f["i"], f["number"].alias("number"))))["number"]
 
 
-def _compiled_file(item: Column) -> Column:
+def _compiled_file(of: str) -> Column:
     """The id of the first compiled document of output type 1 that is named after the best template."""
-    files = F.filter(F.from_json(item["documentList"], "array<map<string,string>>"), lambda f: f["id"].isNotNull() & (f["compileOutputType"] == "1"))
-    named = lambda w: F.get(F.filter(files, lambda f: F.contains(F.lower(F.coalesce(f["templateName"], F.lit(""))), F.lit(w))), 0)["id"]
-    return F.coalesce(*[named(w) for w in TEMPLATES])
+    files = _field(of, "documentList", "array<struct<id:string,templateName:string,compileOutputType:string>>")
+    best = lambda f: F.coalesce(*[F.when(F.contains(F.lower(f["templateName"]), F.lit(w)), F.lit(i)) for i, w in enumerate(TEMPLATES)])
+    rows = F.transform(F.filter(files, lambda f: f["id"].isNotNull() & (f["compileOutputType"] == "1")), lambda f, i: F.struct(best(f).alias("best"), i.alias("i"), f["id"].alias("id")))
+    return F.array_min(F.filter(rows, lambda f: f["best"].isNotNull()))["id"]
 
 
 def api_listing(payloads: DataFrame, start: Column, end: Column) -> DataFrame:
     """Agenda files of vendor payloads (page_id, url, payload); the vendor shows in the address, others give no rows.
 
     One vendor lists files that its stream serves beside the listing, and needs a date's name; the other lists compiled
-    documents under its own root.
+    documents under its own root. A payload is parsed once, as VARIANT; generators keep what filters ask for from being
+    made again for them. Payloads that aren't JSON, or repeat a name in an object, give no rows.
     """
     address = F.lower("url")
     vendor = F.when(F.contains(address, F.lit("civicclerk")), "stream").when(F.contains(address, F.lit("primegov")), "compiled")
-    items = payloads.withColumn("vendor", vendor).where("vendor IS NOT NULL").select("page_id", "url", "vendor", F.explode(F.from_json(unwrap_array(F.col("payload")), "array<string>")).alias("item"))
-    items = items.withColumn("item", _members(F.col("item"))).where(F.col("item").isNotNull() & ((F.col("vendor") != "stream") | any_present(F.col("item"), DATE_NAMES)))
-    item, stream = F.col("item"), F.col("vendor") == "stream"
-    date = F.when(stream, first_present(item, DATE_NAMES)).otherwise(_first_true(item["dateTime"], item["date"]))
-    path = F.when(stream, F.concat(portal.parent_url(F.col("url")), F.lit(STREAM), _stream_file(item), F.lit(",plainText=false)"))).otherwise(F.concat(F.lit(COMPILED), _compiled_file(item)))
-    rows = items.select("page_id", "url", path.alias("path"), portal.meeting_date(date).alias("meeting_date")).where("path IS NOT NULL")
-    return _within(rows.select("page_id", portal.normalize_url("url", "path").alias("pdf_url"), F.lit(None).cast("string").alias("title"), "meeting_date"), start, end)
+    parsed = payloads.withColumn("vendor", vendor).where("vendor IS NOT NULL").select("page_id", "url", "vendor", F.try_parse_json("payload").alias("parsed"))
+    items = parsed.select("page_id", "url", "vendor", F.explode_outer(_elements("parsed")).alias("item"))
+    stream = F.col("vendor") == "stream"
+    date = F.when(stream, first_present("item", DATE_NAMES)).otherwise(_first_true(_field("item", "dateTime"), _field("item", "date")))
+    path = F.when(stream, F.concat(portal.parent_url(F.col("url")), F.lit(STREAM), _stream_file("item"), F.lit(",plainText=false)"))).otherwise(F.concat(F.lit(COMPILED), _compiled_file("item")))
+    rows = items.where(F.col("item").isNotNull() & (~stream | any_present("item", DATE_NAMES))).select("page_id", "url", F.inline_outer(F.array(F.struct(path.alias("path"), date.alias("date")))))
+    rows = rows.where("path IS NOT NULL").select("page_id", "url", "path", F.explode_outer(F.array(portal.meeting_date(F.col("date")))).alias("meeting_date"))
+    rows = _within(rows, start, end)
+    return rows.select("page_id", portal.normalize_url("url", "path").alias("pdf_url"), F.lit(None).cast("string").alias("title"), "meeting_date")
 
 
 def _hops(fetches: DataFrame, downloads: DataFrame) -> DataFrame:

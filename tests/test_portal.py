@@ -128,3 +128,22 @@ def test_point_in_polygon_and_cascade(spark):
     polygons = spark.createDataFrame([("p", 2, ring(0.0)), ("q", 1, ring(0.25)), ("p", 3, ring(0.4999)), ("far", 4, [(4.0, 4.0), (9.0, 4.0), (9.0, 9.0)])], "apn string, place int, ring array<struct<x:double,y:double>>")
     got = {r.ask_id: r.apns for r in resolve.cascade(asked, parcels, geocodes, polygons).collect()}
     assert got == {1: ["042-0", "042-1"], 2: ["042-0", "042-1", "9"], 3: ["q", "p"], 4: [], 5: []}
+
+
+def test_vendor_payloads_in_odd_shapes(spark):
+    """Members that are there but null, arrays in either wrapper, texts that aren't JSON, and lists in the vendor's order."""
+    stream, compiled = "https://a.civicclerk.com/v1/Events/", "https://b.primegov.com/api/list"
+    rows = [
+        (1, stream, '{"value":null,"data":[{"date":"2026-07-01","files":[{"fileId":1}]}]}'),  # value is there, so data doesn't count
+        (2, stream, '{"data":[{"date":"2026-07-01","files":[{"fileId":0,"id":"2","name":"Minutes"},{"id":"7","name":"x"},{"id":8,"type":"AGENDA"}],"Documents":[]}]}'),
+        (3, stream, '[{"startDateTime":null,"date":"2026-07-01","Files":[],"documents":[{"fileId":9,"type":null,"name":"agenda"}]}]'),
+        (4, stream, '[{"files":[{"fileId":1}]}]'),  # no date's name at all
+        (5, stream, "not json"), (6, stream, None), (7, stream, '{"value":[3,null,"x"]}'), (8, "https://c.example/api", '[{"date":"2026-07-01","files":[{"fileId":1}]}]'),
+        (9, compiled, '[{"dateTime":"","date":"2026-07-02","documentList":[{"id":1,"templateName":"Packet","compileOutputType":1},{"id":2,"templateName":"The Agenda","compileOutputType":1},{"id":3,"templateName":"Agenda","compileOutputType":3}]}]'),
+        (10, compiled, '{"value":[{"date":"2026-07-02","documentList":[{"id":5,"templateName":null,"compileOutputType":1},{"id":"6","templateName":"PACKET","compileOutputType":"1"}]},{"documentList":null},{}]}'),
+    ]
+    date = lambda x: F.lit(x).cast("date")
+    got = discovery.api_listing(spark.createDataFrame(rows, "page_id int, url string, payload string"), date("2026-07-01"), date("2026-07-31"))
+    file = lambda n: f"https://a.civicclerk.com/v1/Meetings/GetMeetingFileStream(fileId={n},plainText=false)"
+    assert sorted((r.page_id, r.pdf_url, str(r.meeting_date)) for r in got.collect()) == [(2, file(8), "2026-07-01"), (3, file(9), "None"), (9, "https://b.primegov.com/Public/CompiledDocument/2", "2026-07-02"), (10, "https://b.primegov.com/Public/CompiledDocument/6", "2026-07-02")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
