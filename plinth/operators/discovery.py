@@ -171,16 +171,39 @@ def _hops(fetches: DataFrame, downloads: DataFrame) -> DataFrame:
     return redirects.unionByName(served).unionByName(linked).unionByName(stepped).where("onward IS NOT NULL").dropDuplicates(["seen"])
 
 
+def _looked_at(address: Column, ends: Column) -> list[Column]:
+    """(target, ask): the file that an address is, as a hop's end or by its shape; else what has to be looked at next."""
+    at = portal.unwrap_viewer(address)
+    shape = portal.link_shape(at)
+    target = F.when(ends, address).when(shape == "file", portal.fix_bucket_host(at))
+    return [target.alias("target"), F.when(~ends & shape.isin("page", "download"), at).alias("ask")]
+
+
+_WALK = """
+WITH RECURSIVE walk(url, ask, target, hop, path) AS (
+  SELECT url, ask, target, 0, array(ask) FROM {start}
+  UNION ALL
+  SELECT walk.url, step.ask, CASE WHEN step.ends OR walk.hop < {depth} THEN step.target END, walk.hop + 1, array_append(walk.path, step.ask)
+  FROM walk JOIN {steps} AS step ON walk.ask = step.seen
+  WHERE walk.target IS NULL AND walk.hop <= {depth} AND NOT coalesce(array_contains(walk.path, step.ask), false)
+)
+SELECT url, max(target) AS target FROM walk GROUP BY url
+"""
+
+
 def resolve_links(links: DataFrame, fetches: DataFrame, downloads: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(url, target): each link's file as recorded answers lead to it, in ``depth`` further looks at most; else null."""
-    hops = materialize(_hops(fetches, downloads))
-    at = links.select("url").distinct().select("url", portal.unwrap_viewer(F.col("url")).alias("at"), F.lit(None).cast("string").alias("target"))
-    for _ in range(depth + 1):  # a plan of fixed length, one join per look
-        shape = portal.link_shape(F.col("at"))
-        at = at.withColumns({"target": F.coalesce("target", F.when(shape == "file", portal.fix_bucket_host(F.col("at")))), "ask": F.when(F.col("target").isNull() & shape.isin("page", "download"), F.col("at"))})
-        at = at.join(hops, F.col("ask") == F.col("seen"), "left")
-        at = at.select("url", portal.unwrap_viewer(F.when(~F.col("ends"), F.col("onward"))).alias("at"), F.coalesce("target", F.when(F.col("ends"), F.col("onward"))).alias("target"))
-    return at.select("url", "target")
+    """(url, target): each link's file as recorded answers lead to it, in ``depth`` further looks at most; else null.
+
+    A recursive query over the table of hops: what is left to look at joins it again, a way that comes back to an
+    address ends there, and the plan is the same for any depth.
+    """
+    spark = links.sparkSession
+    hops = _hops(fetches, downloads)
+    steps = materialize(hops.select("seen", "ends", *_looked_at(F.col("onward"), F.col("ends"))))
+    start = materialize(links.select("url").where("url IS NOT NULL").distinct().select("url", *_looked_at(F.col("url"), F.lit(False))))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the hops bound the recursion, not the number of links
+    walked = spark.sql(_WALK, start=start, steps=steps, depth=depth)
+    return links.select("url").distinct().join(walked, "url", "left")
 
 
 def resolved_rows(pages: DataFrame, fetches: DataFrame, downloads: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -147,3 +147,20 @@ def test_vendor_payloads_in_odd_shapes(spark):
     file = lambda n: f"https://a.civicclerk.com/v1/Meetings/GetMeetingFileStream(fileId={n},plainText=false)"
     assert sorted((r.page_id, r.pdf_url, str(r.meeting_date)) for r in got.collect()) == [(2, file(8), "2026-07-01"), (3, file(9), "None"), (9, "https://b.primegov.com/Public/CompiledDocument/2", "2026-07-02"), (10, "https://b.primegov.com/Public/CompiledDocument/6", "2026-07-02")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_hops_in_chains_and_cycles(spark):
+    """Five hops lead on, six don't; cycles end; a file by its shape needs no look."""
+    page = lambda n: f"https://h.example/AgendaViewer.php?id={n}"
+    row = lambda url, to=None, kind="text/html", status=None: (url, status or (302 if to else 200), to, kind, None)
+    fetches = [row(page(i), page(i + 1)) for i in range(1, 8)] + [row(page(8), kind="application/pdf")]
+    fetches += [row(page(20), page(21)), row(page(21), page(20)), row(page(30), page(30)), row(page(40), "https://store.example/blob"), row(page(50), "/f/50.pdf")]
+    fetches = spark.createDataFrame(fetches, "url string, status int, location string, content_type string, html string")
+    asked = [page(i) for i in (1, 3, 4, 5, 8, 20, 30, 40, 50, 99)] + ["https://h.example/a.pdf", "https://h.example/else", None]
+    links = spark.createDataFrame([(u,) for u in asked], "url string")
+    got = {r.url: r.target for r in discovery.resolve_links(links, fetches, spark.createDataFrame([], "url string, payload string")).collect()}
+    file = page(8)
+    want = {page(1): None, page(3): None, page(4): file, page(5): file, page(8): file, page(20): None, page(30): None, page(40): "https://store.example/blob", page(50): "https://h.example/f/50.pdf", page(99): None, "https://h.example/a.pdf": "https://h.example/a.pdf", "https://h.example/else": None, None: None}
+    assert got == want
+    plan = lambda depth: discovery.resolve_links(links, fetches, spark.createDataFrame([], "url string, payload string"), depth)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert plan(2) == plan(40)
