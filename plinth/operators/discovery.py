@@ -37,21 +37,15 @@ def direct_listing(pages: DataFrame, start: Column, end: Column) -> DataFrame:
     return _within(first.select("page_id", "pdf_url", title.alias("title"), portal.meeting_date(F.concat_ws(" ", "a.href", "a.text")).alias("meeting_date")), start, end)
 
 
-def _row_links(pages: DataFrame) -> DataFrame:
-    return html.anchors(pages).select("page_id", "idx", "href", "text", "label", F.explode("rows").alias("row"))
-
-
 def agenda_rows(pages: DataFrame, start: Column, end: Column) -> DataFrame:
     """(page_id, row, url, title, meeting_date): the first agenda link of each table row in the window, not yet resolved.
 
     A row without a date in its text may have one in its date cell.
     """
-    rows = html.table_rows(pages).withColumn("meeting_date", F.coalesce(portal.meeting_date(F.col("text")), portal.short_year_date(F.col("date_cell"))))
-    rows = _within(rows.select("page_id", "row", "meeting_date"), start, end)
-    links = _row_links(pages).where(portal.is_navigable(F.col("href")) & F.contains(F.lower("text"), F.lit("agenda")))
-    first = links.groupBy("page_id", "row").agg(F.min_by(F.struct("href", "text"), "idx").alias("a"))
-    found = rows.join(first, ["page_id", "row"]).join(pages.select("page_id", F.col("url").alias("base")), "page_id")
-    return found.select("page_id", "row", portal.normalize_url("base", "a.href").alias("url"), F.nullif(F.col("a.text"), F.lit("")).alias("title"), "meeting_date")
+    agenda = F.get(F.filter("links", lambda a: portal.is_navigable(a["href"]) & F.contains(F.lower(a["text"]), F.lit("agenda"))), 0)
+    rows = html.page_rows(pages).where("tag = 'tr'").select("page_id", "row", F.col("url").alias("base"), agenda.alias("a"), F.coalesce(portal.meeting_date(F.col("text")), portal.short_year_date(F.col("date_cell"))).alias("meeting_date"))
+    rows = _within(rows.where("a IS NOT NULL"), start, end)
+    return rows.select("page_id", "row", portal.normalize_url("base", "a.href").alias("url"), F.nullif(F.col("a.text"), F.lit("")).alias("title"), "meeting_date")
 
 
 def row_listing(pages: DataFrame, probes: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -59,12 +53,9 @@ def row_listing(pages: DataFrame, probes: DataFrame, start: Column, end: Column)
 
     Rows without a listing's marks need a date. Links that don't end in .pdf need a recorded probe that finds a PDF.
     """
-    dated = portal.meeting_date(F.col("text"))
-    rows = html.listing_rows(pages).withColumn("meeting_date", dated).where((F.col("kind") != html.FALLBACK) | F.col("meeting_date").isNotNull())
-    links = _row_links(pages).withColumn("tier", portal.link_tier(F.col("href"), F.concat_ws(" ", "text", "label"))).where("tier IS NOT NULL")
-    best = links.groupBy("page_id", "row").agg(F.min_by(F.struct("href", "text"), F.struct("tier", "idx")).alias("a"))
-    found = rows.select("page_id", "row", "meeting_date").join(best, ["page_id", "row"]).join(pages.select("page_id", F.col("url").alias("base")), "page_id")
-    found = found.withColumn("pdf_url", portal.normalize_url("base", "a.href"))
+    tiers = F.transform("links", lambda a: F.struct(portal.link_tier(a["href"], F.concat_ws(" ", a["text"], a["label"])).alias("tier"), a["idx"].alias("idx"), a["href"].alias("href"), a["text"].alias("text")))
+    rows = html.page_rows(pages).where("kind IS NOT NULL").select("page_id", "row", "kind", F.col("url").alias("base"), portal.meeting_date(F.col("text")).alias("meeting_date"), F.array_min(F.filter(tiers, lambda a: a["tier"].isNotNull())).alias("a"))
+    found = rows.where((F.col("kind") != html.FALLBACK) | F.col("meeting_date").isNotNull()).where("a IS NOT NULL").withColumn("pdf_url", portal.normalize_url("base", "a.href"))
     once = found.groupBy("page_id", "pdf_url").agg(F.min_by(F.struct(F.nullif(F.col("a.text"), F.lit("")).alias("title"), "meeting_date"), "row").alias("r"))
     once = once.select("page_id", "pdf_url", "r.title", "r.meeting_date")
     good = pdf_probes(probes).where("is_pdf").select(F.col("url").alias("pdf_url")).distinct()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
 from types import SimpleNamespace
 
 from pyspark.sql import Window
@@ -50,7 +49,6 @@ def _text(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-@cache
 def _made() -> SimpleNamespace:
     """The pages' parts as columns over a document's id (as number and as text n) and day."""
     n, day, number = F.col("n"), F.col("day"), F.col("document_id")
@@ -112,6 +110,20 @@ def t3_row_kinds(spark, d):
     return html.listing_rows(_paged(spark, d, _made().rows)).groupBy("page_id", "kind").agg(F.count("*").alias("n_rows"))
 
 
+_AGENDA_LINKS = "SELECT page_id, row, tag, kind, size(links) AS n_links, element_at(links, -1).href AS last_href FROM {pages}, LATERAL page_rows(html)"
+
+
+@query("""WITH p AS (SELECT document_id AS page_id, CAST(document_id AS VARCHAR) AS n, document_id % 4 AS k, concat('/ViewFile/', CASE WHEN document_id % 5 = 0 THEN 'Agenda/' ELSE '' END, CAST(document_id AS VARCHAR), CASE WHEN document_id % 5 = 0 THEN '' ELSE '.pdf' END) AS href FROM v_document),
+r(k, row, tag, kind, n_links, own) AS (VALUES (0, 0, 'div', 'catAgendaRow', 3, NULL), (0, 1, 'div', 'catAgendaRow', 3, NULL), (0, 2, 'tr', NULL, 3, NULL), (1, 0, 'div', 'MeetingRow', 3, NULL), (2, 0, 'tr', NULL, 1, '/agenda/0.pdf'), (2, 1, 'tr', 'listtable', 3, NULL), (2, 2, 'tr', NULL, 1, '/agenda/9.pdf'),
+  (3, 0, 'div', 'fallback', 1, '/agenda/1.pdf'), (3, 1, 'tr', 'fallback', 1, '/agenda/1.pdf'), (3, 2, 'div', 'fallback', 3, NULL), (3, 3, 'tr', 'fallback', 3, NULL))
+SELECT page_id, row, tag, kind, n_links, coalesce(own, href) AS last_href FROM p JOIN r ON p.k = r.k""")
+def t2_lateral_rows(spark, d):
+    """A page's rows and their links by the table function, from SQL."""
+    made = _paged(spark, d, _made().rows)
+    spark.udtf.register("page_rows", html.PageRows)
+    return spark.sql(_AGENDA_LINKS, pages=made)
+
+
 def _fetched(spark, d):
     """(links, fetches, downloads): an agenda page per document, and what was recorded of where it leads."""
     docs = view(spark, d, "v_document").withColumn("n", F.col("document_id").cast("string")).withColumn("case", F.col("document_id") % 7)

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import udtf
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Classes of listing rows, the first that a page has being its listing; then the rows of the first such table: fixed values.
@@ -109,6 +110,28 @@ def listing_rows(pages: DataFrame) -> DataFrame:
     return _each_page(pages, found, _ROW)
 
 
-def table_rows(pages: DataFrame) -> DataFrame:
-    """The same columns of all table rows, whatever their classes."""
-    return _each_page(pages, lambda p: [(r["idx"], "tr", " ".join(r["text"]), r["date_cell"]) for r in p.rows if r["tag"] == "tr"], _ROW)
+@udtf(returnType="row int, tag string, kind string, text string, date_cell string, links array<struct<idx:int,href:string,text:string,label:string>>", useArrow=True)
+class PageRows:
+    """A table function of a page's HTML: its rows, parsed once, each with the links in it.
+
+    ``kind`` is that of the page's listing for the rows that belong to it, else null.
+    """
+
+    def eval(self, html: str | None) -> Iterator[tuple]:
+        page = _parse(html)
+        kind, listed = page.listing()
+        own = {r["idx"] for r in listed}
+        links: dict[int, list[tuple]] = {}
+        for a in page.links:
+            for row in a["rows"]:
+                links.setdefault(row, []).append((a["idx"], a["href"], "".join(a["text"]), a["label"]))
+        for r in page.rows:
+            yield r["idx"], r["tag"], kind if r["idx"] in own else None, " ".join(r["text"]), r["date_cell"], links.get(r["idx"], [])
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """(page_id, url, row, tag, kind, text, date_cell, links) of pages (page_id, url, html); also for SQL, as ``page_rows(html)``."""
+    spark = pages.sparkSession
+    spark.udtf.register("page_rows", PageRows)
+    own = pages.where("page_id IS NOT NULL").select("page_id", "url", "html")
+    return spark.sql("SELECT page_id, url, r.* FROM {pages}, LATERAL page_rows(html) AS r", pages=own)
