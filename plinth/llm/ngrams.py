@@ -13,7 +13,7 @@ holds more than one fragment of a set:
 Postings with many members would give all their pairs. Components need only some: each member is tested against a
 hub of its postings, and what links merges. Members that are still apart are compared by what they differ in from a
 common reference: undecided pairs share some of that, so its rarest part gives new, small postings. Only of these are
-pairs listed, once few enough meet (or no further turn makes them fewer), so no link between components is lost,
+pairs listed, once few enough meet (or a further turn doesn't halve them), so no link between components is lost,
 whatever the size of a posting.
 
 Defined results: null and empty texts have the empty set, link with nothing and are components of their own; a text of
@@ -348,7 +348,7 @@ def _link_components(postings: DataFrame, segments: DataFrame, percent: int, fra
     """(u, v) as ``components`` gives them, of all links between the members of postings (token, doc_id, n).
 
     Members meet a hub of each posting, and those that are left go to postings of what they differ in, at every size
-    and again while these still give many meetings and a turn gives fewer. Then their pairs are listed.
+    and again while these still give many meetings and a turn halves them. Then their pairs are listed.
     """
     stars = postings.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
     postings = postings.withColumns({c: F.lit(None).cast("long") for c in _FILTER})
@@ -359,7 +359,7 @@ def _link_components(postings: DataFrame, segments: DataFrame, percent: int, fra
         if not left:
             return stars
         a = open_.select("token", F.col("doc_id").alias("a"), *side("a"), "main")
-        if floor is not None and (work <= rows * MEETINGS or work >= floor):  # every pair of members in different components
+        if floor is not None and (work <= rows * MEETINGS or 2 * work >= floor):  # every pair of members in different components
             b = open_.where("root <> main").select("token", F.col("doc_id").alias("b"), *side("b"))
             met = a.join(b, "token").where((F.col("a_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
             return components(stars.unionByName(_links(overlaps(_pairs(met, percent), segments), percent)))
