@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from plinth.operators.store import final_states, partial_states
 
@@ -76,3 +77,27 @@ def stream_unseen(documents: DataFrame, seen: DataFrame, folder: str, key: str =
     _run(documents, folder, fold)
     done = [read(v) for v in versions(spark, folder)]
     return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], schema)
+
+
+def _to_end(stream: DataFrame, folder: str, name: str) -> StreamingQuery:
+    """Append a stream to a Parquet sink, whose log names each batch's files once, until what is there is done."""
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/checkpoints/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def stream_discovery(documents: DataFrame, seen: DataFrame, folder: str, look_back: str = "30 days", key: str = "file_url", date: str = "meeting_date") -> tuple[DataFrame, list[StreamingQuery]]:
+    """Run a stream of listed documents to its present end: (those not seen before, one a key; the two queries).
+
+    The keys of dated documents are in the state store, and leave it once ``look_back`` has passed them; what comes later
+    than that is dropped. A null date can't stand against a watermark, so undated documents take a side path without
+    one: they are never late, and each of their keys stays in its state. ``seen`` (a table with the key) holds what
+    earlier runs had. A restart on the same folder goes on from there; a batch that is replayed gives the same files.
+    """
+    new = lambda rows: rows.join(seen.select(key).distinct(), key, "left_anti").select(*documents.columns)
+    at = F.col(date).cast("timestamp")
+    dated = documents.where(F.col(date).isNotNull()).withColumn("_at", at).withWatermark("_at", look_back).dropDuplicatesWithinWatermark([key])
+    undated = documents.where(F.col(date).isNull()).dropDuplicates([key])
+    queries = [_to_end(new(dated), folder, "dated"), _to_end(new(undated), folder, "undated")]
+    read = lambda name: documents.sparkSession.read.schema(documents.schema).parquet(f"{folder}/{name}")
+    return read("dated").unionByName(read("undated").join(read("dated").select(key), key, "left_anti").select(*documents.columns)), queries
