@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plinth.functions import portal
 from plinth.operators import discovery, extraction, resolve, tiers
 from plinth.plans.views import oracle, view
-from plinth.sources import html
+from plinth.sources import html, pdf
 from plinth.sources.tables import table
 
 QUERIES: dict = {}
@@ -319,3 +320,29 @@ def s17_content_types(spark, d):
     kind = F.when(F.col("page_id") % 3 == 0, "Application/PDF; x").when(F.col("page_id") % 3 == 1, "text/html")
     probes = p.select("url", F.when(F.col("page_id") % 7 == 0, 405).otherwise(200).alias("head_status"), kind.alias("head_type"), F.lit("application/pdf").alias("get_type"))
     return p.join(discovery.pdf_probes(probes), "url").select("page_id", "is_pdf")
+
+
+def _packets(spark, d):
+    """(path, content): each document's text as a file, a thousand characters a page in two lines, a blank page after each."""
+    flat = F.translate("text", "\n", " ")
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / 1000).cast("int"), F.lit(1)) - 1)
+    part = lambda i, at: F.substr(F.col("flat"), i * 1000 + at + 1, F.lit(500))
+    lines = F.flatten(F.transform(numbers, lambda i: F.array(F.filter(F.array(part(i, 0), part(i, 500)), lambda x: x != ""), F.array().cast("array<string>"))))
+    docs = table(spark, d, "documents").where("text IS NOT NULL").withColumn("flat", flat).select(F.concat(F.lit("/packets/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), lines.alias("pages"))
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pdf.write(x) for x in part.column(1).to_pylist()], pa.binary())], names=["path", "content"])
+
+    return docs.mapInArrow(work, "path string, content binary")
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(range(0, greatest(CAST(ceil(length(text) / 1000.0) AS BIGINT), 1))) AS i, replace(text, chr(10), ' ') AS flat FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, CAST(2 * i + 1 AS INTEGER) AS page_number, concat(substr(flat, i * 1000 + 1, 500), CASE WHEN length(flat) > i * 1000 + 500 THEN chr(10) ELSE '' END, substr(flat, i * 1000 + 501, 500)) AS page_text FROM p)
+SELECT doc_id, page_number, CAST(coalesce(sum(length(page_text) + 1) OVER (PARTITION BY doc_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS page_start, sha256(page_text) AS text_sha256 FROM t WHERE regexp_matches(page_text, '\\S')""")
+def s7_file_pages(spark, d):
+    """The pages of files, blank ones dropped, and where they begin in what is left."""
+    found = pdf.pages(_packets(spark, d)).withColumn("document_id", F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long"))
+    return extraction.page_offsets(found).select(F.col("document_id").alias("doc_id"), "page_number", "page_start", F.sha2("page_text", 256).alias("text_sha256"))

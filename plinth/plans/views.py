@@ -105,6 +105,6 @@ def oracle(sql: str) -> str:
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     ctes = [f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n])})" for n in used]
     body = sql.strip()
-    if body.upper().startswith("WITH "):
+    if ctes and body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body if ctes else body
