@@ -344,7 +344,7 @@ def _by_differences(open_: DataFrame, segments: DataFrame, stars: DataFrame, per
     return postings, stars
 
 
-def _link_components(postings: DataFrame, segments: DataFrame, percent: int, fragments: int) -> DataFrame:
+def _link_components(postings: DataFrame, segments: DataFrame, percent: int, fragments: int, meetings: int = MEETINGS) -> DataFrame:
     """(u, v) as ``components`` gives them, of all links between the members of postings (token, doc_id, n).
 
     Members meet a hub of each posting, and those that are left go to postings of what they differ in, at every size
@@ -359,7 +359,7 @@ def _link_components(postings: DataFrame, segments: DataFrame, percent: int, fra
         if not left:
             return stars
         a = open_.select("token", F.col("doc_id").alias("a"), *side("a"), "main")
-        if floor is not None and (work <= rows * MEETINGS or 2 * work >= floor):  # every pair of members in different components
+        if floor is not None and (work <= rows * meetings or 2 * work >= floor):  # every pair of members in different components
             b = open_.where("root <> main").select("token", F.col("doc_id").alias("b"), *side("b"))
             met = a.join(b, "token").where((F.col("a_root") == F.col("main")) | (F.col("a_root") < F.col("b_root")))
             return components(stars.unionByName(_links(overlaps(_pairs(met, percent), segments), percent)))
@@ -386,15 +386,15 @@ def _sets_of(texts: DataFrame, reps: DataFrame, n_reps: int, longest: int, width
     return materialize(chosen.mapInArrow(_segments(width, bits), "doc_id long, n long, fragment int, tokens array<long>")), 1 << bits
 
 
-def linked(texts: DataFrame, postings: DataFrame, percent: int, width: int) -> DataFrame:
+def linked(texts: DataFrame, postings: DataFrame, percent: int, width: int, meetings: int = MEETINGS) -> DataFrame:
     """(u, v) as ``components`` gives them, of all links between texts (doc_id, text) that share a posting (token, doc_id, n).
 
-    ``postings`` is materialised; links are decided on full sets.
+    ``postings`` is materialised; links are decided on full sets. ``meetings``: as ``MEETINGS``.
     """
     members = materialize(postings.select("doc_id", "n").distinct())
     n_members, longest = members.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     segments, fragments = _sets_of(texts, members.select("doc_id"), n_members, longest, width)
-    return _link_components(postings, segments, percent, fragments)
+    return _link_components(postings, segments, percent, fragments, meetings)
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
