@@ -3,9 +3,10 @@
 A conversation's turns, in order, become marked text: ``<|im_start|>role``, a line end, the text, ``<|im_end|>`` and a
 line end. Prefix sums of the turns' token counts cut it into turn-aligned windows: a window takes new turns while they
 fit in the budget less the system turn (if the conversation starts with one) and the history, which come before them:
-the system turn, then as many of the turns just before as fit in the history budget. So no window passes the budget,
-but for a turn that is too large by itself. Loss falls on the texts of new assistant turns only, so each is learnt once; repeated turns
-are masked. Control strings within roles and texts are escaped with backslashes and come back unharmed.
+the system turn, then as many of the turns just before as fit in the history budget and in what the system turn and
+the new turns leave of the whole budget. A system turn larger than the whole budget stands in the first window alone.
+So a window passes the budget only if its one new turn, with the system turn before it, does. Loss falls on the texts of
+new assistant turns only, so each is learnt once; repeated turns are masked. Control strings within roles and texts are escaped with backslashes and come back unharmed.
 
 Defined results: null texts and roles count as empty; turns go by (turn, role, escaped text) with nulls first, so
 ties and repeated rows keep a fixed order; a null conversation id is one conversation; a turn over what is left of the budget has a window of
@@ -63,7 +64,8 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
     """
     convs = _turns(rows)
     # One pass over the prefix sums: a turn whose sum would pass the budget since the window's first turn opens the next.
-    convs = convs.withColumn("sys", F.when(F.col("turns")[0]["role"] == "system", F.col("turns")[0]["tokens"]).otherwise(0))
+    first = F.col("turns")[0]
+    convs = convs.withColumn("sys", F.when((first["role"] == "system") & (first["tokens"] <= budget), first["tokens"]).otherwise(0))
     room = F.greatest(budget - history - F.col("sys"), F.lit(1))
     opened = F.aggregate(
         F.transform("turns", lambda x: x["tokens"]),
@@ -81,7 +83,7 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
         """The turns of one window, so that windows carry no others."""
         earlier = F.when((F.col("turns")[0]["role"] == "system") & (x["first"] > 1), F.lit(2)).otherwise(F.lit(1))  # the system turn isn't history
         least = F.greatest(earlier, x["first"] - reach)
-        system = F.when(earlier == 2, F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
+        system = F.when((earlier == 2) & (F.col("sys") > 0), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
         return F.struct(
             k.alias("window"),
             system.alias("system"),
@@ -91,10 +93,12 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
 
     bounds = F.zip_with("firsts", "lasts", lambda a, b: F.struct(a.alias("first"), b.alias("last")))
     spans = convs.select("conv_id", F.explode(F.transform(bounds, span)).alias("w")).select("conv_id", "w.*")
+    tokens_of = lambda *turns: F.aggregate(F.transform(F.concat(*turns), lambda x: x["tokens"]), F.lit(0), lambda acc, t: acc + t)
+    spans = spans.withColumn("left", F.least(F.lit(history), budget - tokens_of("system", "new")))
     fitting = F.aggregate(
         F.reverse(F.transform("earlier", lambda x: x["tokens"])),
         F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")),
-        lambda acc, t: F.struct((acc["sum"] + t).alias("sum"), F.when(acc["sum"] + t <= history, acc["n"] + 1).otherwise(acc["n"]).alias("n")),
+        lambda acc, t: F.struct((acc["sum"] + t).alias("sum"), F.when(acc["sum"] + t <= F.col("left"), acc["n"] + 1).otherwise(acc["n"]).alias("n")),
         lambda acc: acc["n"],
     )
     spans = spans.withColumn("fit", fitting)
@@ -110,9 +114,8 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
         ),
         lambda acc: acc["spans"],
     )
-    tokens = F.aggregate(F.transform(F.concat("repeated", "new"), lambda x: x["tokens"]), F.lit(0), lambda acc, t: acc + t)
     after = F.array_join(F.transform("new", lambda x: x["piece"]), "")
-    return spans.select("conv_id", "window", F.size("repeated").alias("n_context"), F.size("new").alias("n_new"), F.concat("context", after).alias("formatted"), masks.alias("loss"), tokens.alias("tokens"))
+    return spans.select("conv_id", "window", F.size("repeated").alias("n_context"), F.size("new").alias("n_new"), F.concat("context", after).alias("formatted"), masks.alias("loss"), tokens_of("repeated", "new").alias("tokens"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -80,15 +80,15 @@ WITH RECURSIVE src AS (
 ), t AS (
   SELECT *, row_number() OVER o AS i, sum(tokens) OVER o AS total FROM p WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, piece ROWS UNBOUNDED PRECEDING)
 ), w AS (
-  SELECT conv_id, 0 AS k, CAST(1 AS BIGINT) AS first, CAST(0 AS HUGEINT) AS before, CASE WHEN role = 'system' THEN tokens ELSE 0 END AS sys FROM t WHERE i = 1
+  SELECT conv_id, 0 AS k, CAST(1 AS BIGINT) AS first, CAST(0 AS HUGEINT) AS before, CASE WHEN role = 'system' AND tokens <= 512 THEN tokens ELSE 0 END AS sys FROM t WHERE i = 1
   UNION ALL
   SELECT w.conv_id, k + 1, min(t.i), min(t.total - t.tokens), sys FROM w JOIN t ON w.conv_id = t.conv_id AND t.i > w.first AND t.total - w.before > greatest(512 - 128 - sys, 1) + CASE WHEN k = 0 THEN sys ELSE 0 END GROUP BY w.conv_id, k, sys
 ), spans AS (
-  SELECT *, lead(first) OVER (PARTITION BY conv_id ORDER BY k) - 1 AS last FROM w
+  SELECT *, lead(first) OVER (PARTITION BY conv_id ORDER BY k) - 1 AS last, lead(before) OVER (PARTITION BY conv_id ORDER BY k) AS upto, (SELECT max(total) FROM t WHERE t.conv_id = w.conv_id) AS whole FROM w
 ), sizes AS (
   SELECT s.conv_id, k, sum(length(t.piece)) AS chars FROM spans s JOIN t ON s.conv_id = t.conv_id
   JOIN (SELECT conv_id, role = 'system' AS has FROM t WHERE i = 1) y ON s.conv_id = y.conv_id
-  WHERE (t.i >= first AND (last IS NULL OR t.i <= last)) OR (t.i < first AND t.i = 1 AND y.has) OR (t.i < first AND (t.i > 1 OR NOT y.has) AND before - (t.total - t.tokens) <= 128)
+  WHERE (t.i >= first AND (last IS NULL OR t.i <= last)) OR (t.i < first AND t.i = 1 AND y.has AND sys > 0) OR (t.i < first AND (t.i > 1 OR NOT y.has) AND before - (t.total - t.tokens) <= least(128, 512 - (CASE WHEN first > 1 THEN sys ELSE 0 END) - (coalesce(upto, whole) - before)))
   GROUP BY s.conv_id, k
 ), f AS (
   SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) AS n_windows FROM sizes GROUP BY conv_id

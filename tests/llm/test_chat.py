@@ -50,3 +50,13 @@ def test_windows_keep_the_budget_and_repeat_the_system_turn(spark):
     for r in w:
         for start, length in r.loss:
             assert r.formatted[start : start + length].startswith("w") and r.formatted[:start].endswith("assistant\n")
+
+
+def test_history_and_system_turns_give_way_to_the_budget(spark):
+    """History shrinks before a large turn; a system turn over the budget stands once."""
+    rows = [(1, 0, "user", "u " * 124), (1, 1, "assistant", "a " * 396)]
+    rows += [(2, 0, "system", "s " * 600)] + [(2, i, "user", "x y") for i in range(1, 6)]
+    rows += [(3, 0, "system", "s " * 200), (3, 1, "user", "u " * 100), (3, 2, "assistant", "a " * 290), (3, 3, "user", "v " * 600), (3, 4, "user", "w")]
+    w = sorted(chat.windows(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: (r.conv_id, r.window))
+    assert [(r.conv_id, r.n_context, r.n_new, r.tokens) for r in w] == [(1, 0, 1, 128), (1, 0, 1, 400), (2, 0, 1, 604), (2, 0, 5, 30), (3, 0, 2, 308), (3, 1, 1, 498), (3, 1, 1, 808), (3, 1, 1, 209)]
+    assert digests(spark, rows) == expected(rows)
