@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.operators import discovery, resolve, serving, signals, store, stored
 from plinth.plans.views import oracle, view
-from plinth.sources import shared
+from plinth.sources import clustered, shared
 from plinth.streaming import jobs
 
 QUERIES: dict = {}
@@ -109,6 +109,17 @@ def s3_parcel_lookup(spark, d):
     return view(spark, d, "v_parcel").where("apn = '100-000-042'").select("apn", "address", "city").limit(1)
 
 
+_ASKED = ["100-000-042", "100-000-007", "100-000-150", "100-001-999", "555-000-001"]
+
+
+@query(f"SELECT apn, address, city FROM v_parcel WHERE apn IN ({', '.join(repr(a) for a in _ASKED)})")
+def s3_clustered_lookup(spark, d):
+    """Several parcels from a table that is clustered by APN; some of those asked for aren't there."""
+    path = shared.new_path(spark)
+    clustered.write_clustered(view(spark, d, "v_parcel"), "apn", path)
+    return clustered.lookup(spark, path, "apn", _ASKED).select("apn", "address", "city")
+
+
 @query("SELECT 'elsewhere' AS stored, 0 AS n_leads UNION ALL SELECT 'here', count(*) FROM v_lead")
 def s5_no_leads(spark, d):
     """Without stored tables no leads are served; with them, all are."""
