@@ -13,7 +13,7 @@ NO_LEADS = "Scan complete. No actionable development leads found in recent agend
 PARCEL_FIELDS = ["apn", "parcel_id", "address", "city", "county", "current_zoning", "proposed_zoning", "max_units", "owner_name", "owner_address"]
 
 
-def _sourced(leads: DataFrame, documents: DataFrame) -> DataFrame:
+def sourced(leads: DataFrame, documents: DataFrame) -> DataFrame:
     """Leads with their source's address and jurisdiction."""
     return leads.join(documents.select("document_id", F.col("file_url").alias("agenda_source_url"), F.col("city_name").alias("jurisdiction")), "document_id")
 
@@ -23,17 +23,22 @@ def leads_detail(leads: DataFrame, documents: DataFrame, lead_parcels: DataFrame
     linked = lead_parcels.join(parcels, "parcel_id")
     nested = linked.groupBy("lead_id").agg(F.array_sort(F.collect_list(F.struct(*PARCEL_FIELDS))).alias("parcels"))
     empty = F.array().cast(nested.schema["parcels"].dataType)
-    return _sourced(leads, documents).join(nested, "lead_id", "left").withColumn("parcels", F.coalesce("parcels", empty))
+    return sourced(leads, documents).join(nested, "lead_id", "left").withColumn("parcels", F.coalesce("parcels", empty))
 
 
-def leads_facts(leads: DataFrame, documents: DataFrame, lead_parcels: DataFrame, parcels: DataFrame) -> DataFrame:
+def leads_facts(leads: DataFrame, documents: DataFrame, lead_parcels: DataFrame, parcels: DataFrame, keep: Column | None = None) -> DataFrame:
     """As ``leads_detail`` with ``n_parcels`` and the first parcel's ``units`` (0 if unknown) in place of the parcels.
 
-    Both are partial aggregates, so figures and orders move no parcel's details.
+    Both are partial aggregates, so figures and orders move no parcel's details. With ``keep`` (as from ``facets``) only
+    the leads that it keeps, and only their links are aggregated.
     """
+    own = sourced(leads, documents)
+    if keep is not None:
+        own = own.where(keep)
+        lead_parcels = lead_parcels.join(own.select("lead_id"), "lead_id", "left_semi")
     linked = lead_parcels.join(parcels.select("parcel_id", "apn", "max_units"), "parcel_id")
     facts = linked.groupBy("lead_id").agg(F.count("*").alias("n_parcels"), F.min_by("max_units", F.struct("apn", "parcel_id")).alias("units"))
-    return _sourced(leads, documents).join(facts, "lead_id", "left").withColumns({"n_parcels": F.coalesce("n_parcels", F.lit(0)), "units": F.coalesce("units", F.lit(0))})
+    return own.join(facts, "lead_id", "left").withColumns({"n_parcels": F.coalesce("n_parcels", F.lit(0)), "units": F.coalesce("units", F.lit(0))})
 
 
 def facets(cities: list[str] = (), lead_types: list[str] = (), scores: list[str] = (), start: str | None = None, end: str | None = None) -> Column:

@@ -70,12 +70,14 @@ _CHOSEN = {"cities": ["NATION_1", "NATION_4", "NATION_9", "NATION_16", "NATION_2
 @query(_with(f"SELECT lead_id, jurisdiction, signal_strength, meeting_date, CAST(n AS BIGINT) AS n_parcels FROM detail WHERE {_SLICE} ORDER BY meeting_date DESC NULLS LAST, created_at DESC, lead_id"))
 def leads_minimum_slice(spark, d):
     """All leads that the facets keep, newest first."""
-    return serving.apply_filters(facts(spark, d), **_CHOSEN).orderBy(*serving.sort_keys("recent", F.col("units"))).select("lead_id", "jurisdiction", "signal_strength", "meeting_date", "n_parcels")
+    kept = serving.leads_facts(*_stored(spark, d), serving.facets(**_CHOSEN))
+    return kept.orderBy(*serving.sort_keys("recent", F.col("units"))).select("lead_id", "jurisdiction", "signal_strength", "meeting_date", "n_parcels")
 
 
 @query(_with(f"SELECT lead_id, lead_type, meeting_date FROM detail WHERE {_SLICE}"))
 def f3_facet_filter(spark, d):
-    return serving.apply_filters(facts(spark, d), **_CHOSEN).select("lead_id", "lead_type", "meeting_date")
+    leads, documents, _, _ = _stored(spark, d)
+    return serving.apply_filters(serving.sourced(leads, documents), **_CHOSEN).select("lead_id", "lead_type", "meeting_date")
 
 
 @query(_with("SELECT lead_id, CAST(coalesce(first_units, 0) AS BIGINT) AS units FROM detail ORDER BY coalesce(first_units, 0) DESC, created_at DESC, lead_id"))
