@@ -209,7 +209,7 @@ def x8_word_hits(spark, d):
     return keywords.with_hits(pages(spark, d), "page_text").select("document_id", "page_number", F.inline("hits"))
 
 
-@query("""WITH p AS (SELECT *, document_id % 3 AS w, page_number % 2 = 1 AS named, regexp_extract(page_text, '\d+ Oak St', 0) AS oak, regexp_extract(page_text, '100-000-\d{3}', 0) AS apn0 FROM v_staff_page)
+@query("""WITH p AS (SELECT *, document_id % 3 AS w, page_number % 2 = 1 AS named, regexp_extract(page_text, '\\d+ Oak St', 0) AS oak, regexp_extract(page_text, '100-000-\\d{3}', 0) AS apn0 FROM v_staff_page)
 SELECT document_id, page_number, CASE WHEN named THEN apn0 WHEN w = 1 THEN concat('ADDR: ', oak) END AS apn,
   CASE WHEN w = 1 THEN oak WHEN NOT named THEN NULL WHEN w = 0 THEN '1017 Middlefield Rd' ELSE concat('Parcel ', CAST(document_id AS VARCHAR), ' of the Plan') END AS address FROM p""")
 def x7_labelled_addresses(spark, d):
