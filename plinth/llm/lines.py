@@ -34,10 +34,10 @@ def _lines(text: str) -> Column:
 def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, total, lines): each host's distinct pages, and the hashes of its boilerplate lines, for hosts that have any."""
     hashes = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: x.rlike(WORD_PATTERN)), lambda x: F.xxhash64(x)))
-    # A page adds one row for itself (null line) and one for each distinct line, so that totals need no second scan;
-    # copies of a page add the same rows, which go before anything is counted.
-    rows = docs.select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(hashes, F.array().cast("array<long>")))).alias("line"))
-    rows = rows.distinct()
+    # Copies of a page go first, while a page is one row, so that its lines move as one array and then as partial counts.
+    pages = docs.select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), hashes.alias("hashes")).dropDuplicates(["host", "page"])
+    # A page adds one row for itself (null line) and one for each distinct line, so that totals need no second scan.
+    rows = pages.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce("hashes", F.array().cast("array<long>")))).alias("line"))
     counts = rows.groupBy("host", "line").agg(F.count("*").alias("pages"))
     totals = F.max(F.when(F.col("line").isNull(), F.col("pages")))
     # Only lines on min_pages or more can count, so the lists that meet in one host's row leave out the long tail.

@@ -107,7 +107,7 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     bad = urls.host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_HOSTS)})\.")
-    listed = pages.where(bad).select(urls.canonical(F.col("url")).alias("listed_url")).distinct()
+    listed = materialize(pages.where(bad).select(urls.canonical(F.col("url")).alias("listed_url")).distinct())
     return urls.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 

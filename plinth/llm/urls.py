@@ -73,7 +73,8 @@ def bloom_filter(listed: DataFrame, url: str) -> tuple[DataFrame, int]:
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict: the rule's, else block for listed URLs and allow for the others.
 
-    ``listed`` has distinct canonical URLs in its one column ``listed_url``. Its joins are plain ones, so Spark
+    ``listed`` has distinct canonical URLs in its one column ``listed_url``. It is read three times (for its size, its
+    filter and the exact join), so pass a materialised table where it takes work to make. Its joins are plain ones, so Spark
     broadcasts the list or its filter where it measures them as small, and shuffles by URL otherwise; no row of
     ``pages`` is dropped or doubled.
     """
