@@ -55,6 +55,8 @@ MEETINGS = 2
 MASKS = 4
 #: Rows of a partition of small tables.
 PART_ROWS = 100_000
+#: A row of pairs, or of hubs, counts as so many of those that ``BROADCAST_ROWS`` bounds: the driver holds what it sends.
+WIDE = 4
 #: Of a member of a posting of differences: the reference, f, how many of its tokens may be shared, the place of this one
 #: among them, the masks.
 _FILTER = ["ref", "f", "s", "i", *[f"m{i}" for i in range(MASKS)]]
@@ -271,7 +273,7 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, k) of pairs (a, b, n_b): the shingles that both sets hold, counted per fragment and summed."""
     pairs = materialize(_in_lots(materialize(pairs)))
     own = _of(segments, pairs, "a").select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("tokens").alias("own"))
-    sides = own.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, "a")
+    sides = own.join(F.broadcast(pairs) if WIDE * pairs.count() <= BROADCAST_ROWS else pairs, "a")
     partial = _with_counterpart(sides, pairs, segments, "inner").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("own", "its")).alias("k"))
     return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
 
@@ -378,7 +380,7 @@ def _link_components(postings: DataFrame, segments: DataFrame, percent: int, fra
             lot = F.xxhash64("doc_id", F.pmod("token", F.lit(2)), F.lit(turn))
             hubs = open_.groupBy("token").agg(F.min(F.struct(lot, "doc_id", "n", *_FILTER, "root")).alias("h"))
             hubs = _small(hubs.select("token", "h.*").select("token", F.col("doc_id").alias("b"), *side("b")), left)
-            met = _small(join_few(a, hubs, "token", "a").where("a <> b"), left)
+            met = _small(join_few(a, hubs, "token", "a", size=WIDE * hubs.count()).where("a <> b"), left)
             stars = components(stars.unionByName(_links(overlaps(_pairs(met.where("a_root <> b_root"), percent), segments), percent)))
             postings = met.select("token", F.col("a").alias("doc_id"), *[F.col(f"a_{c}").alias(c) for c in ("n", *_FILTER)])
             discard(hubs)
