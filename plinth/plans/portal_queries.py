@@ -41,8 +41,11 @@ _IN_WINDOW = "document_id % 28 + 1 <= 20"
 
 
 def _paged(spark, d, body):
-    """(page_id, jurisdiction, url, html) with ``body`` (of the id as text, and its day) as HTML."""
-    docs = view(spark, d, "v_document").withColumn("n", F.col("document_id").cast("string")).withColumn("day", (F.col("document_id") % 28 + 1).cast("string"))
+    """(page_id, jurisdiction, url, html) with ``body`` (of the id as text, and its day) as HTML.
+
+    Rows are dealt before they become pages, which are many times as large, so that parsing doesn't hang on the layout of files.
+    """
+    docs = view(spark, d, "v_document").select("document_id", "city_name").repartition("document_id").withColumn("n", F.col("document_id").cast("string")).withColumn("day", (F.col("document_id") % 28 + 1).cast("string"))
     return docs.select(F.col("document_id").alias("page_id"), F.col("city_name").alias("jurisdiction"), F.concat(F.lit(_ROOT + "/"), "city_name", F.lit("/list")).alias("url"), body.alias("html"))
 
 
@@ -121,7 +124,7 @@ SELECT page_id, row, tag, kind, n_links, coalesce(own, href) AS last_href FROM p
 def t2_lateral_rows(spark, d):
     """A page's rows and their links by the table function, from SQL."""
     made = _paged(spark, d, _made().rows)
-    spark.udtf.register("page_rows", html.PageRows)
+    html.register(spark)
     return spark.sql(_AGENDA_LINKS, pages=made)
 
 
