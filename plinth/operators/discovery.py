@@ -54,13 +54,15 @@ def row_listing(pages: DataFrame, probes: DataFrame, start: Column, end: Column)
     Rows without a listing's marks need a date. Links that don't end in .pdf need a recorded probe that finds a PDF.
     """
     tiers = F.transform("links", lambda a: F.struct(portal.link_tier(a["href"], F.concat_ws(" ", a["text"], a["label"])).alias("tier"), a["idx"].alias("idx"), a["href"].alias("href"), a["text"].alias("text")))
-    rows = html.page_rows(pages).where("kind IS NOT NULL").select("page_id", "row", "kind", F.col("url").alias("base"), portal.meeting_date(F.col("text")).alias("meeting_date"), F.array_min(F.filter(tiers, lambda a: a["tier"].isNotNull())).alias("a"))
+    best = F.struct(portal.meeting_date(F.col("text")).alias("meeting_date"), F.array_min(F.filter(tiers, lambda a: a["tier"].isNotNull())).alias("a"))
+    # The generator keeps what filters ask for from being made again for them.
+    rows = html.page_rows(pages).where("kind IS NOT NULL").select("page_id", "row", "kind", F.col("url").alias("base"), F.inline(F.array(best)))
     found = rows.where((F.col("kind") != html.FALLBACK) | F.col("meeting_date").isNotNull()).where("a IS NOT NULL").withColumn("pdf_url", portal.normalize_url("base", "a.href"))
     once = found.groupBy("page_id", "pdf_url").agg(F.min_by(F.struct(F.nullif(F.col("a.text"), F.lit("")).alias("title"), "meeting_date"), "row").alias("r"))
-    once = once.select("page_id", "pdf_url", "r.title", "r.meeting_date")
-    good = pdf_probes(probes).where("is_pdf").select(F.col("url").alias("pdf_url")).distinct()
-    named = F.endswith(F.lower("pdf_url"), F.lit(".pdf"))
-    return _within(once.where(named).unionByName(once.where(~named).join(good, "pdf_url", "left_semi").select(*LISTED)), start, end)
+    once = _within(once.select("page_id", "pdf_url", "r.title", "r.meeting_date"), start, end)
+    good = pdf_probes(probes).where("is_pdf").select(F.col("url").alias("pdf_url")).distinct().withColumn("good", F.lit(True))
+    named = F.endswith(F.lower("pdf_url"), F.lit(".pdf"))  # one join for both, so that pages aren't parsed for either
+    return once.join(good, "pdf_url", "left").where(named | F.col("good")).select(*LISTED)
 
 
 def pdf_probes(probes: DataFrame) -> DataFrame:

@@ -44,3 +44,18 @@ def test_table_function_takes_whole_batches(spark):
     for rows in (out, html.page_rows(pages)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython " in plan and "UDTF" not in plan
+
+
+def test_row_listing_parses_pages_once(spark):
+    """Links that end in .pdf and links that need a probe come from one pass over the pages."""
+    from pyspark.sql import functions as F
+
+    from plinth.operators import discovery
+
+    row = '<table><tr><td>7/6/2026</td><td><a href="/ViewFile/2.pdf">PDF</a></td></tr><tr><td>7/7/2026<td><a href="/agenda/4">Agenda</a></tr></table>'
+    probes = spark.createDataFrame([("https://x.gov/agenda/4", 200, "application/pdf", None)], "url string, head_status int, head_type string, get_type string")
+    date = lambda x: F.lit(x).cast("date")
+    got = discovery.row_listing(spark.createDataFrame([(1, "https://x.gov/list", row), (2, None, row)], "page_id long, url string, html string"), probes, date("2026-07-01"), date("2026-07-31"))
+    assert sorted(r.pdf_url for r in got.collect()) == ["https://x.gov/ViewFile/2.pdf", "https://x.gov/agenda/4"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rows_of(") == 1 and plan.count("normalize_url(") == 1
