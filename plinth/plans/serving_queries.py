@@ -270,8 +270,10 @@ def _ingested(spark, d, times: int = 1) -> store.Tables:
     leads, docs, links, parcels = _stored(spark, d)
     tables = store.Tables(docs, parcels, leads, links)
     pending, found = docs.where("processed_status = 'PENDING'").select("document_id", "city_name", "file_url"), view(spark, d, "v_signal")
+    # Only what the ingest takes, written once: each table that it gives asks for the signals and the APNs more than once.
+    found = shared.materialize(found.join(pending, "document_id", "left_semi"))
     asked = found.where("apn IS NULL AND address IS NOT NULL").join(pending, "document_id").select(F.struct("document_id", "seq").alias("ask_id"), "address", F.col("city_name").alias("city"))
-    resolved = resolve.by_address(asked, parcels).select("ask_id.*", "apns")
+    resolved = shared.materialize(resolve.by_address(asked, parcels).select("ask_id.*", "apns"))
     for _ in range(times):
         tables = store.persist(tables, pending, found, resolved)
     return tables
